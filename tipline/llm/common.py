@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +55,57 @@ def text_of(name: str = "text") -> Column:
 def crc_bucket(name: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: Bytes of one chunk of an array that tasks build in parts, and tasks whose parts meet in one group at first.
+CHUNK, FAN_IN = 16_384, 256
+
+
+def summed(df: DataFrame, build, combine) -> np.ndarray:
+    """An array of fixed size built by every task over its own rows and combined over all tasks in two levels.
+
+    build(batches) gives a task's numpy array (same size and dtype in all tasks); combine(a, b) merges two. The driver gets one array.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = build(batches)
+        raw, dtype = array.tobytes(), array.dtype.str
+        cuts = range(0, len(raw), CHUNK)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(cuts)), pa.int32()), "dtype": [dtype] * len(cuts), "part": pa.array([zlib.compress(raw[i : i + CHUNK], 1) for i in cuts], pa.binary())})
+
+    def merge(key, table: pa.Table) -> pa.Table:
+        dtype = table.column("dtype")[0].as_py()
+        total = reduce(combine, (np.frombuffer(zlib.decompress(x), dtype) for x in table.column("part").to_pylist()))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "dtype": [dtype], "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "chunk int, dtype string, part binary"
+    made = df.mapInArrow(parts, schema).withColumn("near", F.floor(F.spark_partition_id() / FAN_IN))
+    first = made.groupBy("chunk", "near").applyInArrow(lambda key, t: merge(key, t), schema)
+    last = first.groupBy("chunk").applyInArrow(lambda key, t: merge(key, t), schema)
+    rows = sorted(last.collect(), key=lambda r: r.chunk)  # one row per chunk: as large as the array, whatever the input
+    return np.concatenate([np.frombuffer(zlib.decompress(r.part), r.dtype) for r in rows])
+
+
+#: log2 of the bits of a bitmap: 2 MB, whatever the input.
+BITMAP_BITS = 24
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the top BITMAP_BITS bits of a long column. A later exact join drops what merely shares a bit."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
+        return np.packbits(bits)
+
+    return np.unpackbits(summed(hashes.select(F.col(column).cast("long")), build, np.bitwise_or)).astype(bool)
+
+
+#: Rows up to which a side of a join is broadcast; beyond it the join shuffles both sides.
+BROADCAST_ROWS = 50_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a cut or staged table for broadcast if it is small enough. Counts at most that many rows and one."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipline.llm import exact_dedup, mixing, packing
+from tipline.llm import exact_dedup, fingerprints, mixing, packing
 from tipline.llm.common import documents
 
 
@@ -26,4 +26,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op7_exact_dedup)}
+def op8_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op7_exact_dedup, op8_bottom_k_fingerprints)}
