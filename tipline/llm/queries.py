@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipline.llm import exact_dedup, fingerprints, mixing, packing
+from tipline.llm import exact_dedup, fingerprints, mixing, ngram_join, packing
 from tipline.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -30,4 +34,4 @@ def op8_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op7_exact_dedup, op8_bottom_k_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op5_ngram_jaccard_join, op7_exact_dedup, op8_bottom_k_fingerprints)}
