@@ -44,4 +44,47 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM ranked
 """
 
-ORACLES = {"op3_mix_sources": MIX.format(documents="documents"), "op7_exact_dedup": EXACT}
+#: Common table expressions that end in cleaned(doc_id, text, n_lines, n_dropped); ids of {documents} are distinct.
+LINES = r"""
+split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {documents}),
+numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM split),
+worded AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM numbered),
+occ AS (SELECT doc_id, line_no, words, array_to_string(words, ' ') AS norm, len(words) AS n FROM worded WHERE len(words) >= 5),
+firsts AS (SELECT norm, any_value(words) AS words, any_value(n) AS n, min({{'d': doc_id, 'l': line_no}}) AS first FROM occ GROUP BY norm),
+spots AS (SELECT norm, words, n, first, unnest(range(1, n + 2)) AS i FROM firsts WHERE n >= 10),
+variants AS (
+  SELECT norm, first, i, array_to_string(words[1:i-1], ' ') AS before, array_to_string(words[i+1:n], ' ') AS after FROM spots WHERE i <= n
+  UNION ALL
+  SELECT norm, first, i, array_to_string(words[1:i-1], ' ') AS before, array_to_string(words[i:n], ' ') AS after FROM spots),
+heads AS (SELECT norm, first, min(first) OVER (PARTITION BY i, before, after) AS head FROM variants),
+near AS (SELECT DISTINCT norm FROM heads WHERE first > head),
+gone AS (
+  SELECT o.doc_id, list(o.line_no) AS lines FROM occ o JOIN firsts f USING (norm) LEFT JOIN near x USING (norm)
+  WHERE x.norm IS NOT NULL OR {{'d': o.doc_id, 'l': o.line_no}} > f.first GROUP BY o.doc_id),
+cleaned AS (
+  SELECT s.doc_id, CASE WHEN g.lines IS NULL THEN array_to_string(s.parts, chr(10))
+         ELSE coalesce(array_to_string([s.parts[k + 1] for k in range(len(s.parts)) if NOT list_contains(g.lines, k)], chr(10)), '') END AS text,
+         CAST(coalesce(len(s.parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.lines), 0) AS BIGINT) AS n_dropped
+  FROM split s LEFT JOIN gone g USING (doc_id))
+"""
+
+#: Shingle sets as lists, links by counting shared shingles, components by recursion. {documents} as before.
+JACCARD = r"""
+toks AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {documents}),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM toks),
+sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+inverted AS (SELECT doc_id, unnest(s) AS t FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM inverted a JOIN inverted b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sized UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+"""
+
+ORACLES = {
+    "op3_mix_sources": MIX.format(documents="documents"),
+    "op5_ngram_jaccard_join": f"WITH RECURSIVE {JACCARD.format(documents='documents')} SELECT s.doc_id, s.n AS n_shingles, (SELECT min(y) FROM reach WHERE x = s.doc_id) AS component_id FROM sized s",
+    "op7_exact_dedup": EXACT,
+    "op9_line_dedup": f"WITH {LINES.format(documents='documents')} SELECT doc_id, text, n_lines, n_dropped FROM cleaned",
+}

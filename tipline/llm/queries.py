@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipline.llm import exact_dedup, fingerprints, mixing, ngram_join, packing
+from tipline.llm import exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing
 from tipline.llm.common import documents
 
 
@@ -23,7 +23,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(documents(spark, sf_dir))
+    return ngram_join.join(documents(spark, sf_dir)).drop("sid")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,4 +34,8 @@ def op8_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op5_ngram_jaccard_join, op7_exact_dedup, op8_bottom_k_fingerprints)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("row.doc_id", "text", "n_lines", "n_dropped")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op5_ngram_jaccard_join, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup)}
