@@ -13,10 +13,16 @@ null id loses ties and is returned as null; an empty table gives an empty result
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipline.llm.common import SPACE, cut, staged, text_of
+from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, cut, staged
 
 #: Entries a bucket may hold before it splits.
 BUCKET_ROWS = 65_536
@@ -24,8 +30,29 @@ BUCKET_ROWS = 65_536
 MAX_DEPTH = 40
 
 
-def _normalised(text):
-    return F.regexp_replace(text, f"{SPACE}+", "")
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        digests = [hashlib.sha256(t.translate(None, SPACE_BYTES)).digest() for t in texts]
+        chars = pc.utf8_length(pc.fill_null(batch.column(1), "")).cast(pa.int64())
+        keys = np.frombuffer(b"".join(d[:8] for d in digests), ">u8").astype(np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), chars, pa.array([d.hex() for d in digests], pa.string()), pa.array(keys)], names=["doc_id", "n_chars", "text_sha256", "key"])
+
+
+def _members(bits: np.ndarray):
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                norm = (text or b"").translate(None, SPACE_BYTES)
+                digest = hashlib.sha256(norm).digest()
+                if bits[int.from_bytes(digest[:8], "big") >> 64 - BITMAP_BITS]:
+                    out.append((doc_id, digest.hex(), norm))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            types = (pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_sha256", "norm"])
+
+    return members
 
 
 def _prefix(depth: int, bits: int):
@@ -54,15 +81,9 @@ def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 63, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. bits: of the hash that addresses the index."""
-    source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    norm = source.withColumn("norm", _normalised(F.col("text")))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = staged(
-        norm.select(
-            "doc_id",
-            F.char_length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-            F.shiftrightunsigned(F.xxhash64("norm"), 64 - bits).alias("key"),
-        )
+        source.mapInArrow(_digests, "doc_id long, n_chars long, text_sha256 string, key long").withColumn("key", F.shiftrightunsigned("key", 64 - bits))
     )
     best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
     entries = cut(rows.groupBy("key", "text_sha256").agg(F.count("*").alias("group_size"), F.min(best).alias("best")))
@@ -74,8 +95,9 @@ def exact_groups(
 
     # Equal digests are only candidates: compare each member's bytes with those of the row that stays.
     many = classes.where("group_size > 1").select("text_sha256", F.col("best.doc_id").alias("keep_id"))
-    digest = F.sha2(F.col("norm").cast("binary"), 256)
-    members = norm.select("doc_id", "norm", digest.alias("text_sha256")).join(many, "text_sha256")
+    leading = F.conv(F.substring("text_sha256", 1, BITMAP_BITS // 4), 16, 10).cast("long")
+    bitset = bitmap(many.select(F.shiftleft(leading, 64 - BITMAP_BITS).alias("bits")), "bits")
+    members = source.mapInArrow(_members(bitset), "doc_id long, text_sha256 string, norm binary").join(many, "text_sha256")
     kept_text = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("norm").alias("kept_norm"))
     differ = members.join(kept_text, "text_sha256").where(F.col("norm") != F.col("kept_norm"))
     differ = cut(differ.select("text_sha256", "norm").distinct())
