@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipline.llm.common import WORD, cut, staged, text_of
+from tipline.llm.common import WORD, sized, staged, text_of
 
 #: Bits of the hash, and how many each refinement looks at.
 HASH_BITS, STEP = 60, 12
@@ -57,11 +57,11 @@ def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
     for used in range(STEP, HASH_BITS + 1, STEP):
         shift = HASH_BITS - used
         at = F.shiftright("place", shift)
-        inside = base.where("size > 0").join(open_, "key").where(F.shiftright("place", shift + STEP) == F.col("lo"))
+        inside = base.where("size > 0").join(sized(open_), "key").where(F.shiftright("place", shift + STEP) == F.col("lo"))
         bins = inside.groupBy("key", "epochs", "left", at.alias("bin")).agg(F.sum("size").alias("words"), F.min("place").alias("least"), F.max("place").alias("most"))
         run = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         edge = bins.withColumn("upto", F.sum("words").over(run)).where("upto - words <= left AND left < upto")
-        edge = cut(edge.withColumn("left", F.col("left") - (F.col("upto") - F.col("words"))))
+        edge = staged(edge.withColumn("left", F.col("left") - (F.col("upto") - F.col("words"))))
         settled = edge.where("least = most").select("key", "epochs", F.col("least").alias("last"), (F.col("left") * 2 >= F.col("words")).alias("with_last"))
         found = settled if found is None else found.unionByName(settled)
         open_ = edge.where("least < most").select("key", "epochs", "left", F.col("bin").alias("lo"))
@@ -81,9 +81,9 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
     base = staged(sizes(docs, id_col, text_col, source_col))
-    wanted = cut(targets(base.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, cap))
+    wanted = staged(targets(base.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, cap))
     edges = thresholds(base, wanted)
-    plan = cut(wanted.join(edges, "key", "left"))
+    plan = staged(wanted.join(edges, "key", "left"))
     once = F.coalesce((F.col("place") < F.col("last")) | ((F.col("place") == F.col("last")) & F.col("with_last")), F.lit(False))
     epochs = F.coalesce(F.col("epochs"), F.lit(0).cast("long"))
-    return base.join(plan, "key").select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (epochs + once.cast("long"))).alias("taken"))
+    return base.join(sized(plan), "key").select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (epochs + once.cast("long"))).alias("taken"))
