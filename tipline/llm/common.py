@@ -6,10 +6,12 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint: lineage ends in the shared folder and survives a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: With this setting Spark deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaning_up(spark: SparkSession):
+    """For queries whose result lies in the shared folder: nothing reads their shuffle files later."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read it back: like cut(), but compressed and with column pruning."""
+    """Write as Parquet in the shared folder and read it back. Lineage ends there and survives a lost executor; unlike after checkpoint(),
+    the optimiser sees true sizes, so that loops do not compound estimates."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaning_up(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +70,16 @@ def crc_bucket(name: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in that column have at most so many bytes, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most_bytes, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 #: Bytes of one chunk of an array that tasks build in parts, and tasks whose parts meet in one group at first.
 CHUNK, FAN_IN = 16_384, 256
 
@@ -83,7 +106,7 @@ def summed(df: DataFrame, build, combine) -> np.ndarray:
     first = made.groupBy("chunk", "near").applyInArrow(lambda key, t: merge(key, t), schema)
     last = first.groupBy("chunk").applyInArrow(lambda key, t: merge(key, t), schema)
     rows = sorted(last.collect(), key=lambda r: r.chunk)  # one row per chunk: as large as the array, whatever the input
-    return np.concatenate([np.frombuffer(zlib.decompress(r.part), r.dtype) for r in rows])
+    return np.concatenate([np.frombuffer(zlib.decompress(r.part), r.dtype) for r in rows]) if rows else build(iter(()))
 
 
 #: log2 of the bits of a bitmap: 2 MB, whatever the input.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipline.llm import exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing
+from tipline.llm import exact_dedup, fingerprints, html_extraction, language_id, line_dedup, mixing, ngram_join, packing
 from tipline.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer())
 
 
+def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -38,4 +42,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select("row.doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op5_ngram_jaccard_join, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op5_ngram_jaccard_join, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction)}
