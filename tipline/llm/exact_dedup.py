@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, cut, staged
+from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, staged
 
 #: Entries a bucket may hold before it splits.
 BUCKET_ROWS = 65_536
@@ -69,7 +69,7 @@ def directory(entries: DataFrame, bits: int, bucket_rows: int) -> DataFrame:
     while True:
         at = active.withColumn("bucket", _prefix(depth, bits)).withColumn("depth", F.lit(depth))
         full = at.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket")
-        full = cut(full) if depth < min(bits, MAX_DEPTH) else None
+        full = staged(full) if depth < min(bits, MAX_DEPTH) else None
         if full is None or full.isEmpty():
             return at if done is None else done.unionByName(at)
         settled = at.join(full, "bucket", "left_anti")
@@ -86,7 +86,7 @@ def exact_groups(
         source.mapInArrow(_digests, "doc_id long, n_chars long, text_sha256 string, key long").withColumn("key", F.shiftrightunsigned("key", 64 - bits))
     )
     best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
-    entries = cut(rows.groupBy("key", "text_sha256").agg(F.count("*").alias("group_size"), F.min(best).alias("best")))
+    entries = staged(rows.groupBy("key", "text_sha256").agg(F.count("*").alias("group_size"), F.min(best).alias("best")))
     indexed = directory(entries, bits, bucket_rows).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
     index = staged(indexed.select("bucket", "depth", "key", "text_sha256", "group_size", "best"))
     # Entries of one key are a chain: distinct texts whose hashes collide.
@@ -100,7 +100,7 @@ def exact_groups(
     members = source.mapInArrow(_members(bitset), "doc_id long, text_sha256 string, norm binary").join(many, "text_sha256")
     kept_text = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("norm").alias("kept_norm"))
     differ = members.join(kept_text, "text_sha256").where(F.col("norm") != F.col("kept_norm"))
-    differ = cut(differ.select("text_sha256", "norm").distinct())
+    differ = staged(differ.select("text_sha256", "norm").distinct())
     if not differ.isEmpty():  # would need two texts with one SHA-256
         raise ValueError("two different texts share a SHA-256 digest; group_size would be wrong")
 

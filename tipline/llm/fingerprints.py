@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipline.llm.common import SPACE, cut, text_of
+from tipline.llm.common import SPACE, staged, text_of
 
-#: Hashes kept, words in a shingle, bits of a hash.
-K, WORDS, BITS = 128, 5, 48
+#: Hashes kept, words in a shingle, bits of a hash: enough for texts and parts of up to some ten million distinct shingles.
+K, WORDS, BITS = 128, 5, 31
 
 
 def add_words(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -24,12 +24,12 @@ def add_words(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def add_sketch(df: DataFrame, text: str, out: str, k: int = K, words: int = WORDS) -> DataFrame:
-    """Adds the sorted bottom-k hashes of a text column as array<long>."""
+    """Adds the sorted bottom-k hashes of a text column as array<int>."""
     df = add_words(df, text, "_words")
     n = F.size("_words")
     starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (words - 1), F.lit(1))))
     # The column is used twice, so the optimiser keeps the split words as a column instead of splitting for each shingle.
-    hashes = F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col("_words"), i, words)), 64 - BITS))
+    hashes = F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col("_words"), i, words)), 64 - BITS).cast("int"))
     return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop("_words")
 
 
@@ -57,7 +57,7 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def as_string(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), BITS // 4, "0")), "")
+    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), -(-BITS // 4), "0")), "")
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     last, ties by h), this row is; the first row follows the last. Rows are numbered within range partitions; only the ends of the
     partitions meet in one place."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
-    numbered = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    numbered = staged(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("at", 33)
     ends = numbered.groupBy(part.alias("part")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     everyone = Window.partitionBy(F.lit(1))
@@ -86,14 +86,15 @@ def fingerprint_edits(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_
     key = [F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("h")).alias("key")]
     before = F.struct(F.col("before_id").isNull().alias("none"), F.coalesce("before_id", F.lit(0)).alias("doc_id"), F.col("before_h").alias("h")).alias("before")
     links = neighbours(text.select("doc_id", "h", F.char_length("text").alias("n_chars")).distinct()).select(*key, before, "before_chars")
-    own = add_sketch(text.select(*key, "doc_id", "text"), "text", "sketch", k)
     first = Window.partitionBy("key").orderBy(F.lit(1))
-    once = own.join(links, "key").withColumn("copy", F.row_number().over(first)).where("copy = 1")
+    once = add_sketch(text.select(*key, "text"), "text", "sketch", k).join(links, "key").withColumn("copy", F.row_number().over(first)).where("copy = 1")
     half = F.floor(F.col("before_chars") / 2).cast("int")
-    following = once.select(F.col("before").alias("key"), F.substring("text", F.lit(1), half).alias("tail"), F.col("sketch").alias("next_sketch"))
+    following = staged(once.select(F.col("before").alias("key"), F.substring("text", F.lit(1), half).alias("tail"), F.col("sketch").alias("next_sketch")))
     n = F.char_length("text")
-    edited = own.join(following, "key").withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("tail")))
-    edited = edited.select("doc_id", n.cast("long").alias("n_chars"), "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch")
+    own = add_sketch(text.select(*key, "doc_id", "text"), "text", "sketch", k)
+    own = own.select("key", "doc_id", n.cast("long").alias("n_chars"), F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")).alias("head"), "sketch")
+    edited = own.join(following, "key").withColumn("edited", F.concat("head", "tail"))
+    edited = edited.select("doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch")
     return add_sketch(edited, "edited", "edited_sketch", k).select(
         "doc_id",
         "n_chars",

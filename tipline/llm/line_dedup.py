@@ -19,24 +19,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipline.llm.common import SPACE, cut, sized, staged, text_of
+from tipline.llm.common import SPACE, sized, staged, text_of
 
 #: Words from which a line is compared at all, and from which an edit of one word is tolerated.
 MIN_WORDS, NEAR_WORDS = 5, 10
 #: Rows of two or three numbers up to which the lines to look at again are broadcast.
 SMALL = 400_000
+#: Words up to which a line's variants are hashed from its text; longer ones use running sums.
+LONG = 2_000
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), f"{SPACE}+"), lambda w: w != "")
+def _normal(line: Column) -> Column:
+    """The line's words, lower-cased, with one space between them."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(low, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(low, f"{SPACE}+", " ")).otherwise(low))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """place (sorts by document), line_no, words, n, a and b (together the line's 128-bit hash)."""
+    """place (sorts by document), line_no, norm, n (words), a and b (together the line's 128-bit hash)."""
     text = docs.select(_place(id_col, text_col).alias("place"), text_of(text_col).alias("text"))
-    # An outer generator, so that no filter on its size repeats the work.
-    lines = text.select("place", F.posexplode_outer(F.transform(F.split("text", "\n"), _words)).alias("line_no", "words"))
-    return lines.withColumn("n", F.size("words")).where(F.col("n") >= min_words).withColumn("a", F.xxhash64("words")).withColumn("b", F.xxhash64(F.lit("b"), "words"))
+    lines = text.select("place", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    # A generator of one row: the filter below does not repeat the work above it.
+    lines = lines.select("place", "line_no", F.explode_outer(F.array(_normal(F.col("line")))).alias("norm"))
+    n = F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "))) + F.lit(1)
+    lines = lines.withColumn("n", F.when(F.col("norm") == "", F.lit(0)).otherwise(n)).where(F.col("n") >= min_words)
+    return lines.withColumn("a", F.xxhash64("norm")).withColumn("b", F.xxhash64(F.lit("b"), "norm"))
+
+
+def _first(h: Column) -> Column:
+    return F.call_function("substring_index", F.col("norm"), F.lit(" "), h)
+
+
+def _last(h: Column) -> Column:
+    return F.call_function("substring_index", F.col("norm"), F.lit(" "), -h)
 
 
 def _place(id_col: str, text_col: str) -> Column:
@@ -45,26 +63,35 @@ def _place(id_col: str, text_col: str) -> Column:
 
 
 def _halves(near_words: int) -> Column:
-    """Hashes of the first and last h words, for the h of a partner of n - 1 and of n or more words."""
-    n, keys = F.col("n"), []
+    """Hashes of the first and last h words, for the h of a partner of n - 1 and of n or more words; last says which."""
+    n, pairs = F.col("n"), []
     for less in (1, 2):
-        h = F.floor((n - less) / 2).cast("int")
-        keys += [F.xxhash64(F.lit("first"), h, F.slice("words", F.lit(1), h)), F.xxhash64(F.lit("last"), h, F.slice("words", n - h + 1, h))]
-    return F.when(n >= near_words, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<long>"))
+        h = F.shiftright(n - less, 1)
+        pairs.append([F.struct(F.xxhash64(F.lit(name), h, words(h)).alias("half"), F.lit(name == "last").alias("last")) for name, words in (("first", _first), ("last", _last))])
+    # Both are the same h if n is even.
+    return F.when(n < near_words, F.array().cast("array<struct<half:bigint,last:boolean>>")).when(n % 2 == 0, F.array(*pairs[0])).otherwise(F.array(*pairs[0], *pairs[1]))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """One row per variant: a, b, first, at, before, after. Sums of position-bound word hashes stand for the words before and after."""
-    part = Window.partitionBy("a", "b")
-    words = lines.select("a", "b", "first", "n", F.posexplode("words").alias("i", "word"))
-    words = words.withColumn("f", F.shiftright(F.xxhash64("word", "i"), 24)).withColumn("g", F.shiftright(F.xxhash64("word", F.col("n") - F.col("i"), F.lit("g")), 24))
-    upto = part.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    words = words.select("a", "b", "first", "n", "i", "f", "g", F.sum("f").over(upto).alias("sf"), F.sum("g").over(upto).alias("sg"), F.sum("g").over(part).alias("all"))
-    one = lambda at, before, after: F.struct(at.cast("int").alias("at"), before.alias("before"), after.alias("after"))
-    without = one(F.col("i"), F.col("sf") - F.col("f"), F.col("all") - F.col("sg"))
-    room = one(F.col("i"), F.col("sf") - F.col("f"), F.col("all") - F.col("sg") + F.col("g"))
-    end = F.when(F.col("i") == F.col("n") - 1, one(F.col("n"), F.col("sf"), F.lit(0).cast("long")))
-    return words.select("a", "b", "first", F.explode(F.array_compact(F.array(without, room, end))).alias("v")).select("a", "b", "first", "v.*")
+    """line, key: the line without its i-th word, and the line with room for a word at i; key hashes i and the words before and after.
+    Where only a first half is shared, i lies behind it; where only a last one is, before it."""
+    h = F.shiftright(F.col("n") - 2, 1)
+    spots = F.sequence(F.when(F.col("last"), F.lit(1)).otherwise(h + 1), F.when(F.col("first_too"), F.col("n") + 1).otherwise(F.col("n") - h + 1))
+    short = lines.where(F.col("n") <= LONG + 1).select("line", "norm", "n", F.explode(spots).alias("i"))
+    n, i = F.col("n"), F.col("i")
+    before, after = F.xxhash64(_first(i - 1)), F.xxhash64(_last(n - i + 1))
+    without = F.when(i <= n, F.xxhash64(i, before, F.xxhash64(_last(n - i))))
+    short = short.select("line", F.explode(F.array_compact(F.array(without, F.xxhash64(i, before, after)))).alias("key"))
+    # Lines too long to hash once per word: sums of position-bound word hashes stand for the words before and after.
+    words = lines.where(F.col("n") >= LONG).select("line", "n", F.posexplode(F.split("norm", " ")).alias("j", "word"))
+    words = words.withColumn("f", F.shiftright(F.xxhash64("word", "j"), 24)).withColumn("g", F.shiftright(F.xxhash64("word", F.col("n") - F.col("j"), F.lit("g")), 24))
+    part = Window.partitionBy("line")
+    upto = part.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    words = words.select("line", "n", F.col("j").alias("i"), "f", "g", F.coalesce(F.sum("f").over(upto), zero).alias("sf"), (F.sum("g").over(part) - F.coalesce(F.sum("g").over(upto), zero)).alias("sg"))
+    end = F.when(F.col("i") == F.col("n") - 1, F.xxhash64("n", F.col("sf") + F.col("f"), zero))
+    keys = F.array(F.xxhash64("i", "sf", F.col("sg") - F.col("g")), F.xxhash64("i", "sf", "sg"), end)
+    return short.unionByName(words.select("line", F.explode(F.array_compact(keys)).alias("key")))
 
 
 def _within_one(x: Column, y: Column) -> Column:
@@ -80,20 +107,21 @@ def _within_one(x: Column, y: Column) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, near_words: int) -> DataFrame:
     """a, b of lines that have an earlier line within one word. distinct: a, b, first, halves of each distinct line."""
-    halves = distinct.select("a", "b", "first", F.explode("halves").alias("half"))
+    halves = distinct.select("a", "b", "first", F.inline("halves"))
     shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("half")
-    some = cut(halves.join(shared, "half").select("a", "b", "first").distinct())
+    some = staged(halves.join(shared, "half").groupBy("a", "b", "first").agg(F.bool_or("last").alias("last"), F.bool_or(~F.col("last")).alias("first_too")))
     again = _lines(docs, id_col, text_col, near_words)
     found = again.join(sized(some, SMALL), ["a", "b"]).where("place = first.place AND line_no = first.line_no")
-    lines = staged(found.groupBy("a", "b", "first", "n").agg(F.first("words").alias("words")))
+    lines = found.groupBy("a", "b", "first", "n", "last", "first_too").agg(F.first("norm").alias("norm"))
+    lines = staged(lines.withColumn("line", F.monotonically_increasing_id()))
     variants = staged(_variants(lines))
-    key = ["at", "before", "after"]
-    heads = variants.groupBy(*key).agg(F.min(F.struct("first", "a", "b")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    pairs = variants.join(heads, key).where("first > head.first").select("a", "b", F.col("head.a").alias("c"), F.col("head.b").alias("d")).distinct()
-    mine = lines.select("a", "b", "words")
-    theirs = lines.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("words").alias("earlier"))
-    checked = pairs.join(mine, ["a", "b"]).join(theirs, ["c", "d"]).where(_within_one(F.col("words"), F.col("earlier")))
-    return cut(checked.select("a", "b").distinct())
+    shared = variants.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("key")
+    met = staged(variants.join(shared, "key").join(lines.select("line", "first"), "line"))
+    heads = met.groupBy("key").agg(F.min(F.struct("first", "line")).alias("head"))
+    pairs = met.join(heads, "key").where("first > head.first").select("line", F.col("head.line").alias("other")).distinct()
+    theirs = lines.select(F.col("line").alias("other"), F.split("norm", " ").alias("earlier"))
+    checked = pairs.join(lines.select("line", "a", "b", F.split("norm", " ").alias("words")), "line").join(theirs, "other")
+    return staged(checked.where(_within_one(F.col("words"), F.col("earlier"))).select("a", "b").distinct())
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +135,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     dropped = lines.drop("halves").join(gone, ["a", "b"]).where("near OR at > first").select("at.place", "at.line_no")
     dropped = dropped.groupBy("place").agg(F.collect_set("line_no").alias("dropped"))  # bounded by the lines of a document
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), _place(id_col, text_col).alias("place"))
-    rows = rows.join(dropped, "place", "left")
+    rows = rows.join(dropped.hint("shuffle_hash"), "place", "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains("dropped", i))
     return rows.select(

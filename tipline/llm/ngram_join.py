@@ -25,71 +25,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipline.llm.common import BITMAP_BITS, bitmap, cut, staged, summed
+from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, sized, staged, summed
 
 #: Words in a shingle, and the similarity in per cent from which documents are linked.
 WORDS, PERCENT = 5, 80
-#: log2 of the counters of the frequency sketch (4 MB, whatever the input); distinct words a task remembers.
-SKETCH_BITS, REMEMBERED = 20, 1_000_000
+#: log2 of the counters of the frequency sketch (4 MB, whatever the input), sets a task remembers, and bytes of text hashed at a time.
+SKETCH_BITS, REMEMBERED, SLICE_BYTES = 20, 1_000_000, 1 << 20
+#: Rows of one or two numbers up to which the pairs of a round are broadcast.
+SMALL = 400_000
 #: Candidate pairs per index entry from which lists are worked off by leaders instead of outright.
 PAIRS_PER_ENTRY = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def shingle_set(text: bytes, words_hash: dict, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes (uint64) of a text."""
-    tokens = text.lower().split()
-    n = len(tokens)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words_hash.__getitem__, tokens), np.uint64, n)
-    m, w = max(1, n - words + 1), min(n, words)
-    out = np.full(m, w, np.uint64)
-    for k in range(w):
-        out = (out ^ h[k : k + m]) * _MIX[k % 4]
-        out ^= out >> np.uint64(29)
-    out *= _MIX[4]
-    out ^= out >> np.uint64(32)
-    out *= _MIX[5]
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+class Shingler:
+    """Sorted distinct shingle hashes of the texts of an Arrow array, a slice of texts at a time in numpy.
+
+    A word's hash is a polynomial over random 64-bit values of its bytes (A-Z as a-z), read off running sums."""
+
+    BASE = 0x5851F42D4C957F2D
+
+    def __init__(self, words: int = WORDS):
+        self.words = words
+        self.value = np.random.default_rng(20).integers(1 << 63, (1 << 64) - 1, 256, np.uint64, endpoint=True)
+        self.value[65:91] = self.value[97:123]
+        self.space = np.isin(np.arange(256), np.frombuffer(SPACE_BYTES, np.uint8))
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, SLICE_BYTES)
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = texts.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES)) - 1)
+            yield from self._slice(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            at = end
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        n, w = len(data), self.words
+        self._powers(n)
+        space = self.space[data]
+        opens, closes = np.ones(n, bool), np.ones(n, bool)
+        opens[1:], closes[:-1] = space[:-1], space[1:]
+        opens[offsets[offsets < n]] = True
+        closes[offsets[offsets > 0] - 1] = True
+        starts, ends = np.flatnonzero(opens & ~space), np.flatnonzero(closes & ~space) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.down[starts]
+        h ^= h >> np.uint64(31)
+        many = max(0, len(h) - w + 1)
+        out = self._mixed([h[k : k + many] for k in range(w)])
+        firsts = np.searchsorted(starts, offsets).tolist()
+        for a, b in zip(firsts, firsts[1:], strict=False):
+            if b - a >= w:
+                s = np.sort(out[a : b - w + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+            else:
+                yield self._mixed([h[k : k + 1] for k in range(a, b)]) if b > a else h[:0]
+
+    @staticmethod
+    def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+        out = np.full(len(parts[0]), len(parts), np.uint64)
+        for k, p in enumerate(parts):
+            out = (out ^ p) * _MIX[k % 4]
+            out ^= out >> np.uint64(29)
+        out *= _MIX[4]
+        out ^= out >> np.uint64(32)
+        out *= _MIX[5]
+        return out ^ out >> np.uint64(29)
 
 
 def _set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _texts(batch: pa.RecordBatch, column: int = 0) -> list[bytes]:
-    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+def _row_keys(batch: pa.RecordBatch) -> list[int]:
+    """A hash of each row's doc_id and raw text."""
+    pairs = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
+    return [int.from_bytes(hashlib.blake2b(t or b"", digest_size=8, salt=str(i).encode()[:16]).digest(), "little", signed=True) for i, t in pairs]
 
 
 def _sketch(words: int):
     def build(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        known, counts = _WordHash(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        shingler, counts = Shingler(words), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            hashes = np.concatenate([shingle_set(text, known, words) for text in _texts(batch)] or [np.zeros(0, np.uint64)])
-            counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            for s in shingler.sets(batch.column(0)):
+                counts[s >> np.uint64(64 - SKETCH_BITS)] += np.uint32(1)  # two of one set in one counter count once: only the order of tokens depends on it
         return counts
 
     return build
 
 
 def _rows(words: int):
-    """doc_id, n_shingles, sid of each document."""
+    """doc_id, n_shingles, sid (hash of the set) and row (hash of the row) of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
+        shingler = Shingler(words)
         for batch in batches:
-            sets = [shingle_set(t, known, words) for t in _texts(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sid"])
+            ns, sids = [], []
+            for s in shingler.sets(batch.column(1)):
+                ns.append(len(s))
+                sids.append(_set_id(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(_row_keys(batch), pa.int64())], names=["doc_id", "n_shingles", "sid", "row"])
 
     return rows
 
@@ -98,11 +142,10 @@ def _prefixes(words: int, percent: int, counts: np.ndarray):
     """token, sid, n, pos: the index prefix of each set, once per set and task."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHash(), set()
+        shingler, seen = Shingler(words), set()
         for batch in batches:
             tokens, sids, ns, lengths = [], [], [], []
-            for text in _texts(batch):
-                s = shingle_set(text, known, words)
+            for s in shingler.sets(batch.column(0)):
                 n = len(s)
                 if not n or (sid := _set_id(s)) in seen:
                     continue
@@ -123,30 +166,24 @@ def _prefixes(words: int, percent: int, counts: np.ndarray):
 
 
 def _wanted_sets(words: int, bits: np.ndarray):
-    """sid and sorted hashes of the sets whose bit is set."""
+    """sid and sorted hashes of the rows whose bit is set."""
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHash(), set()
-        for batch in batches:
-            sids, sets = [], []
-            for text in _texts(batch):
-                s = shingle_set(text, known, words)
-                if not len(s) or (sid := _set_id(s)) in seen or not bits[(sid & (1 << 64) - 1) >> 64 - BITMAP_BITS]:
-                    continue
-                if len(seen) < REMEMBERED:
-                    seen.add(sid)
-                sids.append(sid)
-                sets.append(s.view(np.int64))
-            if sids:
+        shingler = Shingler(words)
+        for whole in batches:
+            keys = np.array(_row_keys(whole), np.int64).view(np.uint64)
+            chosen = whole.filter(pa.array(bits[keys >> np.uint64(64 - BITMAP_BITS)]))
+            for at in range(0, chosen.num_rows, 500):
+                sets = list(shingler.sets(chosen.column(1).slice(at, 500)))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["sid", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["sid", "hashes"])
 
     return wanted
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of each end of the edges (columns a, b; long)."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if edges.isEmpty():
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
@@ -161,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = star(down, low, "v > m").unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
+        edges = staged(small.where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == before:  # a forest of stars
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
@@ -174,16 +211,21 @@ def _reaches(percent: int, x: str, y: str) -> str:
     return f"100 * least(n{x}, n{y}) >= {percent} * greatest(n{x}, n{y}) AND {100 + percent} * cast({bound} AS long) >= {percent} * (cast(n{x} AS long) + n{y})"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked and similarity of distinct pairs."""
-    left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = left.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("i"), (F.size("ha") + F.size("hb")).cast("long").alias("s"))
-    return cut(both.select("a", "b", (F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).alias("linked"), (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")))
+def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b, linked and similarity of pairs. Reads the texts again, but shingles only those that a pair needs."""
+    pairs = staged(pairs.distinct())
+    needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    chosen = rows.join(sized(needed, SMALL), "sid").groupBy("sid").agg(F.min("row").alias("row"))
+    sets = staged(source.mapInArrow(_wanted_sets(words, bitmap(chosen, "row")), "sid long, hashes array<bigint>"))
+    left = sets.join(sized(pairs, SMALL), sets.sid == F.col("a")).select("a", "b", F.col("hashes").alias("ha"))
+    right = sets.join(sized(pairs.select("b").distinct(), SMALL), sets.sid == F.col("b")).select("b", F.col("hashes").alias("hb"))
+    both = left.join(right, "b").select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("i"), (F.size("ha") + F.size("hb")).cast("long").alias("s"))
+    return staged(both.select("a", "b", (F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).alias("linked"), (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).distinct())
 
 
-def set_links(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs_per_entry: int = PAIRS_PER_ENTRY) -> DataFrame:
-    """id, component of the sets (by sid) that are linked with another one. texts: one string column."""
+def set_links(rows: DataFrame, source: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs_per_entry: int = PAIRS_PER_ENTRY) -> DataFrame:
+    """id, component of the sets (by sid) that are linked with another one. source: doc_id, text; rows: made of it by _rows()."""
+    texts = source.select("text")
     counts = summed(texts, _sketch(words), np.add)
     entries = texts.mapInArrow(_prefixes(words, percent, counts), "token long, sid long, n int, pos int")
     shared = entries.withColumn("low", F.expr("min(sid) OVER (PARTITION BY token)")).withColumn("high", F.expr("max(sid) OVER (PARTITION BY token)")).where("low < high")
@@ -192,19 +234,15 @@ def set_links(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, pair
     blocked = shared.select("token", "sid", "n", "pos", F.explode(F.array(block, block + 1)).alias("block"))
     lists = staged(blocked.groupBy(F.xxhash64("token", "block").alias("lid"), "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
     ends = lists.groupBy("lid").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("lid")
-    lists = cut(lists.join(ends, "lid").withColumn("component", F.col("sid")).withColumn("led", F.lit(None).cast("double")))
+    lists = staged(lists.join(ends, "lid").withColumn("component", F.col("sid")).withColumn("led", F.lit(None).cast("double")))
     none = texts.sparkSession.createDataFrame([], "id long, component long")
     if lists.isEmpty():
         return none
-    bits = bitmap(lists.select("sid").distinct(), "sid")
-    found = texts.mapInArrow(_wanted_sets(words, bits), "sid long, hashes array<bigint>")
-    sets = staged(found.join(lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes")))
-
     links = none.select(F.col("id").alias("a"), F.col("component").alias("b"))
     turn = 0
     while True:
         spread = lists.groupBy("lid", "component").agg(F.count("*").alias("k")).groupBy("lid").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("kinds"))
-        spread = cut(spread.where("kinds > 1").select("lid", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), "m"))
+        spread = staged(spread.where("kinds > 1").select("lid", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), "m"))
         left = spread.agg(F.sum("pairs").alias("pairs"), F.sum("m").alias("m")).first()
         if not left.m:
             break
@@ -219,11 +257,11 @@ def set_links(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, pair
             order = F.struct("component", "sid") if turn == 0 else F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("sid", F.lit(turn)), F.col("sid"))
             heads = lists.groupBy("lid").agg(F.min_by(F.struct("sid", "n", "pos", "component"), order).alias("h"))
             heads = heads.select("lid", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "pos", "component")])
-            facing = cut(lists.join(heads, "lid").where("sid <> sid_y"))
+            facing = staged(lists.join(heads, "lid").where("sid <> sid_y"))
             here = facing.withColumnsRenamed({"n": "n_x", "pos": "pos_x"}).where("component <> component_y AND " + _reaches(percent, "_x", "_y"))
             pairs = here.select(F.col("sid").alias("a"), F.col("sid_y").alias("b")).distinct()
-        done = _verified(pairs, sets, percent)
-        links = cut(links.unionByName(done.where("linked").select("a", "b")))
+        done = _verified(pairs, rows, source, words, percent)
+        links = staged(links.unionByName(done.where("linked").select("a", "b")))
         if outright:
             break
         known = components(links)
@@ -231,7 +269,7 @@ def set_links(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, pair
         if turn == 0:  # distances of a list's entries to one and the same set
             facing = facing.join(similarity, ["sid", "sid_y"], "left").withColumn("led", F.col("seen")).drop("seen")
         lists = facing.drop("sid_y", "n_y", "pos_y", "component_y", "component")
-        lists = cut(lists.join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+        lists = staged(lists.join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
         turn += 1
     return components(links)
 
@@ -239,11 +277,11 @@ def set_links(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, pair
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), sid (equal for equal sets)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(source.mapInArrow(_rows(words), "doc_id long, n_shingles long, sid long"))
-    linked = set_links(source.select("text"), words, percent)
+    rows = staged(source.mapInArrow(_rows(words), "doc_id long, n_shingles long, sid long, row long"))
+    linked = set_links(rows, source, words, percent)
     named = rows.join(linked.withColumnRenamed("id", "sid"), "sid", "left")
     # The empty set is linked with nothing, not even with itself.
-    named = cut(named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "sid"))))
+    named = staged(named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "sid"))))
     names = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(names, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sid")

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipline.llm.common import staged
+from tipline.llm.common import slices, staged
 
 #: Tokens of a sequence, and pieces that one task packs at a time.
 LENGTH, GROUP_PIECES = 2048, 12_000
-#: Distinct words whose ids a task remembers; it then starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker keeps, and bytes of text tokenised at a time (or one document).
+REMEMBERED, SLICE_BYTES = 600_000, 2 << 20
 #: Neighbouring bins that the local search pairs, and its rounds.
 NEAR, ROUNDS = 24, 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,33 +39,69 @@ class _Ids(dict):
 
         super().__init__()
         self.encode = Tokenizer.from_file(path).encode
+        self.cores: dict[bytes, bytes] = {}
+        self.rare: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.rare[word]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes the ids of all words known. Once REMEMBERED words are kept, others are known until the next call only: frequent words come early.
+
+        Letters and the stops after them are separate tokens, and case is dropped, so each letter sequence is encoded once."""
+        parts, cores = {}, self.cores
+        for w in words:
+            if w not in self:
+                core = w.rstrip(b".,")
+                if len(core) < len(w) and core.decode().isalpha():
+                    parts[w] = (core.lower(), w[len(core) :])
+                else:
+                    parts[w] = (w.lower() if w.isalpha() else w,)
+        new = list({c for p in parts.values() for c in p if c not in cores})
+        found = cores if len(cores) < REMEMBERED else {}
+        for at in range(0, len(new), 1000):
+            some = [c.decode() for c in new[at : at + 1000]]
+            coded = self.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4")
+            starts = np.fromiter((o[0] for o in coded.offsets), np.int64, len(ids))
+            ends = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in some])).tolist()
+            raw, begin = ids.tobytes(), 0
+            for c, end in zip(new[at : at + 1000], ends, strict=True):
+                found[c] = raw[4 * begin : 4 * end]
+                begin = end
+        self.rare = {}
+        keep = self if len(self) < REMEMBERED else self.rare
+        for w, p in parts.items():
+            keep[w] = b"".join([found[c] if c in found else cores[c] for c in p])
+
+
+#: Kept for the next task of the same Python worker; it only saves time.
+_KNOWN: dict[str, _Ids] = {}
 
 
 def _cutter(path: str, length: int, end_id: int):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _Ids(path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, (text or b"").split())) + end
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids_of, end = _KNOWN.get(path) or _KNOWN.setdefault(path, _Ids(path)), np.array([end_id], dtype="<u4").tobytes()
+        for whole in batches:
+            for batch in slices(whole, 1, SLICE_BYTES):
+                texts = [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                ids_of.learn(set().union(*texts))
+                out: list[tuple] = []
+                for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
+                    ids = b"".join(map(ids_of.__getitem__, words)) + end
+                    for k, start in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[start : start + 4 * length]
+                        out.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
+                yield _piece_batch(out)
 
     return cut_up
 
 
+def _piece_batch(out: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_cutter(tokenizer_path, length, end_id), PIECES)
