@@ -20,12 +20,13 @@ from tipline.llm.common import WORD, sized, staged, text_of
 HASH_BITS, STEP = 60, 12
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, place (hash of the id), key (source, with null as a value of its own that sorts last) and size in words."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """row_col where given, doc_id, place (hash of the id), key (source, with null as a value of its own that sorts last) and size in words."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10)
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source_col).cast("string")))
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), hashed.cast("long").alias("place"), key.alias("key"), size.alias("size"))
+    row = [F.col(row_col)] if row_col else []
+    return docs.select(*row, F.col(id_col).alias("doc_id"), hashed.cast("long").alias("place"), key.alias("key"), size.alias("size"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -78,12 +79,13 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    base = staged(sizes(docs, id_col, text_col, source_col))
+    """One row per document: row_col where given, doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    base = staged(sizes(docs, id_col, text_col, source_col, row_col))
     wanted = staged(targets(base.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, cap))
     edges = thresholds(base, wanted)
     plan = staged(wanted.join(edges, "key", "left"))
     once = F.coalesce((F.col("place") < F.col("last")) | ((F.col("place") == F.col("last")) & F.col("with_last")), F.lit(False))
     epochs = F.coalesce(F.col("epochs"), F.lit(0).cast("long"))
-    return base.join(sized(plan), "key").select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (epochs + once.cast("long"))).alias("taken"))
+    return base.join(sized(plan), "key").select(*[row_col] * bool(row_col), "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (epochs + once.cast("long"))).alias("taken"))

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipline.llm import exact_dedup, fingerprints, html_extraction, language_id, line_dedup, mixing, ngram_join, packing
+from tipline.llm import exact_dedup, fingerprints, html_extraction, language_id, language_model, line_dedup, mixing, ngram_join, packing, quality
 from tipline.llm.common import documents
 
 
-def _tokenizer() -> str:
+def word_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer())
+    return packing.pack(documents(spark, sf_dir), word_tokenizer())
 
 
 def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir)).drop("sid")
 
 
+def op6_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -46,4 +54,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op5_ngram_jaccard_join, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op4_pitman_yor_scores, op5_ngram_jaccard_join, op6_co_training_quality, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction)}
