@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tipline.plans import evaluation, features, merging
+from tipline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["evaluation", "features", "merging"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict:
-    return {}
+    return dict(ORACLES)
