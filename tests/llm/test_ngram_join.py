@@ -69,3 +69,10 @@ def test_against_brute_force(spark, sf_dir):
 
 def test_empty(spark):
     assert ngram_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_both_ways_to_components_agree(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "a long, b long")
+    few, many = ({(r.id, r.component) for r in ngram_join.components(edges, small).collect()} for small in (1000, 0))
+    assert few == many

@@ -3,11 +3,11 @@
 A document is the set of its word shingles (64-bit hashes). Equal sets share one answer and enter once. All sets sort their
 shingles by one global order, rarest first as far as a sketch of fixed size can tell, and index the shortest prefix that any
 similar set must hit. Index lists are blocked by set size, and entries carry their position, so that blocks and entries that
-cannot reach the threshold are skipped. Within a list the answers of one set, the leader, are computed first; the answers
-of the sets linked with it are derived: they are in its component already and are not compared again, and the known
-similarities to the leader bound all others (the Jaccard distance is a metric). Lists are worked off leader by leader, in
+cannot reach the threshold are skipped. Within a list the answers of a few sets, the leaders, are computed first; the answers
+of the sets linked with one are derived: they are in its component already and are not compared again, and the known
+similarities to the first leader bound all others (the Jaccard distance is a metric). Lists are worked off leader by leader, in
 rounds over all lists at once, until what is left is small enough to compare outright. Components come from a
-large-star/small-star contraction. No step lists the pairs of a group of similar sets.
+large-star/small-star contraction, or from one task while the links are few. No step lists the pairs of a group of similar sets.
 
 Defined results: null text is empty; a document without words has the empty set and is linked with nothing; fewer words than a
 shingle has form one shingle; rows that repeat an id are one document per row; a null id takes part and its component is
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, sized, staged, summed
@@ -34,7 +34,9 @@ SKETCH_BITS, REMEMBERED, SLICE_BYTES = 20, 1_000_000, 1 << 20
 #: Rows of one or two numbers up to which the pairs of a round are broadcast.
 SMALL = 400_000
 #: Candidate pairs per index entry from which lists are worked off by leaders instead of outright.
-PAIRS_PER_ENTRY = 4
+PAIRS_PER_ENTRY = 64
+#: Leaders of each list in one round.
+LEADERS = 64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -181,11 +183,30 @@ def _wanted_sets(words: int, bits: np.ndarray):
     return wanted
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of each end of the edges (columns a, b; long)."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, component of a bounded number of edges, by union-find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a), parent.setdefault(b, b)
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"])
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """id, component (the smallest id reachable) of each end of the edges (columns a, b; long). Up to small edges go to one task; more are contracted over all."""
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if edges.limit(small + 1).count() <= small:
+        return edges.coalesce(1).mapInArrow(_united, "id long, component long")
 
     def star(both: DataFrame, least: DataFrame, condition: str) -> DataFrame:
         return both.join(least, "u").where(condition).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -254,22 +275,22 @@ def set_links(rows: DataFrame, source: DataFrame, words: int = WORDS, percent: i
             pairs = x.join(y, "lid").where("sid_x < sid_y AND component_x <> component_y AND " + _reaches(percent, "_x", "_y")).where(near)
             pairs = pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
         else:
-            order = F.struct("component", "sid") if turn == 0 else F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("sid", F.lit(turn)), F.col("sid"))
-            heads = lists.groupBy("lid").agg(F.min_by(F.struct("sid", "n", "pos", "component"), order).alias("h"))
-            heads = heads.select("lid", *[F.col(f"h.{c}").alias(f"{c}_y") for c in ("sid", "n", "pos", "component")])
-            facing = staged(lists.join(heads, "lid").where("sid <> sid_y"))
-            here = facing.withColumnsRenamed({"n": "n_x", "pos": "pos_x"}).where("component <> component_y AND " + _reaches(percent, "_x", "_y"))
+            order = ["component", "sid"] if turn == 0 else [F.xxhash64("component", F.lit(turn)), F.xxhash64("sid", F.lit(turn)), F.col("sid")]
+            ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("lid").orderBy(*order))).where(F.col("rank") <= LEADERS)
+            heads = staged(ranked.select("lid", "rank", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "component")]))
+            here = lists.withColumnsRenamed({"n": "n_x", "pos": "pos_x"}).join(heads, "lid").where("sid <> sid_y AND component <> component_y AND " + _reaches(percent, "_x", "_y"))
             pairs = here.select(F.col("sid").alias("a"), F.col("sid_y").alias("b")).distinct()
         done = _verified(pairs, rows, source, words, percent)
         links = staged(links.unionByName(done.where("linked").select("a", "b")))
         if outright:
             break
         known = components(links)
-        similarity = done.select(F.col("a").alias("sid"), F.col("b").alias("sid_y"), F.col("similarity").alias("seen"))
+        rest = lists.join(heads.select("lid", F.col("sid_y").alias("sid")), ["lid", "sid"], "left_anti")
         if turn == 0:  # distances of a list's entries to one and the same set
-            facing = facing.join(similarity, ["sid", "sid_y"], "left").withColumn("led", F.col("seen")).drop("seen")
-        lists = facing.drop("sid_y", "n_y", "pos_y", "component_y", "component")
-        lists = staged(lists.join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+            similarity = done.select(F.col("a").alias("sid"), F.col("b").alias("sid_y"), F.col("similarity").alias("seen"))
+            rest = rest.join(heads.where("rank = 1").select("lid", "sid_y"), "lid").join(similarity, ["sid", "sid_y"], "left").withColumn("led", F.col("seen")).drop("seen", "sid_y")
+        merged = rest.drop("component").join(known.withColumnRenamed("id", "sid"), "sid", "left")
+        lists = staged(merged.withColumn("component", F.coalesce("component", "sid")))
         turn += 1
     return components(links)
 
