@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document, or an earlier place, has; those of which nothing is left go."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Documents without the lines, of any length, that an earlier document, or an earlier place, has; those of which nothing is left go."""
+    cleaned = line_dedup.dedup_lines(docs, min_words=1, unspaced=True)
     left = cleaned.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     values = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))}
     return left.select([values.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])

@@ -52,3 +52,16 @@ def test_edges(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = staged(stage(spark, docs, ""))
         assert docs.count() >= 0
+
+
+def test_short_lines_and_lines_without_spaces_collapse(spark):
+    chinese, thai = "今天的天气非常好我们去公园散步", "สวัสดีครับวันนี้อากาศดีมาก"
+    rows = [
+        (1, f"Home\nread more\n{chinese}\n\nonly here", "en", "s", 0),
+        (2, f"HOME\nRead  more\n{chinese}\n\nkept", "en", "s", 0),
+        (3, f"home\n{chinese.replace('好', '坏')}\n{thai}\n好的", "zh", "s", 0),
+        (4, f"{thai.replace('ดี', 'ดีๆ', 1)}\n坏的\nfour words stay here", "th", "s", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "\nkept", 3: f"{thai}\n好的", 4: "坏的\nfour words stay here"}

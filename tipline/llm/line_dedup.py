@@ -2,7 +2,9 @@
 
 A line counts by its words, lower-cased. It is dropped when the same line, or one within an edit distance of one word (a word
 replaced, added or missing), occurs earlier: in a smaller doc_id, or before it in the same document. Lines of fewer than
-MIN_WORDS words always stay; lines of fewer than NEAR_WORDS words only go when an equal line is earlier.
+min_words words always stay; lines of fewer than near_words words only go when an equal line is earlier. With unspaced, each letter of a
+script that is written without spaces is a word, and white space beside it does not count. The registered query keeps to its SQL twin
+(MIN_WORDS, words by white space only); the corpus pipeline compares every non-empty line, with unspaced.
 
 Equal lines collapse first, so that frequent lines are one row each. Only lines that share an intact half with another line can
 be within the bound (one edit leaves the first or the last half alone); for these, all variants are emitted as hashed keys:
@@ -23,27 +25,31 @@ from tipline.llm.common import SPACE, sized, staged, text_of
 
 #: Words from which a line is compared at all, and from which an edit of one word is tolerated.
 MIN_WORDS, NEAR_WORDS = 5, 10
+#: Letters of scripts that put no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: Rows of two or three numbers up to which the lines to look at again are broadcast.
 SMALL = 400_000
 #: Words up to which a line's variants are hashed from its text; longer ones use running sums.
 LONG = 2_000
 
 
-def _normal(line: Column) -> Column:
+def _normal(line: Column, unspaced: bool) -> Column:
     """The line's words, lower-cased, with one space between them."""
     low = F.lower(line)
+    if unspaced:
+        low = F.when((F.octet_length(low) > F.char_length(low)) & low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
     odd = F.contains(low, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(low, F.lit(c))
     return F.trim(F.when(odd, F.regexp_replace(low, f"{SPACE}+", " ")).otherwise(low))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, unspaced: bool) -> DataFrame:
     """place (sorts by document), line_no, norm, n (words), a and b (together the line's 128-bit hash)."""
     text = docs.select(_place(id_col, text_col).alias("place"), text_of(text_col).alias("text"))
     lines = text.select("place", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     # A generator of one row: the filter below does not repeat the work above it.
-    lines = lines.select("place", "line_no", F.explode_outer(F.array(_normal(F.col("line")))).alias("norm"))
+    lines = lines.select("place", "line_no", F.explode_outer(F.array(_normal(F.col("line"), unspaced))).alias("norm"))
     n = F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "))) + F.lit(1)
     lines = lines.withColumn("n", F.when(F.col("norm") == "", F.lit(0)).otherwise(n)).where(F.col("n") >= min_words)
     return lines.withColumn("a", F.xxhash64("norm")).withColumn("b", F.xxhash64(F.lit("b"), "norm"))
@@ -105,12 +111,12 @@ def _within_one(x: Column, y: Column) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= 1) & (common(x, y) + common(F.reverse(x), F.reverse(y)) >= longest - 1)
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, near_words: int) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, near_words: int, unspaced: bool = False) -> DataFrame:
     """a, b of lines that have an earlier line within one word. distinct: a, b, first, halves of each distinct line."""
     halves = distinct.select("a", "b", "first", F.inline("halves"))
     shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("half")
     some = staged(halves.join(shared, "half").groupBy("a", "b", "first").agg(F.bool_or("last").alias("last"), F.bool_or(~F.col("last")).alias("first_too")))
-    again = _lines(docs, id_col, text_col, near_words)
+    again = _lines(docs, id_col, text_col, near_words, unspaced)
     found = again.join(sized(some, SMALL), ["a", "b"]).where("place = first.place AND line_no = first.line_no")
     lines = found.groupBy("a", "b", "first", "n", "last", "first_too").agg(F.first("norm").alias("norm"))
     lines = staged(lines.withColumn("line", F.monotonically_increasing_id()))
@@ -124,13 +130,13 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str,
     return staged(checked.where(_within_one(F.col("words"), F.col("earlier"))).select("a", "b").distinct())
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text", unspaced: bool = False) -> DataFrame:
     """row (a struct of all input columns), text without the dropped lines, n_lines and n_dropped."""
     occurrence = F.struct("place", "line_no").alias("at")
-    lines = staged(_lines(docs, id_col, text_col, min_words).select(occurrence, "a", "b", _halves(near_words).alias("halves")))
+    lines = staged(_lines(docs, id_col, text_col, min_words, unspaced).select(occurrence, "a", "b", _halves(near_words).alias("halves")))
     grouped = lines.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves"))
     distinct = staged(grouped)
-    near = near_lines(docs, distinct, id_col, text_col, near_words).withColumn("near", F.lit(True))
+    near = near_lines(docs, distinct, id_col, text_col, near_words, unspaced).withColumn("near", F.lit(True))
     gone = distinct.join(near, ["a", "b"], "left").where("times > 1 OR near").select("a", "b", "first", "near")
     dropped = lines.drop("halves").join(gone, ["a", "b"]).where("near OR at > first").select("at.place", "at.line_no")
     dropped = dropped.groupBy("place").agg(F.collect_set("line_no").alias("dropped"))  # bounded by the lines of a document
