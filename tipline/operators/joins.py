@@ -95,13 +95,42 @@ def merge_sources(rows: DataFrame, keys: list[str], fields: list[str], priority:
     return sources.join(merged, keys, "left").select(*keys, "n_sources", *fields, F.coalesce(conflicts, F.lit(0)).alias("n_conflicts"))
 
 
-def closest_names(left: DataFrame, right: DataFrame, name: str, cutoff: float = 0.92, block: int = 3) -> DataFrame:
-    """Each left name with the closest right one: equal, or at least cutoff alike by edit distance and alike in their first letters.
+def closest_names(left: DataFrame, right: DataFrame, name: str, cutoff: float = 0.92) -> DataFrame:
+    """Each left name with the closest right one: equal, or at least cutoff alike by edit distance; among equals the smallest name wins.
+
+    Names without an equal one are joined on segments: a right name is cut into one more segment than the edits that any partner may have, so
+    that one segment is intact in every partner at the cutoff, shifted by no more than the edits before and after it allow."""
+    if not 0 < cutoff <= 1:
+        raise ValueError("cutoff must be above 0 and at most 1")
+    eps = 1e-9  # rounding must not lose a pair at the cutoff; similarity itself decides
+
+    def floor(x: Column) -> Column:
+        return F.floor(x + eps).cast("int")
+
+    def edits(length: Column) -> Column:
+        return floor(length * (1 - cutoff))
+
+    # For a right name of b letters: the longest partner has b / cutoff, and segment i is the letters from start to end.
+    b, i = F.col("b"), F.col("i")
+    spots = F.sequence(F.lit(0), edits(floor(b / cutoff)))
+    start, end = F.floor(i * b / F.size("spots")).cast("int"), F.floor((i + 1) * b / F.size("spots")).cast("int")
+    lhs, rhs = left.select(F.col(name).alias("left_name")).distinct(), right.select(F.col(name).alias("right_name")).distinct()
+    equal = lhs.join(rhs, F.col("left_name") == F.col("right_name"))
+    rest = lhs.where("left_name IS NOT NULL").join(rhs, F.col("left_name") == F.col("right_name"), "left_anti")
+
+    cut = rhs.where("right_name IS NOT NULL").select("right_name", F.length("right_name").alias("b")).withColumn("spots", spots)
+    cut = cut.withColumn("i", F.explode("spots")).withColumn("segment", F.col("right_name").substr(start + 1, end - start)).select("b", "i", "segment", "right_name")
+
+    a = F.length("left_name")
+    asked = rest.withColumn("b", F.explode(F.sequence(F.ceil(a * cutoff - eps).cast("int"), floor(a / cutoff))))
+    asked = asked.withColumn("spots", spots).withColumn("i", F.explode("spots"))
+    more, most = a - b, edits(F.greatest(a, b))
+    first, last = F.greatest(start + F.ceil((more - most) / 2).cast("int"), F.lit(0)), F.least(start + F.floor((more + most) / 2).cast("int"), a - (end - start))
+    asked = asked.withColumn("at", F.explode(F.when(first <= last, F.sequence(first, last))))
+    asked = asked.select("b", "i", F.col("left_name").substr(F.col("at") + 1, end - start).alias("segment"), "left_name").distinct()
 
-    Candidates share the first block letters, so there is no cross join; among equals the smallest name wins."""
-    lhs = left.select(F.col(name).alias("left_name")).distinct().withColumn("_b", F.substring("left_name", 1, block))
-    rhs = right.select(F.col(name).alias("right_name")).distinct().withColumn("_b", F.substring("right_name", 1, block))
     alike = 1 - F.levenshtein("left_name", "right_name") / F.greatest(F.length("left_name"), F.length("right_name"), F.lit(1))
-    pairs = lhs.join(rhs, "_b").withColumn("similarity", alike).where(F.col("similarity") >= cutoff)
+    pairs = asked.join(cut, ["b", "i", "segment"]).withColumn("similarity", alike).where(F.col("similarity") >= cutoff)
     best = pairs.groupBy("left_name").agg(F.min_by(F.struct("right_name", "similarity"), F.struct(-F.col("similarity"), F.col("right_name"))).alias("m"))
-    return lhs.join(best, "left_name", "left").select("left_name", "m.right_name", "m.similarity")
+    found = best.select("left_name", "m.right_name", "m.similarity").unionByName(equal.select("left_name", "right_name", F.lit(1.0).alias("similarity")))
+    return lhs.join(found, "left_name", "left")

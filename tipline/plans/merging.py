@@ -125,7 +125,7 @@ def latest_snapshot_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def join_fuzzy_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").select("p_name")
-    return J.closest_names(part.select(F.concat("p_name", F.lit("s")).alias("p_name")), part, "p_name", 0.9, 4)
+    return J.closest_names(part.select(F.concat("p_name", F.lit("s")).alias("p_name")), part, "p_name", 0.9)
 
 
 _SOURCES = """SELECT o_orderkey AS game_id, 1 AS priority, o_orderstatus AS status, CAST(o_orderkey % 7 AS VARCHAR{n}) AS score FROM {t} UNION ALL
