@@ -57,3 +57,10 @@ def test_edge_cases(spark):
     assert got[4].text == " ".join(["Ein <Satz> mit vielen Wörtern, und noch mehr."] * 3)
     assert got[5].n_chars == 20_000 * 46 + 19_999
     assert hx.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_all_attribute_words_are_features():
+    page = '<div class="col-md-4 col-sm-12 hidden-xs pull-right sidebar" id="left-menu" role="navigation"><p>Some links</p></div>'
+    (block,) = hx.blocks(page)
+    assert block.path[0] == ("div", ("col", "md", "sm", "hidden", "xs", "pull", "right", "sidebar", "left", "menu", "navigation"))
+    assert any("sidebar" in name for name in hx.features([block])[0])

@@ -52,7 +52,7 @@ def _attribute_words(attrs: str) -> tuple[str, ...]:
     found = []
     for m in _ATTR.finditer(attrs):
         found += _NAME.findall((m[1] or m[2] or m[3] or "").lower())
-    return tuple(dict.fromkeys(found[:8]))
+    return tuple(dict.fromkeys(found))
 
 
 def blocks(page: str) -> list[Block]:
