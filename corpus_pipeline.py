@@ -13,15 +13,18 @@ from tipline.llm import language_id, line_dedup, mixing, ngram_join, packing
 from tipline.llm.common import documents, staged
 from tipline.llm.queries import word_tokenizer
 
-#: Share of a document's letter n-grams that its language must have; below it, the text is in no learned language.
+#: Share of a document's letter n-grams that its language must have, as a part of what the language's own documents reach; below it, the text is in no learned language.
 LEAST_KNOWN = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language. Those without a letter, or with too few n-grams of any language, go."""
+    """Documents in a learned language. Those without a letter, or with n-grams of which their language has too few, go; texts too short to have any stay."""
     model = language_id.learned(docs)
     named = language_id.identify(docs, model, F.col("text"), F.struct("*"))
-    return named.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)).select("keep.*")
+    if model is None:
+        return named.where("false").select("keep.*")
+    least = F.create_map(*[F.lit(x) for pair in zip(model.languages, (LEAST_KNOWN * model.reach).tolist(), strict=True) for x in pair])
+    return named.where((F.col("lang_pred") != "und") & ((F.col("n_grams") == 0) | (F.col("known") >= least[F.col("lang_pred")]))).select("keep.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

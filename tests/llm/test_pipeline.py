@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -65,3 +66,18 @@ def test_short_lines_and_lines_without_spaces_collapse(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {1: rows[0][1], 2: "\nkept", 3: f"{thai}\n好的", 4: "坏的\nfour words stay here"}
+
+
+def test_language_keeps_short_texts_and_languages_with_few_documents(spark):
+    english = "the quick brown fox jumps over the lazy dog and then runs back to the old river bank"
+    spanish = [
+        "ayer compramos naranjas dulces junto al puerto viejo mientras llovía sobre tejados rojos",
+        "mañana visitaremos pueblos blancos donde abuelas tejen mantas y cuentan historias de marineros junto al puerto",
+    ]
+    ids = iter([i for i in range(200) if zlib.crc32(str(i).encode()) % 5])  # those that are learned from
+    rows = [(next(ids), english, "en", "s", 0) for _ in range(20)] + [(next(ids), x, "es", "s", 0) for x in spanish]
+    short, foreign, digits = 1001, 1002, 1003
+    rows += [(short, "OK", None, "s", 2), (foreign, "xqzvk wjqxz kkvzq zzxqj vvkqx", None, "s", 29), (digits, "12 34", None, "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {r[0] for r in rows} - {foreign, digits}

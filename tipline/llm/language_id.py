@@ -185,8 +185,10 @@ def _predicted(model: Filter | None, gram: int):
                 lettered = np.array([any(map(str.isalpha, t or "")) for t in batch.column(0).to_pylist()], bool)
                 pred = np.full(batch.num_rows, "und", object)
                 score, known = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                n_grams = np.zeros(batch.num_rows, np.int64)
                 if model is not None and lettered.any():
-                    shares = model.shares(*grams.of(batch.column(0)))
+                    h, counts = grams.of(batch.column(0))
+                    shares, n_grams = model.shares(h, counts), np.asarray(counts, np.int64)
                     fit = shares / model.reach
                     best = fit.argmax(1)
                     rows = np.arange(len(best))
@@ -196,16 +198,16 @@ def _predicted(model: Filter | None, gram: int):
                     score = np.where(lettered & (top > 0), np.clip((top - rest / max(1, fit.shape[1] - 1)) / np.maximum(top, 1e-9), 0, 1), 0.0)
                     known = np.where(lettered, np.clip(shares[rows, best], 0, 1), 0.0)
                 others = [batch.column(k) for k in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(known)], names=[*batch.schema.names[1:], "lang_pred", "score", "known"])
+                yield pa.RecordBatch.from_arrays([*others, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(known), pa.array(n_grams)], names=[*batch.schema.names[1:], "lang_pred", "score", "known", "n_grams"])
 
     return predicted
 
 
 def identify(docs: DataFrame, model: Filter | None, text: Column, keep: Column, gram: int = GRAM) -> DataFrame:
-    """keep (any one column), lang_pred, score (0 to 1, how far the language stands above the others) and known (share of the n-grams it has)."""
+    """keep (any one column), lang_pred, score (0 to 1, how far the language stands above the others) known (share of the n-grams it has) and n_grams."""
     source = docs.select(text.cast("string").alias("text"), keep.alias("keep"))
     kind = source.schema["keep"].dataType.simpleString()
-    return source.mapInArrow(_predicted(model, gram), f"keep {kind}, lang_pred string, score double, known double")
+    return source.mapInArrow(_predicted(model, gram), f"keep {kind}, lang_pred string, score double, known double, n_grams long")
 
 
 def learned(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter | None:
