@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -9,6 +11,7 @@ from tokenizers import Tokenizer
 from tipline.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
 SCHEMA = "doc_id long, text string, sequence_id string"
 
 
@@ -35,6 +38,79 @@ def test_pieces_and_sequences(spark, sf_dir):
     assert len(by) <= 1.02 * (sum(r.length for r in got) / 2048) + 2
 
 
+def least_bins(sizes: list[int], length: int) -> int:
+    """The optimum by trying every bin for each piece."""
+    best = [len(sizes)]
+
+    def place(k: int, bins: list[int]) -> None:
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + sizes[k] <= length and bins[b] not in bins[:b]:
+                place(k + 1, [*bins[:b], bins[b] + sizes[k], *bins[b + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def _steps(bins: list[list[int]], sizes: list[int], length: int) -> bool:
+    """Whether any move or exchange of at most two for one still raises the sum of squared fills."""
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    for low, b in enumerate(bins):
+        gives = [(i,) for i in b] + [(i, j) for k, i in enumerate(b) for j in b[:k]]
+        for full, c in enumerate(bins):
+            takes = [()] + [(i,) for i in c] + [(i, j) for k, i in enumerate(c) for j in c[:k]]
+            for g in gives:
+                for t in takes:
+                    gain = sum(sizes[i] for i in g) - sum(sizes[i] for i in t)
+                    if low != full and fill[full] >= fill[low] and len(g) + len(t) < 4 and 0 < gain <= length - fill[full]:
+                        return True
+    return False
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(1, 40), max_size=9))
+def test_few_pieces_need_the_optimum_or_one_bin_more(sizes):
+    bins = packing.improve(packing.best_fit(sizes, 40), sizes, 40)
+    assert len(bins) <= least_bins(sizes, 40) + 1
+    assert len(bins) == -(-sum(sizes) // 40) or not _steps(bins, sizes, 40)
+
+
+def test_search_ends_where_no_step_is_left():
+    rng = random.Random(4)
+    for low, high in ((30, 70), (25, 40), (10, 60)):
+        sizes = [rng.randint(low, high) for _ in range(150)]
+        start = packing.best_fit(sizes, 100)
+        bins = packing.improve([list(b) for b in start], sizes, 100)
+        assert len(bins) <= len(start)
+        assert len(bins) == -(-sum(sizes) // 100) or not _steps(bins, sizes, 100)
+
+
+def test_repeated_rows_and_leftovers_of_many_groups(spark):
+    docs = spark.createDataFrame([(7, "one two three " * 30)] * 900 + [(None, "x y z " * 60)] * 900, "doc_id long, text string").repartition(5)
+    one, many = (packing.pack(docs, PATH, group_pieces=n).collect() for n in (100_000, 60))
+    assert len(one) == len(many) == 1800
+    tokens = sum(r.length for r in one)
+    for got in (one, many):
+        fill = {}
+        for r in got:
+            fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert max(fill.values()) <= 2048 and len(fill) <= 1.08 * tokens / 2048 + 2
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=12).map(lambda w: w + "."), max_size=8))
+def test_ids_are_the_tokenizers(words):
+    text = " ".join([*words, "BELEDİYESİ.", "GÜNLERİ,", "ΣΑΣ.", "ẋ,"])
+    ids = np.array([*TOKENIZER.encode(text, add_special_tokens=False).ids, 0], "<u4")
+    batch = next(packing._cutter(PATH, 1 << 20, 0)(iter([pa.record_batch({"doc_id": [1], "text": [text]})])))
+    assert batch.column("length").to_pylist() == [len(ids)] and batch.column("ids_crc32").to_pylist() == [zlib.crc32(ids.tobytes())]
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 

@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, improved by a swap-based local search.
 
 Documents are tokenised inside Spark tasks and cut into pieces of at most the sequence length. Pieces are dealt to groups of
-bounded size by a hash; each group is packed in one task. Best fit (longest first) gives a start; the local search then
-moves a piece, or exchanges one for one or two for one, between underfull bins whenever that raises the sum of squared
-fills, so that full bins get fuller and the emptiest run out. Groups are independent: a lost executor costs a retry.
+bounded size by their place in the staged files; each group is packed in one task. Best fit (longest first) gives a start; the
+local search then moves a piece, or exchanges one for one or two for one, between underfull bins as long as any such step
+raises the sum of squared fills, so that full bins get fuller and the emptiest run out. Part-filled bins of all groups are
+packed again, together, until one group is left. Groups are independent: a lost executor costs a retry.
 
 Defined results: a null text is empty and gives one piece with the end id only; rows that repeat an id give pieces of their
 own; empty tables give empty results. Other columns of the input are ignored.
@@ -11,68 +12,96 @@ own; empty tables give empty results. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipline.llm.common import slices, staged
+from tipline.llm.common import staged
+from tipline.llm.words import Slice, Words
 
 #: Tokens of a sequence, and pieces that one task packs at a time.
 LENGTH, GROUP_PIECES = 2048, 12_000
 #: Words whose ids a worker keeps, and bytes of text tokenised at a time (or one document).
 REMEMBERED, SLICE_BYTES = 600_000, 2 << 20
-#: Neighbouring bins that the local search pairs, and its rounds.
-NEAR, ROUNDS = 24, 6
+#: Bins of several groups filled up to this share of the length are packed once more, together.
+REOPEN = 15 / 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Ids(dict):
-    """Word (bytes without white space) to its ids (little-endian unsigned 32-bit). White space separates tokens in this vocabulary, so words are independent."""
+class _Ids:
+    """Token ids by word hash. White space separates tokens in this vocabulary and A-Z counts as a-z, so words are independent and found by the
+    hash that ignores the case of A-Z. Two of n distinct words share a hash with probability n^2 / 2^65."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.encode = Tokenizer.from_file(path).encode
+        self.words = Words(SLICE_BYTES)
         self.cores: dict[bytes, bytes] = {}
-        self.rare: dict[bytes, bytes] = {}
+        self.hashes, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def __missing__(self, word: bytes) -> bytes:
-        return self.rare[word]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes the ids of all words known. Once REMEMBERED words are kept, others are known until the next call only: frequent words come early.
-
-        Letters and the stops after them are separate tokens, and case is dropped, so each letter sequence is encoded once."""
-        parts, cores = {}, self.cores
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as bytes. Letters and the stops after them are separate tokens, so each sequence of letters is encoded once."""
+        cores, parts = self.cores, []
         for w in words:
-            if w not in self:
-                core = w.rstrip(b".,")
-                if len(core) < len(w) and core.decode().isalpha():
-                    parts[w] = (core.lower(), w[len(core) :])
-                else:
-                    parts[w] = (w.lower() if w.isalpha() else w,)
-        new = list({c for p in parts.values() for c in p if c not in cores})
-        found = cores if len(cores) < REMEMBERED else {}
+            w = w.lower()
+            core = w.rstrip(b".,")
+            parts.append((core, w[len(core) :]) if len(core) < len(w) and _splits(core) else (w,))
+        new = list({c for p in parts for c in p if c not in cores})
         for at in range(0, len(new), 1000):
             some = [c.decode() for c in new[at : at + 1000]]
             coded = self.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(coded.ids, dtype="<u4")
-            starts = np.fromiter((o[0] for o in coded.offsets), np.int64, len(ids))
-            ends = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in some])).tolist()
-            raw, begin = ids.tobytes(), 0
+            raw = np.array(coded.ids, dtype="<u4").tobytes()
+            starts = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded))
+            ends = (4 * np.searchsorted(starts, np.cumsum([len(c) + 1 for c in some]))).tolist()
+            begin = 0
             for c, end in zip(new[at : at + 1000], ends, strict=True):
-                found[c] = raw[4 * begin : 4 * end]
+                cores[c] = raw[begin:end]
                 begin = end
-        self.rare = {}
-        keep = self if len(self) < REMEMBERED else self.rare
-        for w, p in parts.items():
-            keep[w] = b"".join([found[c] if c in found else cores[c] for c in p])
+        out = [cores[p[0]] if len(p) == 1 else cores[p[0]] + cores[p[1]] for p in parts]
+        if len(cores) > REMEMBERED:
+            cores.clear()
+        return out
+
+    def _learn(self, s: Slice, hashes: np.ndarray, first: np.ndarray) -> None:
+        """Adds words not seen before; once more than REMEMBERED are known, only the slice's own are."""
+        raw = s.data.tobytes()
+        coded = self._encoded([raw[i:j] for i, j in zip(s.starts[first].tolist(), s.ends[first].tolist(), strict=True)])
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
+        where = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.size = (np.insert(old, where, new) for old, new in ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
+
+    def of(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of a slice, one after the other, and their number for each word."""
+        hashes, first = np.unique(s.hashes, return_index=True)
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, np.uint64(0))[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        if len(self.hashes) + (~known).sum() > REMEMBERED:
+            self.hashes, self.begin, self.size, self.ids = self.hashes[:0], self.begin[:0], self.size[:0], self.ids[:0]
+            known[:] = False
+        if not known.all():
+            self._learn(s, hashes[~known], first[~known])
+        at = np.searchsorted(self.hashes, s.hashes)
+        size = self.size[at]
+        upto = np.cumsum(size) - size
+        return self.ids[np.repeat(self.begin[at] - upto, size) + np.arange(int(size.sum()))], size
+
+
+def _splits(core: bytes) -> bool:
+    """Whether stops behind these letters are tokens of their own: the last letter, once normalised, must be no mark that would join them."""
+    if core.isalpha():
+        return True
+    text = core.decode()
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower()[-1].isalpha()
 
 
 #: Kept for the next task of the same Python worker; it only saves time.
@@ -81,17 +110,19 @@ _KNOWN: dict[str, _Ids] = {}
 
 def _cutter(path: str, length: int, end_id: int):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _KNOWN.get(path) or _KNOWN.setdefault(path, _Ids(path)), np.array([end_id], dtype="<u4").tobytes()
-        for whole in batches:
-            for batch in slices(whole, 1, SLICE_BYTES):
-                texts = [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                ids_of.learn(set().union(*texts))
-                out: list[tuple] = []
-                for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    ids = b"".join(map(ids_of.__getitem__, words)) + end
-                    for k, start in enumerate(range(0, len(ids), 4 * length)):
-                        part = ids[start : start + 4 * length]
-                        out.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
+        ids_of = _KNOWN.get(path) or _KNOWN.setdefault(path, _Ids(path))
+        end = np.array([end_id], dtype="<u4").tobytes()
+        for batch in batches:
+            for s in ids_of.words.slices(batch.column(1)):
+                ids, size = ids_of.of(s)
+                upto = np.concatenate([[0], np.cumsum(size)])[s.bounds].tolist()
+                raw, out = ids.tobytes(), []
+                for doc_id, i, j in zip(batch.column(0).slice(s.first, s.last - s.first).to_pylist(), upto, upto[1:], strict=False):
+                    n = j - i + 1
+                    for k, start in enumerate(range(0, n, length)):
+                        part = raw[4 * (i + start) : 4 * min(j, i + start + length)]
+                        last = start + length >= n
+                        out.append((doc_id, k, start, len(part) // 4 + last, zlib.crc32(part + end if last else part)))
                 yield _piece_batch(out)
 
     return cut_up
@@ -130,83 +161,105 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def _better(full: list[int], low: list[int], sizes: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """What to give from low to full, and what to take back, so that full gains most within its room."""
-    best, found = 0, None
-    own = sorted((sizes[i], i) for i in full)
-    other = sorted((sizes[i], i) for i in low)
-
-    def offer(gain: int, give: list[int], take: list[int]) -> None:
-        nonlocal best, found
-        if best < gain <= room:
-            best, found = gain, (give, take)
-
-    at = bisect_right(other, (room, len(sizes)))
-    if at:
-        offer(other[at - 1][0], [other[at - 1][1]], [])
-    for y, j in other:
-        k = bisect_left(own, (y - room, -1))
-        if k < len(own):
-            offer(y - own[k][0], [j], [own[k][1]])
-        for a, (x, i) in enumerate(own):  # one of low's for two of full's
-            k = bisect_left(own, (y - x - room, -1), a + 1)
-            if k < len(own):
-                offer(y - x - own[k][0], [j], [i, own[k][1]])
-    for x, i in own:  # two of low's for one of full's
-        for a, (y, j) in enumerate(other):
-            k = bisect_right(other, (room + x - y, len(sizes)), a + 1)
-            if k > a + 1:
-                offer(y + other[k - 1][0] - x, [j, other[k - 1][1]], [i])
-    return found
-
-
-def improve(bins: list[list[int]], sizes: list[int], length: int, near: int = NEAR, rounds: int = ROUNDS) -> list[list[int]]:
-    """Local search over underfull bins; each step raises the sum of squared fills. Stops at the least possible number of bins."""
+class _Open:
+    """The underfull bins of a search, with the size of each of their pieces and pairs of pieces in flat arrays, so that the best partner of a bin is
+    found among all others at once. Entries of a bin that changed meanwhile are told by its version."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], length: int):
+        self.bins, self.sizes, self.length = bins, sizes, length
+        self.fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+        self.version = np.zeros(len(bins), np.int64)
+        self.bound = length
+        self._collect()
+
+    def _entries(self, b: int) -> list[tuple]:
+        """(size, first piece, second piece or -1, bin, version): nothing, each piece, and each pair of a bin."""
+        own, v, sizes = self.bins[b], int(self.version[b]), self.sizes
+        one = [(0, -1, -1, b, v), *((sizes[i], i, -1, b, v) for i in own)]
+        return one + [(sizes[i] + sizes[j], i, j, b, v) for k, i in enumerate(own) for j in own[:k]]
+
+    def _collect(self) -> None:
+        rows = [e for b in np.flatnonzero((self.fill > 0) & (self.fill < self.length)).tolist() for e in self._entries(b)]
+        self.rows = np.array(rows, np.int64).reshape(-1, 5)
+        self.waiting: list[tuple] = []
+
+    def step(self, low: int) -> int | None:
+        """Makes the move or exchange that raises the sum of squared fills most by filling another bin from this one; returns that bin."""
+        if len(self.waiting) > 256:
+            self.rows = np.concatenate([self.rows[self.rows[:, 4] == self.version[self.rows[:, 3]]], np.array(self.waiting, np.int64)])
+            self.waiting = []
+        rows = np.concatenate([self.rows, np.array(self.waiting, np.int64)]) if self.waiting else self.rows
+        size, _, second, bin_, v = rows.T
+        room, ahead = self.length - self.fill[bin_], self.fill[bin_] - self.fill[low]
+        usable = (v == self.version[bin_]) & (bin_ != low) & (ahead >= 0) & (room > 0)
+        best, found = 0, None
+        for given, i, j, *_ in self._entries(low)[1:]:
+            gain = given - size
+            good = usable & (gain > 0) & (gain <= room)
+            if j >= 0:
+                good &= second < 0  # two for one or none
+            worth = np.where(good, gain * (ahead + gain), 0)
+            k = int(worth.argmax()) if len(worth) else 0
+            if len(worth) and worth[k] > best:
+                best, found = int(worth[k]), (rows[k], (i, j), int(gain[k]))
+        if found is None:
+            return None
+        (_, x, y, full, _), give, gain = found
+        full, take = int(full), {int(x), int(y)}
+        for b, out, into, change in ((full, take, give, gain), (low, set(give), take, -gain)):
+            self.bins[b] = [i for i in self.bins[b] if i not in out] + [i for i in into if i >= 0]
+            self.fill[b] += change
+            self.version[b] += 1
+            if 0 < self.fill[b] < self.length:
+                self.waiting += self._entries(b)
+        return full
+
+
+def improve(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
+    """Local search over underfull bins: moves and exchanges of one for one, two for one and one for two between any two of them, as long as one raises
+    the sum of squared fills; it stops early only at the least number of bins there can be. The emptiest bin gives first."""
     least = -(-sum(sizes) // length)
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    alive = len(bins)
-    for _ in range(rounds):
-        if alive <= least:
-            break
+    if len(bins) <= least:
+        return bins
+    state = _Open(bins, sizes, length)
+    alive, changed = len(bins), True
+    while changed and alive > least:
         changed = False
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < length), key=lambda b: (-fill[b], b))
-        for low in reversed(order):
-            for full in order[: len(order)] if len(order) <= near else [*order[-near:], *order[: near]]:
-                while full != low and fill[low] and length > fill[full] >= fill[low]:
-                    step = _better(bins[full], bins[low], sizes, length - fill[full])
-                    if not step:
-                        break
-                    give, take = step
-                    gain = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
-                    bins[full] = [i for i in bins[full] if i not in take] + give
-                    bins[low] = [i for i in bins[low] if i not in give] + take
-                    fill[full] += gain
-                    fill[low] -= gain
-                    changed = True
-            if not fill[low]:
-                alive -= 1
-                if alive <= least:
-                    break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _packer(length: int):
+        heap = [(int(f), b) for b, f in enumerate(state.fill) if 0 < f < length]
+        heapify(heap)
+        while heap and alive > least:
+            fill, low = heappop(heap)
+            if fill != state.fill[low]:
+                continue
+            while state.fill[low] and (full := state.step(low)) is not None:
+                changed = True
+                if state.fill[full] < length:
+                    heappush(heap, (int(state.fill[full]), full))
+            alive -= not state.fill[low]
+    return [b for b in state.bins if b]
+
+
+PACKED = f"{PIECES}, sequence_id long, offset long, open boolean"
+
+
+def _packer(length: int, level: int):
     def pack_group(table: pa.Table) -> pa.Table:
         sizes = table.column("length").to_pylist()
         order = np.lexsort((table.column("piece").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy(), table.column("ids_crc32").to_numpy()))
         order = order.tolist()  # rows of a group arrive in any order; packing must not depend on it
         arranged = [sizes[i] for i in order]
         bins = improve(best_fit(arranged, length), arranged, length)
-        sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        first = (table.column("grp")[0].as_py() if len(sizes) else 0) << 32
+        sequence, offset, open_ = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+        first = level << 56 | (table.column("grp")[0].as_py() if len(sizes) else 0) << 24
         for s, b in enumerate(bins):
             at = 0
             for k in b:
                 sequence[order[k]], offset[order[k]] = first + s, at
                 at += arranged[k]
-        return pa.table([*(table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            if at <= REOPEN * length:
+                open_[[order[k] for k in b]] = True
+        columns = [c.split()[0] for c in PIECES.split(", ")]
+        return pa.table([*(table.column(c) for c in columns), pa.array(sequence), pa.array(offset), pa.array(open_)], names=[*columns, "sequence_id", "offset", "open"])
 
     return pack_group
 
@@ -215,7 +268,20 @@ def pack(
     docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = 0, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut_up = staged(pieces(docs, tokenizer_path, length, end_id, id_col, text_col))
-    groups = max(1, round(cut_up.count() / group_pieces))
-    dealt = cut_up.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(_packer(length), f"{PIECES}, sequence_id long, offset long")
+    rest, done, level = staged(pieces(docs, tokenizer_path, length, end_id, id_col, text_col)), None, 0
+    n = rest.count()
+    while True:
+        groups = max(1, -(-n // group_pieces))
+        # By the row's place in the staged files: rows that repeat id and text are dealt out, too.
+        dealt = rest.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        packed = dealt.groupBy("grp").applyInArrow(_packer(length, level), PACKED)
+        left = 0
+        if groups > 1:
+            packed = staged(packed)
+            left = packed.where("open").count()
+        again = 0 < left <= n // 2  # bins that many groups left part-filled are packed once more, together
+        part = (packed.where("NOT open") if again else packed).drop("open")
+        done = part if done is None else done.unionByName(part)
+        if not again:
+            return done
+        rest, n, level = packed.where("open").drop("sequence_id", "offset", "open"), left, level + 1
