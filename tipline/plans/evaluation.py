@@ -9,7 +9,6 @@ from tipline.functions import betting as B
 from tipline.functions import columns as C
 from tipline.operators import aggregates as A
 from tipline.operators import models as M
-from tipline.operators import rules as U
 from tipline.operators import windows as W
 from tipline.plans.adapter import GAMES, ORDER, TG, games, team_games
 from tipline.plans.registry import query
@@ -213,24 +212,6 @@ def formula_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(games(spark, sf_dir).withColumn("spread", spread), ["game_id"], ["spread"])
 
 
-@query(f"""WITH {TG}, f AS (SELECT *, concat_ws('|', CASE WHEN tpa / fga > 0.42 THEN 'three_dependent' END, CASE WHEN tov > 14 THEN 'turnover_prone' END, CASE WHEN ftm / fta < 0.68 THEN 'poor_free_throws' END, CASE WHEN weight >= 3 THEN 'close_losses' END) AS tags FROM (SELECT *, fgm AS ftm FROM tg))
-SELECT game_id, home_away, tags AS fragility_tags, CAST(CASE WHEN tags = '' THEN 0 ELSE len(string_split(tags, '|')) END AS BIGINT) AS fragility, {_r("least(greatest(50 - 2 * (ortg / 20) + 0.5 * abs(poss - 70) + 8 * CASE WHEN tags = '' THEN 0 ELSE len(string_split(tags, '|')) END, 0), 100)")} AS upset FROM f""".replace("tov > 14", "tov > 18"))
-def rules_upset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = team_games(spark, sf_dir)
-    df = df.withColumns(U.fragility(F.col("tpa") / F.col("fga"), F.col("tov"), F.col("fgm") / F.col("fta"), F.col("weight")))
-    return df.select("game_id", "home_away", "fragility_tags", "fragility", R(U.upset(F.col("ortg") / 20, F.col("poss") - 70, F.col("fragility"))).alias("upset"))
-
-
-@query(f"""WITH {GAMES}, t AS (SELECT game_id, (h_poss + a_poss) / 2 * ((h_ortg / 100 + 1.05) / 2 + (a_ortg / 100 + 0.95) / 2) AS raw, CASE game_id % 3 WHEN 0 THEN 0.99e0 WHEN 1 THEN 0.97e0 ELSE 1e0 END * CASE game_id % 2 WHEN 0 THEN 0.98e0 ELSE 1e0 END AS d FROM games)
-SELECT game_id, {_r('raw')} AS raw_total, {_r('raw * d')} AS total, {_r('raw * d * 0.48')} AS first_half, {_r('raw * d * 0.52')} AS second_half FROM t""")
-def rules_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = games(spark, sf_dir)
-    round_ = F.when(F.col("game_id") % 3 == 0, "first").when(F.col("game_id") % 3 == 1, "final4")
-    tier = F.when(F.col("game_id") % 2 == 0, "high").otherwise("low")
-    t = U.totals(F.col("h_poss"), F.col("a_poss"), F.col("h_ortg") / 100, F.lit(0.95), F.col("a_ortg") / 100, F.lit(1.05), round_, tier)
-    return _rounded(g.withColumns(t), ["game_id"], list(t))
-
-
 @query()
 def bankroll_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     bets = games(spark, sf_dir).where("odds IS NOT NULL").select(F.col("game_id").alias("bet_id"), "conf", "odds")
