@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tipline.plans import cards, evaluation, features, merging
+from tipline.plans import cards, evaluation, features, matchups, merging
 from tipline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["cards", "evaluation", "features", "merging"]
+__all__ = ["cards", "evaluation", "features", "matchups", "merging"]
 
 
 def queries() -> dict:
