@@ -51,15 +51,27 @@ def families(seed: int) -> list[tuple]:
     return list(enumerate(rows, 10_000))
 
 
-@pytest.mark.parametrize("pairs_per_entry", [0, 4, 1_000_000])
-def test_families(spark, pairs_per_entry, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", pairs_per_entry)
-    monkeypatch.setattr(ngram_join.set_links, "__defaults__", (5, 80, pairs_per_entry))
+@pytest.mark.parametrize("outright", [0, 4, 1_000_000])
+def test_families(spark, outright, monkeypatch):
+    monkeypatch.setattr(ngram_join.set_links, "__defaults__", (5, 80, outright))
+    monkeypatch.setattr(ngram_join, "FOLLOWERS", 7)
     rows = families(1)
     got = [tuple(r)[:3] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_unlinked_members_of_one_passage(spark):
+    """Thousands of documents that share a passage, or two of a few passages, and are linked with few others."""
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}x{i}" for i in range(24)) for k in range(12)]
+    alone = [f"{passages[0]} " + " ".join(f"d{d}y{i}" for i in range(rng.randint(12, 40))) for d in range(2500)]
+    two = [" ".join([*rng.sample(passages, 2), f"e{d}"]) for d in range(300)]
+    rows = list(enumerate(alone + two))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[d] == d for d in range(2500))
+    assert [got[d] for d in range(2500, 2800)] == [c + 2500 for _, _, c in sorted(brute(list(enumerate(two))))]
+
+
 def test_against_brute_force(spark, sf_dir):
     extra = [(9001, None, ""), (9002, "", ""), (9003, " \n", ""), (9004, "A b", ""), (9005, "a  B", ""), (9006, "a b c d e", ""), (9007, "x " * 60_000, ""), (9008, "X " * 9, ""), (9009, "a b c d e", ""), (9009, "a b c d e", ""), (None, "a b c d e", ""), (None, "alone", "")]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "lang as component").union(spark.createDataFrame(extra, SCHEMA))

@@ -2,12 +2,16 @@
 
 A document is the set of its word shingles (64-bit hashes). Equal sets share one answer and enter once. All sets sort their
 shingles by one global order, rarest first as far as a sketch of fixed size can tell, and index the shortest prefix that any
-similar set must hit. Index lists are blocked by set size, and entries carry their position, so that blocks and entries that
-cannot reach the threshold are skipped. Within a list the answers of a few sets, the leaders, are computed first; the answers
-of the sets linked with one are derived: they are in its component already and are not compared again, and the known
-similarities to the first leader bound all others (the Jaccard distance is a metric). Lists are worked off leader by leader, in
-rounds over all lists at once, until what is left is small enough to compare outright. Components come from a
-large-star/small-star contraction, or from one task while the links are few. No step lists the pairs of a group of similar sets.
+similar set must hit. An entry's position bounds the size of the sets it can still be similar to, so lists are blocked by the size of the
+smaller set: an entry goes to the blocks that its size and position allow and to no others, so whole blocks are skipped, and within a
+block pairs out of each other's reach.
+
+Short lists are compared outright. In longer ones the answers of a leader are computed first: the entry with the least position for its size, which
+differs least from what the list has in common. Answers of the others are derived from it: those linked with it are in its component and are not
+compared with each other; for all others, the tokens shared with the leader and those beyond it bound what any two can share. Lists are worked off
+with more leaders in each round, taken from different components, until every pair that could add a link has been compared. A comparison is made
+where the leader's set lies; sets of a leader with many followers lie in several places. Components come from a large-star/small-star
+contraction, or from one task while the links are few. No step lists the pairs of a group of similar sets.
 
 Defined results: null text is empty; a document without words has the empty set and is linked with nothing; fewer words than a
 shingle has form one shingle; rows that repeat an id are one document per row; a null id takes part and its component is
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, sized, staged, summed
@@ -33,10 +37,10 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, REMEMBERED, SLICE_BYTES = 20, 1_000_000, 1 << 20
 #: Rows of one or two numbers up to which the pairs of a round are broadcast.
 SMALL = 400_000
-#: Candidate pairs per index entry from which lists are worked off by leaders instead of outright.
-PAIRS_PER_ENTRY = 64
-#: Leaders of each list in one round.
-LEADERS = 64
+#: Size blocks in a factor of 100 / percent; pairs per entry up to which a list is compared outright.
+STEPS, OUTRIGHT = 4, 8
+#: Leaders of a list grow by this factor from round to round; pairs of one leader that are compared in one place.
+LEADERS, FOLLOWERS = 8, 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -232,65 +236,78 @@ def _reaches(percent: int, x: str, y: str) -> str:
     return f"100 * least(n{x}, n{y}) >= {percent} * greatest(n{x}, n{y}) AND {100 + percent} * cast({bound} AS long) >= {percent} * (cast(n{x} AS long) + n{y})"
 
 
+def _derived(percent: int, x: str, y: str) -> str:
+    """What two sets share of one leader's answers still allows the similarity. o: tokens shared with that leader, or null."""
+    bound = f"least(o{x}, o{y}) + least(n{x} - o{x}, n{y} - o{y})"
+    return f"coalesce({100 + percent} * ({bound}) >= {percent} * (cast(n{x} AS long) + n{y}), true)"
+
+
+def _blocks(percent: int):
+    """Blocks that an entry goes to, by the size of the pair's smaller set: from the least size it can meet to its own, as its position allows."""
+    def block(n):
+        return F.floor(F.log(n.cast("double")) * F.lit(STEPS / math.log(100 / percent)) + F.lit(1e-9)).cast("int")
+
+    n, pos = F.col("n").cast("long"), F.col("pos")
+    most = F.floor(((100 + percent) * (n - pos) - percent * n) / percent)  # the largest set that can share enough
+    return F.sequence(block(F.greatest(F.lit(1), F.ceil(n * percent / 100))), block(F.least(n, F.greatest(F.lit(1), most))))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, linked and similarity of pairs. Reads the texts again, but shingles only those that a pair needs."""
+    """a, b, linked and o (shared tokens) of pairs. Reads the texts again, but shingles only those that a pair needs. b's set is copied for every
+    FOLLOWERS pairs it is in, so that a leader of many does not meet them all in one place."""
     pairs = staged(pairs.distinct())
     needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     chosen = rows.join(sized(needed, SMALL), "sid").groupBy("sid").agg(F.min("row").alias("row"))
     sets = staged(source.mapInArrow(_wanted_sets(words, bitmap(chosen, "row")), "sid long, hashes array<bigint>"))
-    left = sets.join(sized(pairs, SMALL), sets.sid == F.col("a")).select("a", "b", F.col("hashes").alias("ha"))
-    right = sets.join(sized(pairs.select("b").distinct(), SMALL), sets.sid == F.col("b")).select("b", F.col("hashes").alias("hb"))
-    both = left.join(right, "b").select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("i"), (F.size("ha") + F.size("hb")).cast("long").alias("s"))
-    return staged(both.select("a", "b", (F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).alias("linked"), (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).distinct())
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("copies"))
+    dealt = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
+    left = sets.join(sized(dealt, SMALL), sets.sid == F.col("a")).select("a", "b", "copy", F.col("hashes").alias("ha"))
+    right = sets.join(sized(copies, SMALL), sets.sid == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias("hb"))
+    both = left.join(right, ["b", "copy"]).select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("o"), (F.size("ha") + F.size("hb")).cast("long").alias("s"))
+    return staged(both.select("a", "b", (F.col("o") * 100 >= (F.col("s") - F.col("o")) * percent).alias("linked"), "o").distinct())
 
 
-def set_links(rows: DataFrame, source: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs_per_entry: int = PAIRS_PER_ENTRY) -> DataFrame:
+def set_links(rows: DataFrame, source: DataFrame, words: int = WORDS, percent: int = PERCENT, outright: int = OUTRIGHT) -> DataFrame:
     """id, component of the sets (by sid) that are linked with another one. source: doc_id, text; rows: made of it by _rows()."""
     texts = source.select("text")
     counts = summed(texts, _sketch(words), np.add)
     entries = texts.mapInArrow(_prefixes(words, percent, counts), "token long, sid long, n int, pos int")
     shared = entries.withColumn("low", F.expr("min(sid) OVER (PARTITION BY token)")).withColumn("high", F.expr("max(sid) OVER (PARTITION BY token)")).where("low < high")
-    # Sizes of linked sets differ by a factor of 100 / percent at most: the same size block or the next.
-    block = F.floor(F.log("n") / F.lit(math.log(100 / percent)) + F.lit(1e-9)).cast("int")
-    blocked = shared.select("token", "sid", "n", "pos", F.explode(F.array(block, block + 1)).alias("block"))
+    blocked = shared.select("token", "sid", "n", "pos", F.explode(_blocks(percent)).alias("block"))
     lists = staged(blocked.groupBy(F.xxhash64("token", "block").alias("lid"), "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
     ends = lists.groupBy("lid").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("lid")
-    lists = staged(lists.join(ends, "lid").withColumn("component", F.col("sid")).withColumn("led", F.lit(None).cast("double")))
+    lists = staged(lists.join(ends, "lid").withColumn("component", F.col("sid")).withColumn("o", F.lit(None).cast("long")))
     none = texts.sparkSession.createDataFrame([], "id long, component long")
-    if lists.isEmpty():
-        return none
     links = none.select(F.col("id").alias("a"), F.col("component").alias("b"))
     turn = 0
     while True:
         spread = lists.groupBy("lid", "component").agg(F.count("*").alias("k")).groupBy("lid").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("kinds"))
-        spread = staged(spread.where("kinds > 1").select("lid", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs"), "m"))
-        left = spread.agg(F.sum("pairs").alias("pairs"), F.sum("m").alias("m")).first()
-        if not left.m:
+        pairs_left = (F.col("m") * F.col("m") - F.col("same")) / 2
+        leaders = LEADERS**turn
+        whole = (pairs_left <= outright * F.col("m")) | (F.col("kinds") <= leaders)
+        spread = staged(spread.where("kinds > 1").select("lid", whole.alias("whole")))
+        if spread.isEmpty():
             break
-        lists = lists.join(spread.select("lid"), "lid", "left_semi")
-        outright = left.pairs <= pairs_per_entry * left.m
-        if outright:
-            x, y = (lists.select("lid", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "pos", "component", "led")]) for s in "xy")
-            near = F.coalesce(F.abs(F.col("led_x") - F.col("led_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-            pairs = x.join(y, "lid").where("sid_x < sid_y AND component_x <> component_y AND " + _reaches(percent, "_x", "_y")).where(near)
-            pairs = pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
-        else:
-            order = ["component", "sid"] if turn == 0 else [F.xxhash64("component", F.lit(turn)), F.xxhash64("sid", F.lit(turn)), F.col("sid")]
-            ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("lid").orderBy(*order))).where(F.col("rank") <= LEADERS)
-            heads = staged(ranked.select("lid", "rank", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "component")]))
-            here = lists.withColumnsRenamed({"n": "n_x", "pos": "pos_x"}).join(heads, "lid").where("sid <> sid_y AND component <> component_y AND " + _reaches(percent, "_x", "_y"))
-            pairs = here.select(F.col("sid").alias("a"), F.col("sid_y").alias("b")).distinct()
+        lists = lists.join(spread, "lid")
+        short, long = lists.where("whole"), staged(lists.where("NOT whole").drop("whole"))
+        x, y = (short.select("lid", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "pos", "component", "o")]) for s in "xy")
+        met = x.join(y, "lid").where(f"sid_x < sid_y AND component_x <> component_y AND {_reaches(percent, '_x', '_y')} AND {_derived(percent, '_x', '_y')}")
+        pairs = met.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"))
+        # One leader of each of so many groups of components: the first in position for its size.
+        place = F.struct((F.col("pos") / F.col("n")).alias("at"), "sid", "n", "pos", "component", "o")
+        heads = long.groupBy("lid", F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(leaders)).alias("group")).agg(F.min(place).alias("head"))
+        heads = staged(heads.select("lid", "group", *[F.col(f"head.{c}").alias(f"{c}_y") for c in ("sid", "n", "pos", "component", "o")]))
+        here = long.withColumnsRenamed({c: f"{c}_x" for c in ("sid", "n", "pos", "component", "o")}).join(sized(heads), "lid")
+        here = here.where(f"sid_x <> sid_y AND component_x <> component_y AND {_reaches(percent, '_x', '_y')} AND {_derived(percent, '_x', '_y')}")
+        pairs = pairs.unionByName(here.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")))
         done = _verified(pairs, rows, source, words, percent)
         links = staged(links.unionByName(done.where("linked").select("a", "b")))
-        if outright:
-            break
         known = components(links)
-        rest = lists.join(heads.select("lid", F.col("sid_y").alias("sid")), ["lid", "sid"], "left_anti")
-        if turn == 0:  # distances of a list's entries to one and the same set
-            similarity = done.select(F.col("a").alias("sid"), F.col("b").alias("sid_y"), F.col("similarity").alias("seen"))
-            rest = rest.join(heads.where("rank = 1").select("lid", "sid_y"), "lid").join(similarity, ["sid", "sid_y"], "left").withColumn("led", F.col("seen")).drop("seen", "sid_y")
-        merged = rest.drop("component").join(known.withColumnRenamed("id", "sid"), "sid", "left")
-        lists = staged(merged.withColumn("component", F.coalesce("component", "sid")))
+        lists = long.join(sized(heads.select("lid", F.col("sid_y").alias("sid"))), ["lid", "sid"], "left_anti")
+        if turn == 0:  # what a list's entries share with its one leader
+            lists = lists.drop("o").join(sized(heads.select("lid", "sid_y")), "lid").join(done.select(F.col("a").alias("sid"), F.col("b").alias("sid_y"), "o"), ["sid", "sid_y"], "left").drop("sid_y")
+        named = lists.drop("component").join(known.withColumnRenamed("id", "sid"), "sid", "left")
+        lists = staged(named.withColumn("component", F.coalesce("component", "sid")))
         turn += 1
     return components(links)
 
