@@ -70,3 +70,45 @@ def ats_result(margin: Column, line: Column, bet: Column) -> Column:
 def profit(result: Column, price: float = 100 / 110) -> Column:
     """Units won at -110."""
     return F.when(result == 1, price).when(result == 0, -1.0).when(result == 0.5, 0.0)
+
+
+def logistic(x: Column, scale: float = 1.0) -> Column:
+    """Without overflow for any x."""
+    z = x / scale
+    e = F.exp(-F.abs(z))
+    return F.when(z >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
+
+
+def logit(p: Column) -> Column:
+    q = clip(p, 1e-6, 1 - 1e-6)
+    return F.log(q / (1 - q))
+
+
+def bounded(x: Column, most: float) -> Column:
+    return most * F.tanh(x / most)
+
+
+def value_units(edge: Column, confidence: Column, least_edge: float = 2.0, least_confidence: float = 0.6, edges: tuple[float, float] = (1.5, 3.0), confidences: tuple[float, float] = (0.05, 0.10)) -> Column:
+    """No unit below the edge or confidence asked for, else one, or two or three where both are higher by the bonuses."""
+    e = F.abs(edge)
+    second, third = ((e >= least_edge + a) & (confidence >= least_confidence + b) for a, b in zip(edges, confidences, strict=True))
+    return F.when((e < least_edge) | (confidence < least_confidence) | e.isNull() | confidence.isNull(), 0.0).when(third, 3.0).when(second, 2.0).otherwise(1.0)
+
+
+def moneyline_units(edge: Column, confidence: Column, price: Column, least_edge: float = 0.03, least_confidence: float = 0.6) -> Column:
+    """Underdogs get a quarter or half a unit, favourites one or two."""
+    e = F.abs(edge)
+    dog = F.when(e < least_edge + 0.02, 0.25).otherwise(0.5)
+    favourite = F.when((e >= least_edge + 0.02) & (confidence >= least_confidence + 0.03), 2.0).otherwise(1.0)
+    return F.when((e < least_edge) | (confidence < least_confidence) | e.isNull(), 0.0).when(price > 0, dog).otherwise(favourite)
+
+
+def total_edge(predicted: Column, market: Column) -> dict[str, Column]:
+    edge = predicted - market
+    return {"total_edge": edge, "total_rec": F.when(edge > 0, "BET_OVER").when(edge < 0, "BET_UNDER").otherwise("PASS")}
+
+
+def moneyline_edge(p_home: Column, home: Column, away: Column, stake: float = 100.0) -> dict[str, Column]:
+    """Edge over the implied probability, value of both bets, and the better one. A home bet needs more value than the away bet; an away bet more than none."""
+    a, b = expected_value(p_home, home, stake), expected_value(1 - p_home, away, stake)
+    return {"ml_edge": p_home - implied(home), "home_ml_ev": a, "away_ml_ev": b, "ml_rec": F.when(a > b, "BET_HOME_ML").when(b > 0, "BET_AWAY_ML").otherwise("PASS")}

@@ -23,11 +23,11 @@ def safe_div(a: Column, b: Column, default: float | None = None) -> Column:
 
 
 def made_attempt(c: Column) -> Column:
-    """'5-10' or '3/7' as a struct of made and att; (0, 0) where it can't be read."""
+    """'5-10' or '3/7' as a struct of made and att; a part that can't be read counts 0, and so do both without a separator."""
     parts = F.split(F.trim(c), "[-/]", 2)
-    made, att = (F.try_element_at(parts, F.lit(k)).try_cast("long") for k in (1, 2))
-    ok = made.isNotNull() & att.isNotNull()
-    return F.struct(F.when(ok, made).otherwise(0).alias("made"), F.when(ok, att).otherwise(0).alias("att"))
+    made, att = (F.coalesce(F.try_element_at(parts, F.lit(k)).try_cast("long"), F.lit(0)) for k in (1, 2))
+    two = F.coalesce(F.size(parts) == 2, F.lit(False))
+    return F.struct(F.when(two, made).otherwise(0).alias("made"), F.when(two, att).otherwise(0).alias("att"))
 
 
 def side(c: Column) -> Column:
@@ -62,8 +62,12 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 
 def first_present(df: DataFrame, names: list[str]) -> Column:
-    """The first of the named columns that the table has; null if it has none."""
-    return next((F.col(n) for n in names if n in df.columns), F.lit(None))
+    """The first of the named columns that the table has with any value; null if none has one. One aggregate, and only where several are there."""
+    there = [n for n in names if n in df.columns]
+    if len(there) > 1:
+        found = df.agg(*[F.count(n).alias(n) for n in there]).first()
+        there = [n for n in there if found[n]] or there
+    return F.col(there[0]) if there else F.lit(None)
 
 
 def clean_name(name: str) -> str:

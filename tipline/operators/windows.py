@@ -127,6 +127,16 @@ def recency(df: DataFrame, keys: list[str], order: list[str], scale: float = 5.0
     return df.withColumn(out, F.exp(-(at - 1) / scale))
 
 
+def decay(curve: str, games: int = 10) -> tuple[float, ...]:
+    """Weights of the latest games, the last one first. smooth: slow over five games, faster after; plateau: full for four; simple: half after five."""
+    rules = {
+        "smooth": lambda n: 1 - 0.02 * (n - 1) if n <= 5 else max(0.5, 0.75 - 0.05 * (n - 5)),
+        "plateau": lambda n: 1.0 if n <= 4 else 0.9 if n == 5 else max(0.5, 1.05 - 0.1 * n),
+        "simple": lambda n: 1.0 if n <= 5 else 0.5,
+    }
+    return tuple(round(rules[curve](n), 6) for n in range(1, games + 1))
+
+
 def decayed_mean(df: DataFrame, metric: str, keys: list[str], order: list[str], weights: tuple[float, ...]) -> DataFrame:
     """One row per key: mean of the latest rows, weighted by rank from the latest; rows beyond the weights do not count."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))

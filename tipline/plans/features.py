@@ -51,7 +51,7 @@ _MESSY = """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN ' Hom
 CASE l_linenumber WHEN 1 THEN '7.9' WHEN 2 THEN '--' WHEN 3 THEN '' WHEN 4 THEN '-3.2' WHEN 5 THEN 'NaN' ELSE CAST(l_partkey AS VARCHAR({n})) END AS raw,
 CASE l_linenumber WHEN 1 THEN CAST(l_partkey AS VARCHAR({n})) || '.0' WHEN 2 THEN 'None' ELSE CAST(l_partkey AS VARCHAR({n})) END AS id,
 CASE l_linenumber WHEN 1 THEN 'True' WHEN 2 THEN '1.0' WHEN 3 THEN ' true ' WHEN 4 THEN 'no' WHEN 5 THEN NULL ELSE '1' END AS flag,
-CASE l_linenumber WHEN 1 THEN '5-10' WHEN 2 THEN '3/7' WHEN 3 THEN 'x' WHEN 4 THEN NULL ELSE '4' END AS shots FROM {t}"""
+CASE l_linenumber WHEN 1 THEN '5-10' WHEN 2 THEN '3/7' WHEN 3 THEN 'x' WHEN 4 THEN NULL WHEN 5 THEN '5-x' WHEN 6 THEN 'y/8' ELSE '4' END AS shots FROM {t}"""
 
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def clean_bool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messy(spark, sf_dir).select("l_orderkey", "l_linenumber", C.truthy(F.col("flag")).alias("flag"))
 
 
-@query(f"""WITH m AS ({_MESSY.format(n=20, t='lineitem')}) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN shots = '5-10' THEN 5 WHEN shots = '3/7' THEN 3 ELSE 0 END AS BIGINT) AS made,
-CAST(CASE WHEN shots = '5-10' THEN 10 WHEN shots = '3/7' THEN 7 ELSE 0 END AS BIGINT) AS att FROM m""")
+@query(f"""WITH m AS ({_MESSY.format(n=20, t='lineitem')}) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN shots IN ('5-10', '5-x') THEN 5 WHEN shots = '3/7' THEN 3 ELSE 0 END AS BIGINT) AS made,
+CAST(CASE WHEN shots = '5-10' THEN 10 WHEN shots = '3/7' THEN 7 WHEN shots = 'y/8' THEN 8 ELSE 0 END AS BIGINT) AS att FROM m""")
 def parse_made_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = C.made_attempt(F.coalesce("shots", F.lit("")))
     return _messy(spark, sf_dir).select("l_orderkey", "l_linenumber", s["made"].cast("long").alias("made"), s["att"].cast("long").alias("att"))
@@ -229,10 +229,21 @@ def win_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.drawdown(team_games(spark, sf_dir), "points", KEYS, ORDER).select("team_id", R(F.col("max_drawdown")).alias("max_drawdown"))
 
 
+_CURVES = {
+    "smooth": "CASE WHEN rn <= 5 THEN 1.02e0 - 0.02e0 * rn ELSE greatest(0.5e0, 1e0 - 0.05e0 * rn) END", "plateau": "CASE WHEN rn <= 4 THEN 1e0 WHEN rn = 5 THEN 0.9e0 ELSE greatest(0.5e0, 1.05e0 - 0.1e0 * rn) END",
+    "simple": "CASE WHEN rn <= 5 THEN 1e0 ELSE 0.5e0 END",
+}
+
+
 @query(f"""WITH {TG}, k AS (SELECT team_id, gaps, row_number() OVER (PARTITION BY team_id ORDER BY game_dt DESC, game_id DESC, home_away DESC) AS rn FROM tg),
-w AS (SELECT *, CASE WHEN gaps IS NOT NULL THEN [1e0, 0.8e0, 0.6e0, 0.4e0, 0.2e0][rn] END AS w FROM k WHERE rn <= 5) SELECT team_id, {_r('sum(w * gaps) / sum(w)')} AS gaps_decayed FROM w GROUP BY team_id""")
+w AS (SELECT team_id, gaps, {', '.join(f'CASE WHEN gaps IS NOT NULL THEN {e} END AS {n}' for n, e in _CURVES.items())} FROM k WHERE rn <= 10) SELECT team_id, {', '.join(f"{_r(f'sum({n} * gaps) / sum({n})')} AS gaps_{n}" for n in _CURVES)} FROM w GROUP BY team_id""")
 def win_decay_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.decayed_mean(team_games(spark, sf_dir), "gaps", KEYS, ORDER, (1.0, 0.8, 0.6, 0.4, 0.2)).select("team_id", R(F.col("gaps_decayed")).alias("gaps_decayed"))
+    """Means of the last ten games under three curves of decay."""
+    out = None
+    for curve in ("smooth", "plateau", "simple"):
+        one = W.decayed_mean(team_games(spark, sf_dir), "gaps", KEYS, ORDER, W.decay(curve)).select("team_id", R(F.col("gaps_decayed")).alias(f"gaps_{curve}"))
+        out = one if out is None else out.join(one, "team_id")
+    return out
 
 
 @query(f"""WITH {TG}, d AS (SELECT *, CAST(game_dt AS DATE) AS day, CAST(game_id % 31 AS DOUBLE) - 12 AS rating, points - 50 AS margin, row_number() OVER (PARTITION BY team_id ORDER BY game_dt, game_id, home_away) AS rn FROM tg),
