@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tipline.llm import fingerprints
@@ -16,7 +17,9 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_against_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("range_chars", [1 << 24, 4000])
+def test_against_brute_force(spark, sf_dir, range_chars, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_CHARS", range_chars)  # one range, and many
     extra = [(9001, None, ""), (9002, "", ""), (9003, "one two", ""), (9004, "ein Wort, ééé 日本 " * 40, ""), (9005, "w" * 50_000 + " x", ""), (9006, "same", ""), (9006, "same", ""), (None, "null id", "")]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "lang as fingerprint").union(spark.createDataFrame(extra, SCHEMA))
     rows = sorted({(r.doc_id is None, -(r.doc_id or 0), r.text or "") for r in docs.collect()})
@@ -53,5 +56,10 @@ def test_merge_count_containment(spark):
     assert r.same and abs(r.n - 1996) < 300 and r.inside > 0.85 and abs(r.j - 1000 / 2996) < 0.1
 
 
+def test_one_document_follows_itself(spark):
+    r = fingerprints.fingerprint_edits(spark.createDataFrame([(1, "abcde", "")] * 3, SCHEMA)).collect()
+    assert len(r) == 3 and r[0].edited_sha256 == hashlib.sha256(b"abcab").hexdigest() and r[0].near_next == 1.0
+
+
 def test_empty(spark):
     assert fingerprints.fingerprint_edits(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from tipline.llm.common import SPACE, staged, text_of
 
-#: Hashes kept, words in a shingle, bits of a hash: enough for texts and parts of up to some ten million distinct shingles.
-K, WORDS, BITS = 128, 5, 31
+#: Hashes kept, words in a shingle, bits of a hash.
+K, WORDS, BITS = 128, 5, 63
+#: Characters of text in a range of documents that one task works on, as long as there are fewer than MOST_RANGES of them.
+RANGE_CHARS, MOST_RANGES = 1 << 24, 1 << 16
 
 
 def add_words(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -24,12 +26,12 @@ def add_words(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def add_sketch(df: DataFrame, text: str, out: str, k: int = K, words: int = WORDS) -> DataFrame:
-    """Adds the sorted bottom-k hashes of a text column as array<int>."""
+    """Adds the sorted bottom-k hashes of a text column as array<bigint>."""
     df = add_words(df, text, "_words")
     n = F.size("_words")
     starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (words - 1), F.lit(1))))
     # The column is used twice, so the optimiser keeps the split words as a column instead of splitting for each shingle.
-    hashes = F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col("_words"), i, words)), 64 - BITS).cast("int"))
+    hashes = F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col("_words"), i, words)), 64 - BITS))
     return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop("_words")
 
 
@@ -60,47 +62,55 @@ def as_string(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), -(-BITS // 4), "0")), "")
 
 
-def neighbours(keys: DataFrame) -> DataFrame:
-    """keys: doc_id, h, n_chars, distinct. Adds before_id, before_h and before_chars: the row whose next row, in descending doc_id (null
-    last, ties by h), this row is; the first row follows the last. Rows are numbered within range partitions; only the ends of the
-    partitions meet in one place."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
-    numbered = staged(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("at", 33)
-    ends = numbered.groupBy(part.alias("part")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    everyone = Window.partitionBy(F.lit(1))
-    ends = ends.withColumn("to", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.min("first").over(everyone)))
-    after = numbered.withColumn("part", part).join(ends, "part")
-    after = after.select(F.when(F.col("at") == F.col("last"), F.col("to")).otherwise(F.col("at") + 1).alias("at"), *[F.col(c).alias(f"before_{d}") for c, d in (("doc_id", "id"), ("h", "h"), ("n_chars", "chars"))])
-    return numbered.join(after, "at").drop("at", "n_chars")
+def _first_keys(keys: DataFrame) -> list:
+    """The first key (column o) of each of the ranges that the rows are dealt to, in order; their number has a bound."""
+    size = keys.agg(F.sum("n_chars")).first()[0] or 0
+    ranges = max(1, min(MOST_RANGES, -(-size // RANGE_CHARS)))
+    firsts = keys.select("o").repartitionByRange(ranges, "o").groupBy(F.spark_partition_id()).agg(F.min("o").alias("o"))
+    return [r.o for r in firsts.orderBy("o").collect()]
+
+
+def _range_of(o: Column, firsts: Column) -> Column:
+    """Number of the range that a key lies in: binary search in the ranges' first keys."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_RANGES.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(firsts, at + step) <= o, at + step).otherwise(at))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the next document's.
-    Rows that repeat id and text have the same next document: the next different one."""
+    The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the next document's, in
+    descending doc_id (null last, ties by a hash of the text); the last document's next one is the first. Rows that repeat id and text have the
+    same next document: the next different one. Texts are shuffled once, to the range of keys they lie in; the first document of a
+    range goes to the range before it, too."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    text = text.withColumn("h", F.xxhash64("text"))
-    # Null ids must find their row in an equi-join.
-    key = [F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("h")).alias("key")]
-    before = F.struct(F.col("before_id").isNull().alias("none"), F.coalesce("before_id", F.lit(0)).alias("doc_id"), F.col("before_h").alias("h")).alias("before")
-    links = neighbours(text.select("doc_id", "h", F.char_length("text").alias("n_chars")).distinct()).select(*key, before, "before_chars")
-    first = Window.partitionBy("key").orderBy(F.lit(1))
-    once = add_sketch(text.select(*key, "text"), "text", "sketch", k).join(links, "key").withColumn("copy", F.row_number().over(first)).where("copy = 1")
-    half = F.floor(F.col("before_chars") / 2).cast("int")
-    following = staged(once.select(F.col("before").alias("key"), F.substring("text", F.lit(1), half).alias("tail"), F.col("sketch").alias("next_sketch")))
+    doc_id = F.col("doc_id")
+    o = F.struct(doc_id.isNull().alias("none"), F.bitwise_not(F.coalesce(doc_id, F.lit(0).cast("long"))).alias("id"), F.bitwise_not(F.xxhash64("text")).alias("h"))
+    firsts = _first_keys(staged(text.select(o.alias("o"), F.char_length("text").cast("long").alias("n_chars"))))
+    table = docs.sparkSession.createDataFrame([(1, firsts)], "one int, firsts array<struct<none:boolean,id:bigint,h:bigint>>")
+    rows = text.withColumn("o", o).withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
+    rows = rows.withColumn("range", _range_of(F.col("o"), F.col("firsts")))
+    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("lent"))
+    before = F.struct(F.pmod(F.col("range") - 1, F.lit(max(1, len(firsts)))).alias("range"), F.lit(True).alias("lent"))
+    places = F.when(F.get("firsts", F.col("range")) == F.col("o"), F.array(own, before)).otherwise(F.array(own))
+    rows = rows.select("doc_id", "text", "o", F.explode(places).alias("place")).select("doc_id", "text", "o", "place.range", "place.lent")
+    once = rows.repartition("range").groupBy("range", "lent", "o").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    once = add_sketch(once, "text", "sketch", k)
+    following = Window.partitionBy("range").orderBy("lent", "o")
+    pairs = once.select("*", F.lead("text").over(following).alias("next_text"), F.lead("sketch").over(following).alias("next_sketch")).where("NOT lent")
     n = F.char_length("text")
-    own = add_sketch(text.select(*key, "doc_id", "text"), "text", "sketch", k)
-    own = own.select("key", "doc_id", n.cast("long").alias("n_chars"), F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")).alias("head"), "sketch")
-    edited = own.join(following, "key").withColumn("edited", F.concat("head", "tail"))
-    edited = edited.select("doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch")
-    return add_sketch(edited, "edited", "edited_sketch", k).select(
+    half = F.floor(n / 2).cast("int")
+    edited = pairs.select(
+        "doc_id", "copies", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"), "sketch", "next_sketch"
+    )
+    done = add_sketch(edited, "edited", "edited_sketch", k).select(
         "doc_id",
+        "copies",
         "n_chars",
-        "edited_sha256",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("sketch")).alias("fingerprint"),
         as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
     )
+    return done.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copy", "copies")
