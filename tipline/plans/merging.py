@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,12 +143,14 @@ def multi_source_conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.merge_sources(spark.sql(_SOURCES.format(n="(20)", t="_tipline_orders")), ["game_id"], ["status", "score"], "priority")
 
 
-@query(f"WITH {GAMES} SELECT a.game_id AS game_a, b.game_id AS game_b, CASE WHEN a.game_id = b.game_id THEN 1e0 WHEN a.game_id % 3 = b.game_id % 3 THEN 0.6e0 ELSE 0.05e0 END AS correlation FROM games a, games b WHERE a.game_id < 20 AND b.game_id < 20")
+@query("SELECT a.n_nationkey AS nation_a, b.n_nationkey AS nation_b, CASE WHEN a.n_nationkey = b.n_nationkey THEN 1e0 WHEN a.n_regionkey = b.n_regionkey THEN 0.6e0 ELSE 0.05e0 END AS correlation FROM nation a, nation b")
 def cross_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assumed correlation of every two bets of one card of twenty games: the card's size is the limit."""
-    card = games(spark, sf_dir).where("game_id < 20").select("game_id")
-    pairs = card.withColumnRenamed("game_id", "game_a").crossJoin(F.broadcast(card.withColumnRenamed("game_id", "game_b")))
-    return pairs.withColumn("correlation", F.when(F.col("game_a") == F.col("game_b"), 1.0).when(F.col("game_a") % 3 == F.col("game_b") % 3, 0.6).otherwise(0.05))
+    """Assumed correlation of every two members of the nations' table, which has 25 rows at any scale: the matrix is the result."""
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    everyone = nation.agg(F.collect_list(F.struct("n_nationkey", "n_regionkey")).alias("all"))
+    pairs = everyone.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    same, near = F.col("a.n_nationkey") == F.col("b.n_nationkey"), F.col("a.n_regionkey") == F.col("b.n_regionkey")
+    return pairs.select(F.col("a.n_nationkey").alias("nation_a"), F.col("b.n_nationkey").alias("nation_b"), F.when(same, 1.0).when(near, 0.6).otherwise(0.05).alias("correlation"))
 
 
 @query(f"WITH {TG} SELECT game_id, home_away, CASE WHEN gaps IS NULL AND points < 0 THEN 'gaps|low' WHEN gaps IS NULL THEN 'gaps' ELSE 'low' END AS missing_fields FROM (SELECT *, CASE WHEN team_id % 4 = 0 THEN NULL ELSE 1 END AS low FROM tg) WHERE gaps IS NULL AND low IS NOT NULL")
@@ -183,16 +186,20 @@ def dq_schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.report(team_games(spark, sf_dir), ["gaps", "points", "venue"], {"poss": (50.0, 80.0)}, ["team_id"]).withColumn("value", R(F.col("value")))
 
 
-@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), c AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
 SELECT strftime(c.day, '%Y-%m-%d') AS day, COALESCE(n, 0) AS n, CASE WHEN n > 0 THEN 'success' ELSE 'empty' END AS status FROM c LEFT JOIN d ON c.day = d.day""")
 def dq_calendar_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.to_date("o_orderdate").alias("d"))
+    orders = _table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"))
     return Q.calendar(orders, "d").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query()
+@query("""SELECT n_regionkey AS page_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS row, CAST(n_nationkey AS VARCHAR) || '|' || n_name AS cells FROM nation""")
 def html_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.html_rows(_table(spark, sf_dir, "pages"), "page_id", "html")
+    """Rows of tables in pages: one page for each region, with a table of its nations."""
+    cells = F.concat(F.lit("<tr class=x><td>"), F.col("n_nationkey").cast("string"), F.lit(" </td>\n<TD><b>"), F.col("n_name"), F.lit("</b></TD></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("cells")))), lambda r: r["cells"]), "\n")
+    pages = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("page_id")).agg(F.concat(F.lit("<html><table>"), rows, F.lit("</table></html>")).alias("html"))
+    return files.html_rows(pages, "page_id", "html").select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +208,9 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/") + "/stream-" + next(tempfile._get_candidate_names())
+    """A new folder that driver and executors share; one of our own only where the session names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tipline-')}"
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
@@ -209,7 +218,7 @@ def stream_merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's rows merged into a table, batch by batch; the latest row of each user stays."""
     at = _shared(spark)
     S.merge_stream(_stream(spark, sf_dir), f"{at}/table", f"{at}/checkpoint", ["user_id"], F.lit(1), "ts", ["event_id"]).awaitTermination()
-    return spark.read.parquet(f"{at}/table").select("user_id", "event_id", "value")
+    return files.table(spark, f"{at}/table").select("user_id", "event_id", "value")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

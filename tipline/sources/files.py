@@ -37,28 +37,75 @@ def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.posexplode(rows).alias("row", "_row")).select(key, "row", cells.alias("cells"))
 
 
+#: File beside a table's versions that names the one to read; Spark's readers skip names with an underscore.
+POINTER = "_current"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """Name of the table's current version."""
+    p, fs = _hadoop(spark, f"{path}/{POINTER}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The current version of a table that replace() wrote; an empty table, or None without a schema, where there is none yet."""
+    path = path.rstrip("/")
+    name = _current(spark, path)
+    if name is None:
+        return None if schema is None else spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def replace(df: DataFrame, path: str, **options) -> None:
-    """Writes beside the path first, then swaps the folders: readers see the old or the new table, and a table may be rewritten from itself."""
-    spark = df.sparkSession
-    new, old = (f"{path.rstrip('/')}.{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
-    df.write.options(**options).parquet(new)
-    at = {k: spark._jvm.org.apache.hadoop.fs.Path(v) for k, v in {"path": path, "new": new, "old": old}.items()}
-    fs = at["path"].getFileSystem(spark._jsc.hadoopConfiguration())
-    before = fs.exists(at["path"])
-    if before and not fs.rename(at["path"], at["old"]):
-        raise OSError(f"can't move {path} aside")
-    if not fs.rename(at["new"], at["path"]):
-        raise OSError(f"can't put {new} in the place of {path}")
-    if before:
-        fs.delete(at["old"], True)
+    """Writes a new version of the table, then names it in one rename of the pointer: at any moment readers find the old or the new table, a failure leaves
+    the old one, and a table may be rewritten from itself. The version before stays for readers that have begun; older ones go."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(f"{path}/{name}")
+    at, fs = _hadoop(spark, path)
+    before = _current(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, pointer = hadoop.Path(f"{path}/_{name}"), hadoop.Path(f"{path}/{POINTER}")
+    out = fs.create(new)
+    out.write(bytearray(name.encode()))
+    out.close()
+    rename = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    rename[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, pointer, rename)
+    for f in fs.listStatus(at):
+        old = f.getPath()
+        if old.getName().startswith("v-") and old.getName() not in (name, before):
+            fs.delete(old, True)
 
 
 def append(new: DataFrame, path: str, keys: list[str], score: Column, recent: str, tie: list[str]) -> DataFrame:
     """Adds rows to the table at path; of one key, the most complete and then most recent row stays. Returns the table."""
     spark = new.sparkSession
-    old = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], new.schema)
-    replace(append_best(old, new, keys, score, recent, tie), path)
-    return spark.read.parquet(path)
+    replace(append_best(table(spark, path, new.schema), new, keys, score, recent, tie), path)
+    return table(spark, path)
+
+
+def archive(df: DataFrame, path: str, day: str, source: str) -> None:
+    """Rows as JSON with an envelope (source, number of columns), in folders by year and month of a day column."""
+    row = F.struct(F.lit(source).alias("source"), F.lit(len(df.columns)).alias("n_fields"), F.struct("*").alias("data"))
+    df.select(row.alias("r"), F.year(day).alias("year"), F.month(day).alias("month")).select("r.*", "year", "month").write.partitionBy("year", "month").mode("append").json(path)
+
+
+def not_html(spark: SparkSession, path: str) -> bool:
+    """Whether a file's first line with text looks like data, not like the page that a site sends to robots."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
+    return head is not None and not head[0].lstrip().lower().startswith(("<!doctype", "<html", "<head", "<body"))
 
 
 def ddl(schema: T.StructType, table: str, key_names: tuple[str, ...] = ("row_hash", "id", "game_id")) -> str:
