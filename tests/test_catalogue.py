@@ -41,4 +41,7 @@ def test_matches_sql(spark, sf_dir, oracle, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracles())))
 def test_runs(spark, sf_dir, name):
-    assert catalogue.queries()[name](spark, sf_dir).count() >= 0
+    """Queries that SQL can't express; other tests hold their operators against results worked out by hand."""
+    df = catalogue.queries()[name](spark, sf_dir)
+    rows = df.collect()
+    assert rows and any(x is not None for x in rows[0])

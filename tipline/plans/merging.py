@@ -234,3 +234,31 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # In complete mode the last batch holds all counts.
     last = table.agg(F.max("batch")).first()[0]
     return table.where(F.col("batch") == last).select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id, arg_max(value, ts) FILTER (event_id % 3 <> 0) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
+def stream_upsert_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest values of each user; a missing value never replaces one."""
+    at = _shared(spark)
+    stream = _stream(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    S.upsert_stream(stream, f"{at}/table", f"{at}/checkpoint", ["user_id"], ["value", "event_type"], "ts").awaitTermination()
+    return files.table(spark, f"{at}/table")
+
+
+@query("SELECT user_id, arg_min(value, ts) AS opening, arg_max(value, ts) AS latest, round(arg_max(value, ts) - arg_min(value, ts) + 3e-10, 6) + 0e0 AS movement, count(*) AS n FROM events GROUP BY user_id")
+def stream_line_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _shared(spark)
+    S.history_stream(_stream(spark, sf_dir), f"{at}/table", f"{at}/checkpoint", ["user_id"], "value", "ts").awaitTermination()
+    return S.movements(files.table(spark, f"{at}/table"), ["user_id"]).withColumn("movement", R(F.col("movement")))
+
+
+@query("""WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 1 DAY, ts) - to_days(CAST(k AS INTEGER)) for k in range(7)]) AS start FROM events) SELECT epoch_us(start) // 1000000 AS start, user_id, count(*) AS n FROM w GROUP BY ALL""")
+def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user in windows of seven days that start every day; all windows, closed or open, in the last batch."""
+    at = _shared(spark)
+
+    def sink(df: DataFrame, batch: int) -> None:
+        files.replace(df, f"{at}/counts")
+
+    S.sliding_counts(_stream(spark, sf_dir), "ts", ["user_id"], "7 days", "1 day").writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return files.table(spark, f"{at}/counts").select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "user_id", "n")

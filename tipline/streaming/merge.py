@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tipline.sources.files import append
+from tipline.operators.joins import upsert
+from tipline.sources.files import append, replace, table
 
 
 def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], score: Column, recent: str, tie: list[str]):
@@ -28,3 +29,41 @@ def window_counts(events: DataFrame, ts: str, kind: str, width: str, slide: str
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Works off all that is there now, then stops."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], values: list[str], recent: str):
+    """Keeps the latest value of each column by key; a null never replaces a value. Idempotent: a batch may run again. Late batches win as they come."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        newest = df.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(recent))).alias(c) for c in values])
+        old = table(df.sparkSession, path, newest.schema)
+        replace(upsert(old, newest, keys), path)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def history_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str, recent: str):
+    """Per key the first and the latest value with their moments, and the number of rows, over all batches. A batch's number is kept with its rows' sums, so that
+    one that runs again counts once."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        now = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+            F.min(F.struct(F.col(recent).alias("at"), F.col(value).alias("value"))).alias("first"), F.max(F.struct(F.col(recent).alias("at"), F.col(value).alias("value"))).alias("last"), F.count("*").alias("n")
+        )
+        now = now.withColumn("batch", F.lit(number))
+        old = table(df.sparkSession, path, now.schema).where(F.col("batch") != number)
+        replace(old.unionByName(now), path)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def movements(history: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's opening and latest value, the movement between them, and the number of rows, from what history_stream() keeps."""
+    whole = history.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return whole.select(*keys, F.col("first.value").alias("opening"), F.col("last.value").alias("latest"), (F.col("last.value") - F.col("first.value")).alias("movement"), "n")
+
+
+def sliding_counts(events: DataFrame, ts: str, keys: list[str], width: str, slide: str, late: str | None = None) -> DataFrame:
+    """Rows by key in windows that overlap; the state of a window goes once the watermark has passed it."""
+    events = events.withWatermark(ts, late) if late else events
+    return events.groupBy(F.window(ts, width, slide), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
