@@ -39,6 +39,18 @@ def quantile(c: Column, q: float, w: WindowSpec) -> Column:
     return F.percentile(c, F.lit(q)).over(w)
 
 
+def ordered_values(c: Column, w: WindowSpec) -> Column:
+    """A window's values in order, without nulls: one frame for any number of quantiles."""
+    return F.sort_array(F.collect_list(c).over(w))
+
+
+def quantile_of(values: Column, q: float) -> Column:
+    """Between the neighbours, by distance, of an array in order; null if it is empty."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low, high = (F.get(values, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at)))
+
+
 def pack(df: DataFrame, metrics: list[str], keys: list[str], order: list[str], windows: tuple[int, ...] = (3, 7), std: int = 7, prefix: str = "") -> DataFrame:
     """Means of the last rows for each window, the deviation of one, the mean of all earlier rows, and their number."""
     out = {}

@@ -134,21 +134,39 @@ def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.selectExpr("game_id", "h_game_dt AS game_dt", "h_points - a_points AS margin", "h_ortg_pre - a_ortg_pre AS ortg_diff", "h_poss_pre - a_poss_pre AS poss_diff")
 
 
-@query()
+_OVER7 = "OVER (PARTITION BY team_id ORDER BY game_dt, game_id, home_away ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
+_ROLLED = f"""{TG}, pre AS (SELECT *, avg(ortg) {_OVER7} AS op, avg(poss) {_OVER7} AS pp FROM tg),
+rolled AS (SELECT h.game_id, h.game_dt, epoch_us(h.game_dt) // 1000000 AS sec, h.points - a.points AS margin, h.op - a.op AS o, h.pp - a.pp AS p FROM pre h JOIN pre a ON h.game_id = a.game_id AND h.home_away = 'home' AND a.home_away = 'away')"""
+
+
+def _fit(source: str, name: str) -> str:
+    """Closed form of a ridge model of two features (penalty 0.01, free constant, medians for missing values): ends in {name}(d1, d2, wa, wb, w0)."""
+    return f"""{name}_d AS (SELECT coalesce(median(o), 0) AS d1, coalesce(median(p), 0) AS d2 FROM {source}), {name}_x AS (SELECT coalesce(o, d1) AS a, coalesce(p, d2) AS b, margin AS y, d1, d2 FROM {source}, {name}_d),
+{name}_m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM {name}_x), {name}_s AS (SELECT min(d1) AS d1, min(d2) AS d2, min(ma) AS ma, min(mb) AS mb, min(my) AS my, sum((a - ma) * (a - ma)) + 0.01e0 AS aa, sum((b - mb) * (b - mb)) + 0.01e0 AS bb,
+sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS yb FROM {name}_x, {name}_m),
+{name}_w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM {name}_s), {name} AS (SELECT d1, d2, wa, wb, my - wa * ma - wb * mb AS w0 FROM {name}_w)"""
+
+
+_PREDICTED = _r("w0 + wa * coalesce(o, d1) + wb * coalesce(p, d2)", 3)
+
+
+@query(f"WITH {_ROLLED}, {_fit('rolled', 'model')} SELECT game_id, margin, {_PREDICTED} AS prediction FROM rolled, model")
 def ridge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margins predicted by a ridge model of all games; missing features take the median."""
     df, features = _rolled(spark, sf_dir), ["ortg_diff", "poss_diff"]
     filled, medians = M.imputed(df, features)
     weights = M.ridge(filled, features, "margin")
-    return df.select("game_id", "margin", M.linear(weights, medians).alias("prediction"))
+    return df.select("game_id", "margin", R(M.linear(weights, medians), 3).alias("prediction"))
 
 
-@query()
+@query(f"""WITH {_ROLLED}, cut AS (SELECT CAST(floor(quantile_cont(CAST(sec AS DOUBLE), 0.4)) AS BIGINT) AS c1, CAST(floor(quantile_cont(CAST(sec AS DOUBLE), 0.7)) AS BIGINT) AS c2 FROM rolled),
+p1 AS (SELECT rolled.* FROM rolled, cut WHERE sec < c1), p2 AS (SELECT rolled.* FROM rolled, cut WHERE sec < c2), {_fit('p1', 'm1')}, {_fit('p2', 'm2')}
+SELECT game_id, 0 AS fold, margin, {_PREDICTED} AS prediction FROM rolled, cut, m1 WHERE sec >= c1 AND sec < c2 UNION ALL SELECT game_id, 1, margin, {_PREDICTED} FROM rolled, cut, m2 WHERE sec >= c2""")
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _rolled(spark, sf_dir)
     span = df.agg(F.percentile(F.unix_seconds(F.col("game_dt").cast("timestamp")), F.array(F.lit(0.4), F.lit(0.7))).alias("q")).first().q
     df = df.withColumn("at", F.unix_seconds(F.col("game_dt").cast("timestamp")))
-    return M.walk_forward(df, "at", ["ortg_diff", "poss_diff"], "margin", [int(x) for x in span]).select("game_id", "fold", "margin", "prediction")
+    return M.walk_forward(df, "at", ["ortg_diff", "poss_diff"], "margin", [int(x) for x in span]).select("game_id", "fold", "margin", R(F.col("prediction"), 3).alias("prediction"))
 
 
 @query(f"""WITH {GAMES}, w AS (SELECT a / 10e0 AS w_pred, (10 - a) / 10e0 AS w_line FROM (SELECT unnest(range(11)) AS a)) SELECT w_pred, w_line, (SELECT {_r('sqrt(avg((w_pred * pred + w_line * line - margin) * (w_pred * pred + w_line * line - margin)))', 4)} FROM games) AS rmse FROM w""")

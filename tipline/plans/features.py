@@ -123,8 +123,8 @@ def win_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 {_r(f'quantile_cont(gaps, 0.2) {_over(7)}')} AS p20, {_r(f'quantile_cont(gaps, 0.8) {_over(7)}')} AS p80, {_r(f'quantile_cont(gaps, 0.75) {_over(7)} - quantile_cont(gaps, 0.25) {_over(7)}')} AS iqr FROM tg""")
 def win_range_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, w = F.col("gaps"), W.before(KEYS, ORDER, 7)
-    q = {f"p{k}": W.quantile(g, k / 100, w) for k in (20, 25, 75, 80)}
-    df = team_games(spark, sf_dir).withColumns({"lo": F.min(g).over(w), "hi": F.max(g).over(w), **q})
+    df = team_games(spark, sf_dir).withColumn("v", W.ordered_values(g, w))
+    df = df.withColumns({"lo": F.get("v", F.lit(0)), "hi": F.get("v", F.size("v") - 1), **{f"p{k}": W.quantile_of(F.col("v"), k / 100) for k in (20, 25, 75, 80)}})
     return _out(df.withColumns({"span": F.col("hi") - F.col("lo"), "iqr": F.col("p75") - F.col("p25")}), "lo", "hi", "span", "p20", "p80", "iqr")
 
 
