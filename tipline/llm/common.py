@@ -53,7 +53,17 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     with _cleaning_up(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes the files of staged tables that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +91,7 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
 
 
 #: Bytes of one chunk of an array that tasks build in parts, and tasks whose parts meet in one group at first.
-CHUNK, FAN_IN = 16_384, 256
+CHUNK, FAN_IN = 131_072, 256
 
 
 def summed(df: DataFrame, build, combine) -> np.ndarray:
