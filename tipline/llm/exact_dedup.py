@@ -1,11 +1,12 @@
 """Exact deduplication over an extendible-hash index kept in shared files.
 
-Every text is reduced to its form without white space and hashed. The index entries (one per distinct text, counted
-before the shuffle, so that a text that fills a third of the corpus is one entry) go into buckets addressed by the leading
-bits of the hash. A directory says how many bits each bucket uses: while a bucket holds more entries than its capacity,
-the directory doubles there and the bucket splits on the next bit. The buckets lie in shared Parquet files sorted by
-hash; owner tasks each process a key range, chain entries that collide on the hash, and elect the row that stays.
-Afterwards every member's bytes are compared with the bytes of the row that stays.
+Every text is reduced to its form without white space; the leading bits of its SHA-256 are its key. Keys are counted first, so that only
+texts whose key occurs again go on. Of these, the rows of one Arrow batch with equal bytes become one index entry: a text
+that fills a third of the corpus is one entry a batch. The entries go into buckets addressed by the leading bits of the key. A directory says
+how many bits each bucket uses: while a bucket holds more keys than its capacity, the directory doubles there and the bucket splits on
+the next bit. The buckets lie in shared Parquet files sorted by key. Owner tasks each take a key range of these files, chain the
+entries of a key that differ, comparing whole texts byte by byte, and elect the row of each class that stays. Nothing is equal because a
+hash is: texts that share a key, or a digest, are links of one chain.
 
 Defined results: null text is empty text; all empty texts form one group; of fully repeated rows exactly one is kept; a
 null id loses ties and is returned as null; an empty table gives an empty result. Other columns of the input are ignored.
@@ -19,98 +20,136 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, staged
-
-#: Entries a bucket may hold before it splits.
-BUCKET_ROWS = 65_536
-#: The directory stops doubling at this depth; entries that still share a bucket are chained.
-MAX_DEPTH = 40
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        digests = [hashlib.sha256(t.translate(None, SPACE_BYTES)).digest() for t in texts]
-        chars = pc.utf8_length(pc.fill_null(batch.column(1), "")).cast(pa.int64())
-        keys = np.frombuffer(b"".join(d[:8] for d in digests), ">u8").astype(np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), chars, pa.array([d.hex() for d in digests], pa.string()), pa.array(keys)], names=["doc_id", "n_chars", "text_sha256", "key"])
-
-
-def _members(bits: np.ndarray):
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                norm = (text or b"").translate(None, SPACE_BYTES)
-                digest = hashlib.sha256(norm).digest()
-                if bits[int.from_bytes(digest[:8], "big") >> 64 - BITMAP_BITS]:
-                    out.append((doc_id, digest.hex(), norm))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            types = (pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_sha256", "norm"])
-
-    return members
-
-
-def _prefix(depth: int, bits: int):
-    """The first depth bits of a hash of that many bits, as a number."""
-    return F.shiftrightunsigned(F.col("key"), bits - depth) if depth else F.lit(0).cast("long")
-
-
-def directory(entries: DataFrame, bits: int, bucket_rows: int) -> DataFrame:
-    """Entries with the depth and number of their bucket. Overfull buckets split bit by bit until none is left."""
-    done, active, depth = None, entries, 0
-    n = entries.count()
-    while depth < min(bits, MAX_DEPTH) and n > bucket_rows << depth:  # a uniform hash needs at least so many bits
+from tipline.llm.common import BITMAP_BITS, SPACE_BYTES, bitmap, slices, staged
+
+#: Keys a bucket may hold before it splits.
+BUCKET_KEYS = 65_536
+#: Bytes of text worked on, or passed on, at a time (or one document).
+SLICE_BYTES = 8 << 20
+
+
+def _normal(batch: pa.RecordBatch, bits: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """Texts without white space, their digests and keys."""
+    norms = [(t or b"").translate(None, SPACE_BYTES) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+    digests = [hashlib.sha256(t).digest() for t in norms]
+    keys = np.frombuffer(b"".join(d[:8] for d in digests), ">u8").astype(np.uint64) >> np.uint64(64 - bits)
+    return norms, digests, keys
+
+
+def _keys(bits: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, SLICE_BYTES):
+                values, n = np.unique(_normal(batch, bits)[2].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return keys
+
+
+#: Rows of two kinds. norm is null: a document, its entry (null: its key occurs once) and its rank among the entry's. Else: an entry with its best row.
+ENTRIES = "entry long, rank int, doc_id long, n_chars long, text_sha256 string, key long, norm binary, n long"
+
+
+def _entries(bits: int, wanted: np.ndarray):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry = TaskContext.get().partitionId() << 33
+        names = [c.split()[0] for c in ENTRIES.split(", ")]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64())
+        for whole in batches:
+            for batch in slices(whole, 1, SLICE_BYTES):
+                norms, digests, keys = _normal(batch, bits)
+                chars = pc.utf8_length(pc.fill_null(batch.column(1), "")).to_pylist()
+                ids, again = batch.column(0).to_pylist(), wanted[keys << np.uint64(64 - bits) >> np.uint64(64 - BITMAP_BITS)].tolist()
+                equal: dict[bytes, list[int]] = {}
+                out = []
+                for i, norm in enumerate(norms):
+                    if again[i]:
+                        equal.setdefault(norm, []).append(i)
+                    else:
+                        out.append((None, 0, ids[i], chars[i], digests[i].hex(), None, None, None))
+                keys = keys.astype(np.int64).tolist()
+                for norm, rows in equal.items():
+                    rows.sort(key=lambda i: (-chars[i], ids[i] is None, ids[i] or 0))
+                    out += [(entry, k, ids[i], chars[i], digests[i].hex(), None, None, None) for k, i in enumerate(rows)]
+                    out.append((entry, 0, ids[rows[0]], chars[rows[0]], None, keys[rows[0]], norm, len(rows)))
+                    entry += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return entries
+
+
+def directory(entries: DataFrame, bits: int, bucket_keys: int) -> DataFrame:
+    """Entries with the depth and number of their bucket. Overfull buckets split bit by bit until none is left, or no bit."""
+    keys = staged(entries.select("key").distinct())
+    full, buckets, depth, n = None, [], 0, keys.count()
+    while depth < bits and n > bucket_keys << depth:  # a uniform hash needs at least so many bits
         depth += 1
+    first = depth
     while True:
-        at = active.withColumn("bucket", _prefix(depth, bits)).withColumn("depth", F.lit(depth))
-        full = at.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket")
-        full = staged(full) if depth < min(bits, MAX_DEPTH) else None
-        if full is None or full.isEmpty():
-            return at if done is None else done.unionByName(at)
-        settled = at.join(full, "bucket", "left_anti")
-        done = settled if done is None else done.unionByName(settled)
-        active, depth = at.join(full, "bucket", "left_semi").drop("bucket", "depth"), depth + 1
-
-
-def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 63, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. bits: of the hash that addresses the index."""
+        keys = keys.withColumn("bucket", F.shiftrightunsigned("key", bits - depth) if depth else F.lit(0).cast("long"))
+        full = staged(keys.groupBy("bucket").count().where(F.col("count") > bucket_keys).select("bucket"))
+        if depth == bits or full.isEmpty():
+            break
+        buckets.append(full)
+        keys, depth = keys.join(full, "bucket", "left_semi").drop("bucket"), depth + 1
+    # An entry's bucket is the first of its prefixes that did not split.
+    found = entries.withColumn("depth", F.lit(first))
+    for d, split in enumerate(buckets, first):
+        prefix = F.shiftrightunsigned("key", bits - d) if d else F.lit(0).cast("long")
+        found = found.withColumn("bucket", prefix).join(split.withColumn("split", F.lit(True)), "bucket", "left")
+        found = found.withColumn("depth", F.when((F.col("depth") == d) & F.col("split"), F.lit(d + 1)).otherwise(F.col("depth"))).drop("split", "bucket")
+    # Buckets of one depth lie side by side in the order of keys; numbers of all depths are brought to full length.
+    low = F.expr(f"shiftleft(shiftrightunsigned(key, {bits} - depth), {bits} - depth)")
+    return found.withColumn("bucket", F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(low))
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """entry, keep_entry, keep_id and group_size. Entries come sorted by key; a key's chain has one link for each text that differs."""
+    key, links = None, []
+
+    def classes() -> pa.RecordBatch:
+        rows = [(e, best[3], best[4], size) for _, best, size, members in links for e in members]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["entry", "keep_entry", "keep_id", "group_size"])
+
+    for batch in batches:
+        for k, entry, doc_id, n_chars, norm, n in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            if k != key:
+                if links:
+                    yield classes()
+                key, links = k, []
+            best = (-n_chars, doc_id is None, doc_id or 0, entry, doc_id)
+            for link in links:
+                if link[0] == norm:
+                    link[1], link[2] = min(link[1], best), link[2] + n
+                    link[3].append(entry)
+                    break
+            else:
+                links.append([norm, best, n, [entry]])
+    if links:
+        yield classes()
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 63, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. bits: of the key that addresses the index."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(
-        source.mapInArrow(_digests, "doc_id long, n_chars long, text_sha256 string, key long").withColumn("key", F.shiftrightunsigned("key", 64 - bits))
-    )
-    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
-    entries = staged(rows.groupBy("key", "text_sha256").agg(F.count("*").alias("group_size"), F.min(best).alias("best")))
-    indexed = directory(entries, bits, bucket_rows).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
-    index = staged(indexed.select("bucket", "depth", "key", "text_sha256", "group_size", "best"))
-    # Entries of one key are a chain: distinct texts whose hashes collide.
-    chain = Window.partitionBy("bucket", "key").orderBy("best", "text_sha256")
-    classes = index.select("key", "text_sha256", "group_size", "best", F.row_number().over(chain).alias("link"))
-
-    # Equal digests are only candidates: compare each member's bytes with those of the row that stays.
-    many = classes.where("group_size > 1").select("text_sha256", F.col("best.doc_id").alias("keep_id"))
-    leading = F.conv(F.substring("text_sha256", 1, BITMAP_BITS // 4), 16, 10).cast("long")
-    bitset = bitmap(many.select(F.shiftleft(leading, 64 - BITMAP_BITS).alias("bits")), "bits")
-    members = source.mapInArrow(_members(bitset), "doc_id long, text_sha256 string, norm binary").join(many, "text_sha256")
-    kept_text = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("norm").alias("kept_norm"))
-    differ = members.join(kept_text, "text_sha256").where(F.col("norm") != F.col("kept_norm"))
-    differ = staged(differ.select("text_sha256", "norm").distinct())
-    if not differ.isEmpty():  # would need two texts with one SHA-256
-        raise ValueError("two different texts share a SHA-256 digest; group_size would be wrong")
-
-    once = Window.partitionBy("text_sha256", "doc_id").orderBy(F.col("n_chars").desc())
-    keep = classes.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"))
-    numbered = rows.withColumn("copy", F.row_number().over(once))
-    return numbered.join(keep, "text_sha256").select(
+    again = source.mapInArrow(_keys(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    wanted = bitmap(again.select(F.shiftleft("key", 64 - bits).alias("key")), "key")
+    rows = staged(source.mapInArrow(_entries(bits, wanted), ENTRIES))
+    entries = rows.where("norm IS NOT NULL").select("key", "entry", "doc_id", "n_chars", "norm", "n")
+    index = staged(directory(entries, bits, bucket_keys).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"))
+    owned = index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "entry")
+    classes = owned.select("key", "entry", "doc_id", "n_chars", "norm", "n").mapInArrow(_chained, "entry long, keep_entry long, keep_id long, group_size long")
+    own = F.col("entry").isNull()
+    joined = rows.where("norm IS NULL").select("entry", "rank", "doc_id", "text_sha256").join(classes, "entry", "left")
+    return joined.select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(own, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"),
+        (own | ((F.col("entry") == F.col("keep_entry")) & (F.col("rank") == 0))).alias("kept"),
         "text_sha256",
     )
