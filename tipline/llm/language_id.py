@@ -25,8 +25,8 @@ from tipline.llm.common import crc_bucket, slices, staged, summed
 
 #: Bytes of an n-gram; least share of a language's n-grams; labelled documents learned from per language (about).
 GRAM, MIN_SHARE, SAMPLE_DOCS = 5, 1e-5, 4000
-#: log2 of the filter's slots, hash functions, and languages at most.
-SLOT_BITS, HASHES, MAX_LANGUAGES = 20, 2, 1024
+#: log2 of the filter's slots, and hash functions. The filter takes 2^SLOT_BITS bits for each language, whatever their number.
+SLOT_BITS, HASHES = 20, 2
 #: Bytes of text worked on at a time.
 SLICE_BYTES = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -158,9 +158,7 @@ def _reached(model: Filter, gram: int):
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, min_share: float = MIN_SHARE, gram: int = GRAM) -> Filter | None:
     """labelled: draw (long, the hash that sampling goes by), lang, text; rows without lang or text are left out."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").collect()  # one row per language
     if not sizes:
         return None
     languages = [r["lang"] for r in sizes]
@@ -168,7 +166,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, min_share: float
     limits = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
     sample = staged(labelled.where(F.pmod("draw", F.lit(1 << 30)) < limits[F.col("lang")] * (1 << 30)).select("lang", "text"))
     counts = sample.mapInArrow(_counted(gram), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    counts = staged(counts.where("n > 1"))
+    counts = staged(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * min_share).select("lang", "h")
     table = summed(kept, _filled(languages), np.bitwise_or).reshape(1 << SLOT_BITS, -1)
