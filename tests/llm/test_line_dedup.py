@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tipline.llm import line_dedup
@@ -24,8 +25,9 @@ def brute(rows: list[tuple]) -> list[tuple]:
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
         kept = []
         for line in text.split("\n"):
-            words = [w.decode() for w in line.lower().encode().split()]
-            if len(words) < 5:
+            apart = regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}\u30FC\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]", r" \g<0> ", line.lower())
+            words = [w.decode() for w in apart.encode().split()]
+            if not words:
                 kept.append(line)
                 continue
             if not any(words == s or (min(len(words), len(s)) >= 10 and within_one(words, s)) for s in seen):

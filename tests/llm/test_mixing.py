@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tipline.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, target string"
@@ -42,6 +44,20 @@ def test_against_brute_force(spark, sf_dir):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
 
 
+def test_repeated_and_null_ids_come_near_their_targets(spark):
+    rows = [(None, f"a b c d e {i}", "nulls", "") for i in range(500)] + [(7, "same text here", "repeats", "") for _ in range(700)]
+    rows += [(8 + i % 2, "one two", "two ids", "") for i in range(300)] + [(100 + i, "w " * (i % 9), "plain", "") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = mixing.mix(docs.withColumn("r", F.monotonically_increasing_id()), row_col="r").collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.target, []).append(r)
+    for target, mine in by.items():
+        assert abs(sum(r.taken for r in mine) - target) <= max(r.size for r in mine)
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in mine)
+
+
 def test_budgets_are_nested_and_empty_input(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     small = {r.doc_id: r.taken for r in mixing.mix(docs, share=0.4).collect()}

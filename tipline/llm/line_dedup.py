@@ -1,10 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join, in built-in expressions only.
 
 A line counts by its words, lower-cased. It is dropped when the same line, or one within an edit distance of one word (a word
-replaced, added or missing), occurs earlier: in a smaller doc_id, or before it in the same document. Lines of fewer than
-min_words words always stay; lines of fewer than near_words words only go when an equal line is earlier. With unspaced, each letter of a
-script that is written without spaces is a word, and white space beside it does not count. The registered query keeps to its SQL twin
-(MIN_WORDS, words by white space only); the corpus pipeline compares every non-empty line, with unspaced.
+replaced, added or missing), occurs earlier: in a smaller doc_id, or before it in the same document. The edit bound is a tenth of the line's
+words, at most one: lines of fewer than near_words words only go when an equal line is earlier. Every line with a word is compared, whatever
+its length (min_words is 1; lines with fewer always stay). With unspaced, each letter of a script that is written without spaces is a word, and
+white space beside it does not count.
 
 Equal lines collapse first, so that frequent lines are one row each. Only lines that share an intact half with another line can
 be within the bound (one edit leaves the first or the last half alone); for these, all variants are emitted as hashed keys:
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tipline.llm.common import SPACE, sized, staged, text_of
 
 #: Words from which a line is compared at all, and from which an edit of one word is tolerated.
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 10
 #: Letters of scripts that put no spaces between words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: Rows of two or three numbers up to which the lines to look at again are broadcast.
@@ -130,7 +130,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str,
     return staged(checked.where(_within_one(F.col("words"), F.col("earlier"))).select("a", "b").distinct())
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text", unspaced: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text", unspaced: bool = True) -> DataFrame:
     """row (a struct of all input columns), text without the dropped lines, n_lines and n_dropped."""
     occurrence = F.struct("place", "line_no").alias("at")
     lines = staged(_lines(docs, id_col, text_col, min_words, unspaced).select(occurrence, "a", "b", _halves(near_words).alias("halves")))

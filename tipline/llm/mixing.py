@@ -1,12 +1,13 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Each source gets a word target by weight. A document's place is a 60-bit hash of its id. Words are summed by source and
+Each source gets a word target by weight. A document's place is a 60-bit hash of its id and text. Words are summed by source and
 hash bucket; the running sum shows the bucket in which the source's budget runs out, and only that bucket is cut into finer
-ones, 12 bits at a time, until it holds one hash value. Everything below the threshold is taken: a filter, no sort.
+ones, 12 bits at a time, until it holds one hash value. Everything below the threshold is taken: a filter, no sort. Of rows that repeat id and text,
+and so share the boundary hash, as many are taken as fit.
 Budgets are nested: a larger budget takes all that a smaller one takes, and whole epochs come before a partial one.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; rows that repeat an id share
-its hash and are taken alike; empty tables give empty results. Other columns of the input are ignored.
+Defined results: null text has size 0; a null source is a source of its own, last in order; a null id counts as empty text in the
+hash; empty tables give empty results. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ HASH_BITS, STEP = 60, 12
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """row_col where given, doc_id, place (hash of the id), key (source, with null as a value of its own that sorts last) and size in words."""
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10)
+    """row_col where given, doc_id, place (hash of id and text), key (source, with null as a value of its own that sorts last) and size in words."""
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text_of(text_col))
+    hashed = F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10)
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source_col).cast("string")))
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
     row = [F.col(row_col)] if row_col else []
@@ -50,7 +52,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...], share: float, cap: f
 
 
 def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, epochs (whole passes), last (the boundary hash), with_last (whether it is taken). wanted: from targets()."""
+    """key, epochs (whole passes), last (the boundary hash), rows that have it and how many of them are taken. wanted: from targets()."""
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budget = wanted.withColumn("epochs", epochs.cast("long"))
     budget = budget.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))).withColumn("lo", F.lit(0).cast("long"))
@@ -59,11 +61,14 @@ def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
         shift = HASH_BITS - used
         at = F.shiftright("place", shift)
         inside = base.where("size > 0").join(sized(open_), "key").where(F.shiftright("place", shift + STEP) == F.col("lo"))
-        bins = inside.groupBy("key", "epochs", "left", at.alias("bin")).agg(F.sum("size").alias("words"), F.min("place").alias("least"), F.max("place").alias("most"))
+        measures = [F.sum("size").alias("words"), F.min("place").alias("least"), F.max("place").alias("most"), F.count("*").alias("rows"), F.max("size").alias("one")]
+        bins = inside.groupBy("key", "epochs", "left", at.alias("bin")).agg(*measures)
         run = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         edge = bins.withColumn("upto", F.sum("words").over(run)).where("upto - words <= left AND left < upto")
         edge = staged(edge.withColumn("left", F.col("left") - (F.col("upto") - F.col("words"))))
-        settled = edge.where("least = most").select("key", "epochs", F.col("least").alias("last"), (F.col("left") * 2 >= F.col("words")).alias("with_last"))
+        fit = F.floor(F.col("left") / F.col("one")).cast("long")  # equal texts, one size
+        fit = fit + ((F.col("left") - fit * F.col("one")) * 2 >= F.col("one")).cast("long")
+        settled = edge.where("least = most").select("key", "epochs", F.col("least").alias("last"), "rows", F.least("rows", fit).alias("fit"))
         found = settled if found is None else found.unionByName(settled)
         open_ = edge.where("least < most").select("key", "epochs", "left", F.col("bin").alias("lo"))
         if open_.isEmpty():
@@ -71,6 +76,17 @@ def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return found
 
 
+def first_rows(base: DataFrame, edges: DataFrame) -> DataFrame:
+    """rid of the rows with a boundary hash that are taken although others with it are not. Rows are numbered by part of the staged table, so that no part waits for another."""
+    some = edges.where("fit > 0 AND fit < rows").select("key", F.col("last").alias("place"), "fit")
+    ties = base.where("size > 0").select("rid", "key", "place").join(sized(some), ["key", "place"]).withColumn("part", F.shiftright("rid", 33))
+    counts = ties.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("key", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("key", "part").orderBy("rid"))
+    return ties.withColumn("number", number).join(counts, ["key", "part"]).where("before + number <= fit").select("rid", F.lit(True).alias("chosen"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -82,10 +98,13 @@ def mix(
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: row_col where given, doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    base = staged(sizes(docs, id_col, text_col, source_col, row_col))
+    base = staged(sizes(docs, id_col, text_col, source_col, row_col).withColumn("rid", F.monotonically_increasing_id()))
     wanted = staged(targets(base.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, cap))
-    edges = thresholds(base, wanted)
+    edges = staged(thresholds(base, wanted))
+    chosen = staged(first_rows(base, edges))
     plan = staged(wanted.join(edges, "key", "left"))
-    once = F.coalesce((F.col("place") < F.col("last")) | ((F.col("place") == F.col("last")) & F.col("with_last")), F.lit(False))
+    here = F.col("place") == F.col("last")
+    once = F.coalesce((F.col("place") < F.col("last")) | (here & (F.col("fit") >= F.col("rows"))) | (here & F.col("chosen")), F.lit(False))
     epochs = F.coalesce(F.col("epochs"), F.lit(0).cast("long"))
-    return base.join(sized(plan), "key").select(*[row_col] * bool(row_col), "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (epochs + once.cast("long"))).alias("taken"))
+    rows = base.join(sized(plan), "key").join(sized(chosen), "rid", "left")
+    return rows.select(*[row_col] * bool(row_col), "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (epochs + once.cast("long"))).alias("taken"))

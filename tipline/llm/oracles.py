@@ -6,7 +6,7 @@ SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 MIX = rf"""
 WITH base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS k, CAST({SIZE} AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS place
   FROM {{documents}}),
 src AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY k),
 weighted AS (
@@ -23,8 +23,7 @@ budget AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM target),
 summed AS (
   SELECT b.doc_id, b.size, t.source_size, t.target, t.epochs, greatest(0.0, t.target - t.epochs * t.source_size) AS budget,
-         sum(b.size) OVER (PARTITION BY b.k ORDER BY b.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(b.size) OVER (PARTITION BY b.k, b.place) AS own
+         sum(b.size) OVER (PARTITION BY b.k ORDER BY b.place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, b.size AS own
   FROM base b JOIN budget t USING (k))
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        CAST(size * (epochs + CASE WHEN upto <= budget OR (upto - own <= budget AND 2 * (budget - (upto - own)) >= own AND own > 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
@@ -48,8 +47,8 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM ranked
 LINES = r"""
 split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {documents}),
 numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM split),
-worded AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM numbered),
-occ AS (SELECT doc_id, line_no, words, array_to_string(words, ' ') AS norm, len(words) AS n FROM worded WHERE len(words) >= 5),
+worded AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(regexp_replace(lower(line), '([\p{{Han}}\p{{Hiragana}}\x{{30FC}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}\p{{Tibetan}}])', ' \1 ', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM numbered),
+occ AS (SELECT doc_id, line_no, words, array_to_string(words, ' ') AS norm, len(words) AS n FROM worded WHERE len(words) >= 1),
 firsts AS (SELECT norm, any_value(words) AS words, any_value(n) AS n, min({{'d': doc_id, 'l': line_no}}) AS first FROM occ GROUP BY norm),
 spots AS (SELECT norm, words, n, first, unnest(range(1, n + 2)) AS i FROM firsts WHERE n >= 10),
 variants AS (
