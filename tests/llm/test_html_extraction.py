@@ -64,3 +64,26 @@ def test_all_attribute_words_are_features():
     (block,) = hx.blocks(page)
     assert block.path[0] == ("div", ("col", "md", "sm", "hidden", "xs", "pull", "right", "sidebar", "left", "menu", "navigation"))
     assert any("sidebar" in name for name in hx.features([block])[0])
+
+
+def test_nothing_after_a_broken_or_closed_element_is_lost():
+    field = hx.trained()
+    one, two, three = ("This is a long enough sentence number %d, with several words in it." % k for k in (1, 2, 3))
+    for between in ("<svg class='i'/>", "<iframe src=x />", "<svg class='i'><path d='M0'/></svg>", "<object data=x></object>", "<title/>", "<svg>", "<p title='a\"b>", "<img alt='it's>"):
+        page = f"<article><p>{one}</p>{between}<p>{two}</p><p>{three}</p></article>"
+        assert hx.main_text(page, field) == f"{one} {two} {three}", between
+    assert hx.main_text(f"<article><p>{one}</p><noscript><p>{two}</p></noscript></article>", field).startswith(one)
+    assert [b.text for b in hx.blocks("<p title='a\"b>Real words</p>")] == ["Real words"]
+
+
+def test_layouts_without_an_article_element():
+    field = hx.trained()
+    right = main = found = 0
+    for page, labels in labelled_pages(400, 99):
+        if "<article" in page or len(blocks := hx.blocks(page)) != len(labels):
+            continue
+        for b, got, want in zip(blocks, field.decode(blocks), labels, strict=True):
+            right += len(b.text) * (got and want)
+            found += len(b.text) * got
+            main += len(b.text) * want
+    assert main > 100_000 and right > 0.95 * main and right > 0.94 * found

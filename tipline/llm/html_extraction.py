@@ -6,7 +6,8 @@ and label and for each pair of neighbouring labels (apart for neighbours under o
 on labelled pages, on the driver, over a bounded set drawn from a seed, and decoded by Viterbi in Spark tasks, page by page.
 
 Defined results: null html is empty; a page without blocks, or none of them main, gives an empty text; white space is what
-str.split() splits at; repeated rows give equal results; other columns are ignored.
+str.split() splits at; a closed-at-once or unclosed svg, iframe, title or template hides nothing after it; a tag whose quotes do not
+balance ends at its first ">"; repeated rows give equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +29,19 @@ from tipline.llm.labelled_pages import labelled_pages
 PAGES, SEED, PASSES, STEP, PENALTY = 700, 11, 14, 0.25, 1e-4
 SLICE_BYTES = 4 << 20
 
-# Elements whose content is never text of the page, elements within a line, and elements without content.
-UNSEEN = "script|style|title|template|noscript|svg|iframe|object"
+# Elements whose content is never text of the page (code runs on to the page's end if it isn't closed, the others don't), elements
+# within a line, and elements without content.
+CODE, UNSEEN = "script|style", "title|template|svg|iframe"
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BOXES = frozenset("ul ol dl table tbody thead tfoot div section article aside main nav header footer form body td".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Comments; unseen elements with their content; tags, with quoted values where the quotes are balanced, else up to the first ">"; declarations.
+_VALUES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({CODE})\b[^>]*>.*?(?:</\1\s*>|\Z)|<({UNSEEN})\b{_VALUES}(?<!/)>.*?</\2\s*>|<(/?)([a-zA-Z][^\s/>]*)({_VALUES})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I
+)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -77,14 +83,15 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text)
         at = m.end()
-        if not m[3]:
+        closing, name, attrs = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
+        if not name:
             continue
-        tag = m[3].lower()
+        tag = name.lower()
         if tag not in INLINE:
             flush()
         elif tag == "br":
             parts.append(" ")
-        if m[2]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, -1, -1):
@@ -96,7 +103,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             links += 1
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
         if tag not in INLINE:
             links = 0
@@ -110,7 +117,7 @@ def blocks(page: str) -> list[Block]:
                 break
         serial += 1
         if tag != "a":
-            stack.append((tag, _attribute_words(m[4]), serial))
+            stack.append((tag, _attribute_words(attrs), serial))
     if at < len(page):
         parts.append(page[at:])
     flush()

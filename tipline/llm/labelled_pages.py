@@ -159,6 +159,10 @@ class _Page:
                 self.block(rng.choice(["pre", "div", "figcaption"]), self.words(2, 25), True)
             elif x < 0.89:
                 self.block("p", self.word(), True)
+            elif x < 0.895:
+                self.boxed("noscript", [], lambda: self.block("p", self.prose(1, 3), True))
+            elif x < 0.90:
+                self.boxed("figure", [], lambda: [self.html.append("<svg viewBox='0 0 9 9'/><img src=x>"), self.block("figcaption", self.words(2, 12), True)])
             elif x < 0.94:
                 self.part(rng.choice(["advert", "advert", "side", "share", "notice"]))
             elif x < 0.95:
@@ -170,6 +174,8 @@ class _Page:
         rng = self.rng
         self.html.append("<!DOCTYPE html><html><head><meta charset=utf-8><title>" + self.words(1, 8) + '</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body' + (self.attrs(CONTENT) if rng.random() < 0.2 else "") + ">")
         alone = rng.random() < 0.12
+        if rng.random() < 0.05:
+            self.boxed("noscript", [], lambda: self.block("div", self.prose(1, 2), False))
         before = rng.sample(["header", "menu", "notice", "advert", "side", "share"], 0 if alone else rng.randint(0, 4))
         after = rng.sample(["side", "comments", "footer", "advert", "notice", "share", "menu"], rng.randint(0, 1 if alone else 4))
         for kind in before:
