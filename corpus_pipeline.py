@@ -29,26 +29,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines, of any length, that an earlier document, or an earlier place, has; those of which nothing is left go."""
-    cleaned = line_dedup.dedup_lines(docs, min_words=1, unspaced=True)
+    cleaned = line_dedup.dedup_lines(docs)
     left = cleaned.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     values = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))}
     return left.select([values.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row (a number of its own for each row) and doc (all columns): whatever the columns are called, nothing clashes."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; documents without links stay."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = ngram_join.join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place"))
-    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min("place").alias("place")).select("place._row")
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    """The document with the smallest id of each group of linked documents (null last); documents without links stay, and so do those without words."""
+    rows = _numbered(docs)
+    groups = ngram_join.join(rows.select("row", "doc.text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "row").alias("place"))
+    kept = groups.join(ids, "row").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or two times. Documents without words add nothing to it and go."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mixing.mix(rows, row_col="_row").where("taken > 0").select("_row", F.expr("cast(taken div size as int)").alias("_copies"))
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_row", "_copies", "_copy")
+    rows = _numbered(docs)
+    taken = mixing.mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), row_col="row").where("taken > 0").select("row", F.expr("cast(taken div size as int)").alias("copies"))
+    return rows.join(taken, "row").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

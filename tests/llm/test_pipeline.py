@@ -49,10 +49,26 @@ def test_edges(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "123 456", None, "s", 7), (3, "the same words again and again\n" * 3, "en", None, 93), (4, "la même chose encore une fois", "fr", "s", 29)]
     for data in ([], rows):
-        docs = spark.createDataFrame(data, schema)
-        for _, stage in corpus_pipeline.STAGES:
+        docs, ids = spark.createDataFrame(data, schema), {}
+        for name, stage in corpus_pipeline.STAGES:
             docs = staged(stage(spark, docs, ""))
-        assert docs.count() >= 0
+            ids[name] = Counter(r.doc_id for r in docs.collect())
+        # Null, empty and letterless texts are in no language; a source's only document is taken once or twice.
+        assert set(ids["language"]) == set(ids["lines"]) == set(ids["near_duplicates"]) == ({3, 4} if data else set())
+        assert set(ids["mix"]) <= {3, 4} and ids["pack"] == ids["mix"] and bool(ids["pack"]) == bool(data)
+
+
+def test_nulls_and_clashing_columns_in_every_stage(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, doc string, copies int, component_id long, place string"
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text, None, None, None, 1, None, 9, None, "x"), (5, text, "en", "s", 48, 2, "d", None, 4, None), (6, None, None, "s", None, None, None, None, None, None), (7, "", "en", "s", 0, 1, "", 1, 1, "")]
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted((r.doc_id, r.row) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [(5, 2), (6, None), (7, 1)]
+    assert {r.doc_id for r in corpus_pipeline.lines(spark, docs, "").collect()} >= {5, 6, 7}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns, name
+    assert all(r.copies in (9, None) and r.row in (1, 2) for r in corpus_pipeline.mix(spark, docs, "").collect())
+    assert sorted((r.doc_id, r.length) for r in corpus_pipeline.pack(spark, docs, "").collect() if r.doc_id in (6, 7)) == [(6, 1), (7, 1)]
 
 
 def test_short_lines_and_lines_without_spaces_collapse(spark):
