@@ -111,3 +111,14 @@ def ends_with(columns: Sequence[str], suffixes: Sequence[str] = (), prefixes: Se
 def mean_or_zero(df: DataFrame, names: dict[str, str], combine: dict[str, Callable] | None = None) -> DataFrame:
     """One row: the mean of each named column, nulls as 0; 0 for a column that the table lacks or a table without rows."""
     return df.agg(*[F.coalesce(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if c in df.columns else F.lit(0.0), F.lit(0.0)).alias(out) for out, c in names.items()])
+
+
+def reshaped(df: DataFrame, aliases: dict[str, Sequence[str]], extra: str = "_extra") -> DataFrame:
+    """The table under the names of a fixed layout: each taken from the first alias that is there (any case, blanks as '_'), null where none is; all other
+    columns go, as JSON without nulls, into the extra column."""
+    there = {c.strip().lower().replace(" ", "_"): c for c in reversed(df.columns)}
+    taken = {name: next((there[a] for a in (name, *also) if a in there), None) for name, also in aliases.items()}
+    rest = [c for c in df.columns if c not in taken.values()]
+    own = [F.col(f"`{c}`").alias(n) if c else F.lit(None).cast("string").alias(n) for n, c in taken.items()]
+    packed = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])) if rest else F.lit("{}")
+    return df.select(*own, packed.alias(extra))

@@ -112,3 +112,30 @@ def bankrolls(df: DataFrame, p: str, odds: str, simulations: int, start: float =
     step = F.log(1 + stake * F.when(draw < F.col(p), payout).otherwise(-1.0))
     sims = df.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(simulations))))
     return sims.groupBy("sim").agg((start * F.exp(F.sum(step))).alias("bankroll"))
+
+
+def variants(df: DataFrame, features: list[str], target: str, least_gap: int = 2) -> DataFrame:
+    """One row per pair of features at least least_gap places apart, and per single one: the root mean squared error of the mean of their own straight-line fits.
+
+    All fits and all pairs come from one pass of sums of products; rows that lack a feature or the target are left out."""
+    names = [*features, target]
+    whole = df.dropna(subset=names)
+    means = whole.agg(*[F.avg(c).alias(c) for c in names]).first()
+    if means[target] is None:
+        return df.sparkSession.createDataFrame([], "a string, b string, rmse double")
+    centred = [F.col(c) - F.lit(means[c]) for c in names]
+    cells = {(i, j): f"s{i}_{j}" for i in range(len(names)) for j in range(i, len(names))}
+    sums = whole.agg(F.count("*").alias("n"), *[F.sum(centred[i] * centred[j]).alias(n) for (i, j), n in cells.items()]).first()
+    y = len(features)
+
+    def s(i: int, j: int) -> float:
+        return sums[cells[min(i, j), max(i, j)]]
+
+    slope = [s(i, y) / s(i, i) if s(i, i) else 0.0 for i in range(y)]
+    out = []
+    for i in range(y):
+        for j in [i, *range(i + least_gap, y)]:
+            a, b = slope[i] / 2, slope[j] / 2
+            square = s(y, y) - 2 * (a * s(i, y) + b * s(j, y)) + a * a * s(i, i) + b * b * s(j, j) + 2 * a * b * s(i, j)
+            out.append((features[i], features[j], float(np.sqrt(max(square, 0.0) / sums.n))))
+    return df.sparkSession.createDataFrame(out, "a string, b string, rmse double")

@@ -312,3 +312,10 @@ def composite_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = team_games(spark, sf_dir).select("game_id", "home_away", F.col("ortg").alias("ortg_pre"), F.col("poss").alias("pace_pre"), "points")
     return _rounded(df, ["game_id", "home_away"], D.ends_with(df.columns, ["_pre"]))
+
+
+@query("""SELECT o_orderkey AS entity_id, o_orderstatus AS severity, CAST(NULL AS VARCHAR) AS reason, '{"o_custkey":' || o_custkey || '}' AS _extra FROM orders""")
+def audit_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit table under other headers, brought to the fixed layout."""
+    odd = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Entity Id"), F.col("o_orderstatus").alias("LEVEL"), "o_custkey")
+    return D.reshaped(odd, {"entity_id": ["id"], "severity": ["level"], "reason": ["code"]})

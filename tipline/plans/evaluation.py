@@ -169,6 +169,27 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.walk_forward(df, "at", ["ortg_diff", "poss_diff"], "margin", [int(x) for x in span]).select("game_id", "fold", "margin", R(F.col("prediction"), 3).alias("prediction"))
 
 
+_SPANS = (3, 5, 7, 10)
+
+
+def _pairs() -> list[tuple[int, int]]:
+    return [(_SPANS[i], _SPANS[j]) for i in range(len(_SPANS)) for j in [i, *range(i + 2, len(_SPANS))]]
+
+
+@query(f"""WITH {TG}, pre AS (SELECT *, {', '.join(f'avg(ortg) OVER (PARTITION BY team_id ORDER BY game_dt, game_id, home_away ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS o{n}' for n in _SPANS)} FROM tg),
+g AS (SELECT h.points - a.points AS y, {', '.join(f'h.o{n} - a.o{n} AS x{n}' for n in _SPANS)} FROM pre h JOIN pre a ON h.game_id = a.game_id AND h.home_away = 'home' AND a.home_away = 'away' WHERE h.o3 IS NOT NULL AND a.o3 IS NOT NULL),
+f AS (SELECT {', '.join(f'regr_slope(y, x{n}) AS s{n}, regr_intercept(y, x{n}) AS c{n}' for n in _SPANS)} FROM g)
+{' UNION ALL '.join(f"SELECT 'ortg_l{a}' AS a, 'ortg_l{b}' AS b, {_r(f'sqrt(avg(pow((s{a} * x{a} + c{a} + s{b} * x{b} + c{b}) / 2 - y, 2)))', 4)} AS rmse FROM g, f" for a, b in _pairs())}""")
+def window_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins by rating differences over windows of several lengths: each alone, and halves of two that are at least two steps apart."""
+    from tipline.operators.joins import home_away
+
+    df = team_games(spark, sf_dir).withColumns({f"o{n}": W.mean(F.col("ortg"), W.before(["team_id"], ORDER, n)) for n in _SPANS})
+    both = home_away(df, "game_id", "home_away", ["points", *[f"o{n}" for n in _SPANS]])
+    both = both.withColumns({"y": F.col("h_points") - F.col("a_points"), **{f"ortg_l{n}": F.col(f"h_o{n}") - F.col(f"a_o{n}") for n in _SPANS}})
+    return M.variants(both, [f"ortg_l{n}" for n in _SPANS], "y").select("a", "b", R(F.col("rmse"), 4).alias("rmse"))
+
+
 @query(f"""WITH {GAMES}, w AS (SELECT a / 10e0 AS w_pred, (10 - a) / 10e0 AS w_line FROM (SELECT unnest(range(11)) AS a)) SELECT w_pred, w_line, (SELECT {_r('sqrt(avg((w_pred * pred + w_line * line - margin) * (w_pred * pred + w_line * line - margin)))', 4)} FROM games) AS rmse FROM w""")
 def ensemble_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.ensemble_grid(games(spark, sf_dir), ["pred", "line"], "margin"), ["w_pred", "w_line"], ["rmse"], 4)
