@@ -3,7 +3,7 @@
 The text view sees hashed words and word shapes (length, capitals, last character). The metadata view sees what is known without reading the words: source,
 language, and the page's size, number of words and share of line breaks, each as a bucket. Both are logistic regressions, fitted first on a bounded sample
 of LABELLED labelled documents, drawn by a hash of the id. Then, in each round, either view scores all documents in their tasks and labels the share GROW
-of them it is surest of, in the proportions of the labelled ones; a histogram of confidences over all documents gives the thresholds.
+of them it is surest of (by confidences calibrated on labelled ones kept apart), in the proportions of the labelled ones; a histogram of confidences over all documents gives the thresholds.
 The other view learns from these pseudo-labels in the tasks where the documents are: every task takes gradient steps over its own ones, and the
 tasks' weights are averaged by their number. The driver then fits the labelled sample again, drawn to that average. A fifth of the labelled
 sample is kept apart: each view is calibrated on it (Platt), and a last regression on both calibrated views gives the combined score. Every
@@ -184,31 +184,37 @@ def _logits(found: list, weights: list[np.ndarray], n: int) -> list[np.ndarray]:
     return [np.bincount(doc, w[index] * value, n) + w[-1] for (doc, index, value), w in zip(found, weights, strict=True)]
 
 
-def _confidences(weights):
+def _sure(found: list, teachers, n: int) -> list[np.ndarray]:
+    """Calibrated confidence of both views in each document of a slice."""
+    weights, calibrations = teachers.value
+    return [_sigmoid(c[0] * z + c[1]) for z, c in zip(_logits(found, weights, n), calibrations, strict=True)]
+
+
+def _confidences(teachers):
     """Of both views, over a task's documents."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         words, views, out = Words(), Views(), np.zeros((2, BINS), np.int64)
         for batch in batches:
             for s, found in _views(batch, words, views):
-                for k, z in enumerate(_logits(found, weights.value, s.last - s.first)):
-                    out[k] += np.bincount(np.minimum((_sigmoid(z) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
+                for k, p in enumerate(_sure(found, teachers, s.last - s.first)):
+                    out[k] += np.bincount(np.minimum((p * BINS).astype(np.int64), BINS - 1), minlength=BINS)
         return out.ravel()
 
     return build
 
 
-def _taught(weights, limits: list[tuple[float, float]]):
+def _taught(teachers, limits: list[tuple[float, float]]):
     """For each view: its weights after steps over the documents that the other view is sure of, times their number, and that number."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         words, views = Words(), Views()
-        w = [x.copy() for x in weights.value]
+        w = [x.copy() for x in teachers.value[0]]
         square, seen = [np.full(len(x), 1e-4) for x in w], [0, 0]
         for batch in batches:
             for s, found in _views(batch, words, views):
                 n = s.last - s.first
-                sure = [_sigmoid(z) for z in _logits(found, weights.value, n)]
+                sure = _sure(found, teachers, n)
                 for k in (0, 1):
                     p, (low, high) = sure[1 - k], limits[1 - k]
                     chosen = (p <= low) | (p >= high)
@@ -255,9 +261,14 @@ def learn(source: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
     known, y = ~apart, label[~apart].astype(float)
     share = y.mean()
     weights = [fit(v.take(known), y, size) for v, size in zip(views, SIZES, strict=True)]
+    of_held = label[held].astype(float)
+
+    def calibrated(weights: list[np.ndarray]) -> list[np.ndarray]:
+        return [_small_fit([v.take(held).logits(w)], of_held) for v, w in zip(views, weights, strict=True)]
+
     everything = source.select("text", "source", "language")
     for _ in range(rounds):
-        current = broadcast(weights)
+        current = broadcast((weights, calibrated(weights)))
         histogram = summed(everything, _confidences(current), np.add).reshape(2, -1)
         n = grow * histogram[0].sum()
         limits = [thresholds(h, n * (1 - share), n * share, sure) for h in histogram]
@@ -266,10 +277,8 @@ def learn(source: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds
         if not any(p[-1] for p in parts):
             break
         weights = [fit(v.take(known), y, size, penalty=PULL, towards=p[:-1] / p[-1]) if p[-1] else w for v, size, p, w in zip(views, SIZES, parts, weights, strict=True)]
-    y = label[held].astype(float)
-    logits = [v.take(held).logits(w) for v, w in zip(views, weights, strict=True)]
-    calibrations = [_small_fit([z], y) for z in logits]
-    combination = _small_fit([c[0] * z + c[1] for z, c in zip(logits, calibrations, strict=True)], y)
+    logits, calibrations = [v.take(held).logits(w) for v, w in zip(views, weights, strict=True)], calibrated(weights)
+    combination = _small_fit([c[0] * z + c[1] for z, c in zip(logits, calibrations, strict=True)], of_held)
     return Model(weights, calibrations, combination)
 
 
