@@ -25,8 +25,10 @@ from tipline.llm.common import SPACE, sized, staged, text_of
 
 #: Words from which a line is compared at all, and from which an edit of one word is tolerated.
 MIN_WORDS, NEAR_WORDS = 1, 10
-#: Letters of scripts that put no spaces between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: Letters of scripts that put no spaces between words, and the ranges they lie in: a range is told at once, where a script takes a look-up for each letter.
+RANGES = r"\x{0E00}-\x{19FF}\x{2E80}-\x{10FFFF}"
+UNSPACED_RANGES = f"[{RANGES}]"
+UNSPACED = rf"[{RANGES}&&[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\x{{30FC}}\p{{IsThai}}\p{{IsLao}}\p{{IsKhmer}}\p{{IsMyanmar}}\p{{IsTibetan}}]]"
 #: Rows of two or three numbers up to which the lines to look at again are broadcast.
 SMALL = 400_000
 #: Words up to which a line's variants are hashed from its text; longer ones use running sums.
@@ -37,7 +39,8 @@ def _normal(line: Column, unspaced: bool) -> Column:
     """The line's words, lower-cased, with one space between them."""
     low = F.lower(line)
     if unspaced:
-        low = F.when((F.octet_length(low) > F.char_length(low)) & low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+        apart = (F.octet_length(line) > F.char_length(line)) & line.rlike(UNSPACED_RANGES)
+        low = F.when(apart, F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
     odd = F.contains(low, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(low, F.lit(c))
