@@ -35,12 +35,17 @@ SMALL = 400_000
 LONG = 2_000
 
 
-def _normal(line: Column, unspaced: bool) -> Column:
-    """The line's words, lower-cased, with one space between them."""
+def _low(line: Column, unspaced: bool) -> Column:
+    """The line in lower case; with unspaced, with spaces around each letter of a script without them."""
     low = F.lower(line)
-    if unspaced:
-        apart = (F.octet_length(line) > F.char_length(line)) & line.rlike(UNSPACED_RANGES)
-        low = F.when(apart, F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    if not unspaced:
+        return low
+    apart = (F.octet_length(line) > F.char_length(line)) & line.rlike(UNSPACED_RANGES)
+    return F.when(apart, F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+
+
+def _normal(low: Column) -> Column:
+    """The words of a line in lower case, with one space between them."""
     odd = F.contains(low, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(low, F.lit(c))
@@ -51,8 +56,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, unspaced
     """place (sorts by document), line_no, norm, n (words), a and b (together the line's 128-bit hash)."""
     text = docs.select(_place(id_col, text_col).alias("place"), text_of(text_col).alias("text"))
     lines = text.select("place", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    # A generator of one row: the filter below does not repeat the work above it.
-    lines = lines.select("place", "line_no", F.explode_outer(F.array(_normal(F.col("line"), unspaced))).alias("norm"))
+    # Generators of one row: what follows does not repeat the work before it.
+    lines = lines.select("place", "line_no", F.explode_outer(F.array(_low(F.col("line"), unspaced))).alias("low"))
+    lines = lines.select("place", "line_no", F.explode_outer(F.array(_normal(F.col("low")))).alias("norm"))
     n = F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "))) + F.lit(1)
     lines = lines.withColumn("n", F.when(F.col("norm") == "", F.lit(0)).otherwise(n)).where(F.col("n") >= min_words)
     return lines.withColumn("a", F.xxhash64("norm")).withColumn("b", F.xxhash64(F.lit("b"), "norm"))
