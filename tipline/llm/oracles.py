@@ -81,9 +81,32 @@ both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM sized UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
 """
 
+def _hashed(k: int) -> str:
+    return f"CAST('0x' || substr(d, {1 + 8 * (k - 1)}, 8) AS BIGINT) AS h{k}"
+
+
+#: Units as a list; the three parts are runs of it.
+MIDDLE = rf"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+  FROM documents),
+hashed AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, {", ".join(map(_hashed, (1, 2, 3, 4)))} FROM units),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed),
+parts AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a+1:b], ''), '') AS m, coalesce(array_to_string(u[b+1:n], ''), '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
+
 ORACLES = {
     "op3_mix_sources": MIX.format(documents="documents"),
     "op5_ngram_jaccard_join": f"WITH RECURSIVE {JACCARD.format(documents='documents')} SELECT s.doc_id, s.n AS n_shingles, (SELECT min(y) FROM reach WHERE x = s.doc_id) AS component_id FROM sized s",
     "op7_exact_dedup": EXACT,
     "op9_line_dedup": f"WITH {LINES.format(documents='documents')} SELECT doc_id, text, n_lines, n_dropped FROM cleaned",
+    "op12_fill_in_middle": MIDDLE,
 }

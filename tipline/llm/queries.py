@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tipline.llm import exact_dedup, fingerprints, html_extraction, language_id, language_model, line_dedup, mixing, ngram_join, packing, quality
+from tipline.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, language_id, language_model, line_dedup, mixing, ngram_join, packing, quality
 from tipline.llm.common import documents
 
 
@@ -54,4 +55,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op4_pitman_yor_scores, op5_ngram_jaccard_join, op6_co_training_quality, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(documents(spark, sf_dir))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op4_pitman_yor_scores, op5_ngram_jaccard_join, op6_co_training_quality, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction, op12_fill_in_middle)}
