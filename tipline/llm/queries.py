@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipline.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, language_id, language_model, line_dedup, mixing, ngram_join, packing, quality
+from tipline.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, language_id, language_model, line_dedup, mixing, ngram_join, packing, piece_codes, quality
 from tipline.llm.common import documents
 
 
@@ -15,6 +15,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_tokenizer())
 
@@ -61,4 +67,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op4_pitman_yor_scores, op5_ngram_jaccard_join, op6_co_training_quality, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction, op12_fill_in_middle)}
+def op13_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codes.decode(piece_codes.encode(documents(spark, sf_dir), piece_model()), piece_model())
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op4_pitman_yor_scores, op5_ngram_jaccard_join, op6_co_training_quality, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction, op12_fill_in_middle, op13_piece_codes)}
