@@ -103,10 +103,41 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM parts
 """
 
+def _codes(rounds: int = 4, entries: int = 256) -> str:
+    """Every round as two tables: the nearest entry of every part, and the codebooks after it."""
+    near = """
+near{r} AS MATERIALIZED (
+  SELECT t.vec_id, t.label, t.p, t.part, min({{'d': CAST(list_sum(list_transform(list_zip(t.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': b.e}}) AS best
+  FROM parts t JOIN book{r} b USING (p) GROUP BY ALL)"""
+    book = """
+book{n} AS MATERIALIZED (
+  WITH cells AS (SELECT p, best.e AS e, unnest(part) AS x, unnest(range(len(part))) AS i FROM near{r}),
+  means AS (SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM cells GROUP BY p, e, i),
+  moved AS (SELECT p, e, list(m ORDER BY i) AS part FROM means GROUP BY p, e)
+  SELECT b.p, b.e, coalesce(m.part, b.part) AS part FROM book{r} b LEFT JOIN moved m USING (p, e))"""
+    steps = [x for r in range(rounds) for x in (near.format(r=r), book.format(r=r, n=r + 1))]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS part FROM kept, (SELECT unnest(range(4)) AS p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part FROM parts QUALIFY e < {entries}),
+{",".join(steps)},
+{near.format(r=rounds)},
+errors AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM errors
+"""
+
+
 ORACLES = {
     "op3_mix_sources": MIX.format(documents="documents"),
     "op5_ngram_jaccard_join": f"WITH RECURSIVE {JACCARD.format(documents='documents')} SELECT s.doc_id, s.n AS n_shingles, (SELECT min(y) FROM reach WHERE x = s.doc_id) AS component_id FROM sized s",
     "op7_exact_dedup": EXACT,
     "op9_line_dedup": f"WITH {LINES.format(documents='documents')} SELECT doc_id, text, n_lines, n_dropped FROM cleaned",
+    "op11_vector_codes": _codes(),
     "op12_fill_in_middle": MIDDLE,
 }

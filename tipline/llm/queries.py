@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipline.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, language_id, language_model, line_dedup, mixing, ngram_join, packing, piece_codes, quality
+from tipline.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, language_id, language_model, line_dedup, mixing, ngram_join, packing, piece_codes, quality, vector_codes
 from tipline.llm.common import documents
 
 
@@ -61,6 +61,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.transform(documents(spark, sf_dir))
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -73,4 +78,4 @@ def op13_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op4_pitman_yor_scores, op5_ngram_jaccard_join, op6_co_training_quality, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction, op12_fill_in_middle, op13_piece_codes)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_bitmask, op3_mix_sources, op4_pitman_yor_scores, op5_ngram_jaccard_join, op6_co_training_quality, op7_exact_dedup, op8_bottom_k_fingerprints, op9_line_dedup, op10_html_extraction, op11_vector_codes, op12_fill_in_middle, op13_piece_codes)}
