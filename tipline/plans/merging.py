@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +11,9 @@ from tipline.operators import quality as Q
 from tipline.plans.adapter import GAMES, ORDER, TG, games, team_games
 from tipline.plans.registry import query
 from tipline.sources import files
+from tipline.sources.scratch import new_dir
 from tipline.streaming import merge as S
+from tipline.streaming.trailing import trailing_counts
 
 R = C.rounded
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
@@ -208,9 +207,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; one of our own only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tipline-')}"
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_dir(spark, "stream")
 
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
@@ -262,3 +259,18 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     S.sliding_counts(_stream(spark, sf_dir), "ts", ["user_id"], "7 days", "1 day").writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return files.table(spark, f"{at}/counts").select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "user_id", "n")
+
+
+def _earlier(days: int) -> str:
+    return f"count(CASE WHEN b.s >= a.s - {days * 86400} AND (b.ts, b.event_id) < (a.ts, a.event_id) THEN 1 END) AS last_{days}_days"
+
+
+@query(f"""WITH t AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) SELECT a.user_id, a.event_id, {', '.join(map(_earlier, (3, 7, 10)))}
+FROM t a LEFT JOIN t b ON a.user_id = b.user_id AND b.s BETWEEN a.s - 864000 AND a.s GROUP BY a.user_id, a.event_id""")
+def stream_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every event the number of its user's earlier events in the last days, from state by user; given out once the watermark has passed it."""
+    at = _shared(spark)
+    counts = trailing_counts(_stream(spark, sf_dir), "ts", ["user_id"], "event_id", (3, 7, 10))
+    with S.rocksdb(spark):
+        counts.writeStream.format("parquet").option("path", f"{at}/counts").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/counts").drop("ts")

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipline.operators.joins import upsert
 from tipline.sources.files import append, replace, table
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started in here keep their state in RocksDB; the session's setting is put back."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], score: Column, recent: str, tie: list[str]):
     """Merges every batch into the table at path. The merge is idempotent, so that a batch may run again after a failure."""
 
