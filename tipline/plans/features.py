@@ -10,6 +10,7 @@ from tipline.functions import columns as C
 from tipline.functions import text as X
 from tipline.operators import aggregates as A
 from tipline.operators import joins as J
+from tipline.operators import long_windows as LW
 from tipline.operators import windows as W
 from tipline.plans.adapter import ORDER, TG, team_games
 from tipline.plans.registry import query
@@ -106,6 +107,19 @@ def win_roll_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*ID, "games_pre", *[R(F.col(c)).alias(c) for c in df.columns if c.endswith("_pre") and c != "games_pre"])
 
 
+#: Rows of one range of the league's history; small enough that the tables at hand are cut, too.
+LEAGUE_RANGE = 4000
+
+
+@query(f"""WITH {TG}, l AS (SELECT *, 1 AS league FROM tg) SELECT game_id, home_away, {', '.join(f'{_r(f"avg({m}) {_over(n, chr(49))}")} AS {m}_l{n}_pre' for m in ("ortg", "gaps") for n in (3, 30))},
+{', '.join(f'{_r(f"CASE WHEN count({m}) {_over(30, chr(49))} >= 2 THEN stddev_pop({m}) {_over(30, chr(49))} END")} AS {m}_std_l30_pre, {_r(f"avg({m}) {_over(None, chr(49))}")} AS {m}_season_pre' for m in ("ortg", "gaps"))},
+count(ortg) {_over(None, chr(49))} AS games_pre FROM l""")
+def win_league_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole league did in the games before: one entity that has all rows, cut into ranges of time."""
+    df = LW.pack(team_games(spark, sf_dir).withColumn("league", F.lit(1)), ["ortg", "gaps"], ["league"], ORDER, (3, 30), 30, most=LEAGUE_RANGE)
+    return df.select(*ID, "games_pre", *[R(F.col(c)).alias(c) for c in df.columns if c.endswith("_pre") and c != "games_pre"])
+
+
 @query(f"""WITH {TG} SELECT game_id, home_away, {_r(f"avg(ortg) {_over(7, 'team_id, home_away')}")} AS ha_ortg_l7_pre, count(ortg) {_over(None, 'team_id, home_away')} AS ha_games_pre FROM tg""")
 def win_home_away_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = W.pack(team_games(spark, sf_dir), ["ortg"], ["team_id", "home_away"], ORDER, prefix="ha_")
