@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipline.operators.aggregates import normal_equations
+from tipline.operators.selection import quantiles
 
 
 def imputed(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, float]]:
     """Missing values replaced by the column's median (0 where there is none)."""
-    row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first().asDict()  # one row
-    medians = {c: float(v) if v is not None else 0.0 for c, v in row.items()}
+    medians = {c: v if v is not None else 0.0 for c, v in quantiles(df, columns).items()}
     return df.fillna(medians, columns), medians
 
 
@@ -69,6 +69,59 @@ def walk_forward(df: DataFrame, time: str, features: list[str], target: str, cut
     return reduce(DataFrame.unionByName, out)
 
 
+def _solved(a: np.ndarray, b: np.ndarray, penalty: float) -> np.ndarray:
+    """Ridge weights from sums of products; place 0 is the constant, which is not penalised; features without spread get 0."""
+    n = a[0, 0]
+    used = [0, *[k for k in range(1, len(a)) if a[k, k] / n - (a[0, k] / n) ** 2 > 1e-12]] if n else []
+    w = np.zeros(len(a))
+    if used:
+        part = a[np.ix_(used, used)] + penalty * np.diag([0.0] + [1.0] * (len(used) - 1))
+        w[used] = np.linalg.solve(part, b[used])
+    return w
+
+
+def walk_forward_report(df: DataFrame, time: str, features: list[str], target: str, cuts: list, penalty: float = 0.01) -> DataFrame:
+    """For each span between two cuts and each feature, of the model of all earlier rows: weight, importance (size of the weight times the feature's deviation),
+    the span's root mean squared error with all features and without this one.
+
+    Every row is read once: each span's sums of products hold for all later models, for the errors, and for the models without a feature, which are solved from
+    the same sums. Missing values are medians of the earlier rows; the sums keep them apart, so that each model puts in its own, and only features that lack
+    values are read again for that. Rows without target or time are left out. A model with no earlier rows, or a span without rows, gives nulls."""
+    p, whole = len(features), df.where(F.col(target).isNotNull() & F.col(time).isNotNull())
+    span = sum(((F.col(time) >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    # 1, the values (0 if missing), whether they are missing, and the target: their products give those with any filling.
+    parts = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features], *[F.col(f).isNull().cast("double") for f in features], F.col(target).cast("double")]
+    cells = [(i, j) for i in range(len(parts)) for j in range(i, len(parts))]
+    rows = whole.groupBy(span.alias("span")).agg(*[F.sum(parts[i] * parts[j]).alias(f"s{i}_{j}") for i, j in cells]).collect()  # one row for each span
+    sums = np.zeros((len(cuts) + 1, len(parts), len(parts)))
+    for r in rows:
+        for i, j in cells:
+            sums[r.span, i, j] = sums[r.span, j, i] = r[f"s{i}_{j}"]
+    out, y = [], 2 * p + 1
+    for k, cut in enumerate(cuts):
+        past, now = sums[: k + 1].sum(0), sums[k + 1]
+        lacking = [i for i in range(p) if (past + now)[0, 1 + p + i] > 0]
+        medians = quantiles(whole.where(F.col(time) < F.lit(cut)), [features[i] for i in lacking])
+        fill = np.zeros((p + 2, len(parts)))
+        fill[0, 0] = fill[p + 1, y] = 1.0
+        for i, f in enumerate(features):
+            fill[1 + i, 1 + i], fill[1 + i, 1 + p + i] = 1.0, medians.get(f) or 0.0
+        train, test = fill @ past @ fill.T, fill @ now @ fill.T
+        n, m = train[0, 0], test[0, 0]
+
+        def error(used: list[int]) -> tuple[np.ndarray, float | None]:
+            w = np.zeros(p + 1)
+            w[used] = _solved(train[np.ix_(used, used)], train[used, p + 1], penalty)
+            gap = np.append(-w, 1.0)
+            return w, float(np.sqrt(max(gap @ test @ gap, 0.0) / m)) if n and m else None
+
+        w, whole_error = error(list(range(p + 1)))
+        for i, f in enumerate(features):
+            spread = np.sqrt(max(train[1 + i, 1 + i] / n - (train[0, 1 + i] / n) ** 2, 0.0)) if n else None
+            out.append((k, f, int(n), int(m), float(w[1 + i]) if n else None, float(abs(w[1 + i]) * spread) if n else None, whole_error, error([j for j in range(p + 1) if j != 1 + i])[1]))
+    return df.sparkSession.createDataFrame(out, "fold int, feature string, n_train long, n_test long, weight double, importance double, rmse double, rmse_without double")
+
+
 def ensemble_grid(df: DataFrame, predictions: list[str], actual: str, steps: int = 10) -> DataFrame:
     """Root mean squared error of every weighting of the predictions (multiples of 1/steps that sum to 1), from one pass of sums of products."""
     names = [*predictions, actual]

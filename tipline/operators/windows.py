@@ -110,6 +110,33 @@ def weighted_quantile(df: DataFrame, metric: str, weight: str, out: str, keys: l
     return df.withColumn("_pairs", F.array_sort(pairs)).withColumn("_total", total).withColumn(out, found["v"]).drop("_pairs", "_total")
 
 
+def weighted_trend(df: DataFrame, metric: str, weight: str, keys: list[str], order: list[str], rows: int, k: int, prefix: str) -> DataFrame:
+    """Weighted least-squares slope over the frame's rows with a value and a weight above 0, counted 1, 2, ...; and the weighted mean of the last k of them less
+    that of the k before (with fewer than 2k, of the second less the first half). Both are null with fewer than two such rows."""
+    ok = F.col(metric).isNotNull() & (F.col(weight) > 0)
+    pairs = F.collect_list(F.when(ok, F.struct(F.col(metric).cast("double").alias("v"), F.col(weight).cast("double").alias("w")))).over(before(keys, order, rows))
+    n = F.size("_pairs")
+
+    def total(of: Column, f) -> Column:
+        return F.aggregate(of, F.lit(0.0), lambda s, p: s + f(p))
+
+    # The rows with their place; frames have a fixed number of rows, so the lists are short.
+    placed = F.transform("_pairs", lambda p, i: F.struct(p["v"].alias("v"), p["w"].alias("w"), (i + 1).cast("double").alias("t")))
+    sw, st, sv = (total(F.col("_placed"), f) for f in (lambda p: p["w"], lambda p: p["w"] * p["t"], lambda p: p["w"] * p["v"]))
+    cov = total(F.col("_placed"), lambda p: p["w"] * (p["t"] - F.col("_t")) * (p["v"] - F.col("_v")))
+    var = total(F.col("_placed"), lambda p: p["w"] * (p["t"] - F.col("_t")) * (p["t"] - F.col("_t")))
+    cut = F.when(n >= 2 * k, n - k).otherwise(F.floor(n / 2).cast("int"))
+    start = F.when(n >= 2 * k, n - 2 * k).otherwise(0)
+
+    def mean_of(a: Column) -> Column:
+        return total(a, lambda p: p["w"] * p["v"]) / total(a, lambda p: p["w"])
+
+    early, late = F.slice("_pairs", start + 1, F.greatest(cut - start, F.lit(0))), F.slice("_pairs", cut + 1, F.greatest(n - cut, F.lit(0)))
+    df = df.withColumn("_pairs", pairs).withColumn("_placed", placed).withColumns({"_t": st / F.when(sw > 0, sw), "_v": sv / F.when(sw > 0, sw)}).withColumns({"_cov": cov, "_var": var})
+    out = {f"{prefix}_wslope": F.when(n >= 2, F.col("_cov") / F.when(F.col("_var") >= 1e-12, F.col("_var"))), f"{prefix}_wshift": F.when(n >= 2, mean_of(late) - mean_of(early))}
+    return df.withColumns(out).drop("_pairs", "_placed", "_t", "_v", "_cov", "_var")
+
+
 def games_within(df: DataFrame, ts: str, keys: list[str], order: list[str], days: tuple[int, ...], strict: bool, prefix: str = "games_last_") -> DataFrame:
     """Rows of the last so many days before each. strict: earlier whole seconds only; else earlier rows, those at the same time included."""
     seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
@@ -128,9 +155,11 @@ def games_within(df: DataFrame, ts: str, keys: list[str], order: list[str], days
 
 
 def rest(df: DataFrame, ts: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Days of rest, and whether the row before is at most a day and a half ago."""
+    """Days of rest, whether the row before is at most a day and a half ago, and whether two earlier rows at least lie in the last six days."""
     gap = (F.unix_seconds(F.col(ts).cast("timestamp")) - F.lag(F.unix_seconds(F.col(ts).cast("timestamp"))).over(ordered(keys, order))) / DAY
-    return df.withColumn("_gap", gap).withColumns({"days_rest": F.greatest(F.lit(0.0), F.col("_gap") - 1), "back_to_back": F.coalesce(F.col("_gap") <= 1.5, F.lit(False)).cast("long")}).drop("_gap")
+    counted = games_within(df, ts, keys, order, (6,), strict=False, prefix="_within_")
+    out = {"days_rest": F.greatest(F.lit(0.0), F.col("_gap") - 1), "back_to_back": F.coalesce(F.col("_gap") <= 1.5, F.lit(False)).cast("long"), "three_in_six": (F.col("_within_6_days") >= 2).cast("long")}
+    return counted.withColumn("_gap", gap).withColumns(out).drop("_gap", "_within_6_days")
 
 
 def recency(df: DataFrame, keys: list[str], order: list[str], scale: float = 5.0, oldest_first: bool = True, out: str = "recency_weight") -> DataFrame:

@@ -10,6 +10,7 @@ from tipline.functions import columns as C
 from tipline.operators import aggregates as A
 from tipline.operators import models as M
 from tipline.operators import windows as W
+from tipline.operators.selection import quantiles
 from tipline.plans.adapter import GAMES, ORDER, TG, games, team_games
 from tipline.plans.registry import query
 
@@ -255,3 +256,40 @@ def formula_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bankroll_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     bets = games(spark, sf_dir).where("odds IS NOT NULL").select(F.col("game_id").alias("bet_id"), "conf", "odds")
     return M.bankrolls(bets, "conf", "odds", 50)
+
+
+_CUTS = ("2024-01-08", "2024-01-15", "2024-01-22")
+
+
+def _fits() -> str:
+    """Ridge weights of each fold in centred form (the constant is not penalised): both features, and each alone."""
+    moments = ", ".join(f"sum({a} * {b}) - sum({a}) * sum({b}) / count(*) AS {a[0]}{b[0]}" for a, b in (("poss", "poss"), ("poss", "fta"), ("fta", "fta"), ("poss", "target"), ("fta", "target")))
+    spans = ", ".join(f"({k}, TIMESTAMP '{c}', TIMESTAMP '{n}')" for k, (c, n) in enumerate(zip(_CUTS, [*_CUTS[1:], "9999-01-01"], strict=True)))
+    return f"""WITH {TG}, f(fold, low, high) AS (VALUES {spans}), d AS (SELECT poss, fta, points AS target, game_dt FROM tg WHERE points IS NOT NULL),
+s AS (SELECT fold, low, high, count(*) AS n_train, avg(poss) AS mp, avg(fta) AS mf, avg(target) AS mt, {moments}, stddev_pop(poss) AS dev_p, stddev_pop(fta) AS dev_f FROM f JOIN d ON game_dt < low GROUP BY fold, low, high),
+w AS (SELECT *, ((ff + 0.01e0) * pt - pf * ft) / ((pp + 0.01e0) * (ff + 0.01e0) - pf * pf) AS wp, ((pp + 0.01e0) * ft - pf * pt) / ((pp + 0.01e0) * (ff + 0.01e0) - pf * pf) AS wf, pt / (pp + 0.01e0) AS one_p, ft / (ff + 0.01e0) AS one_f FROM s),
+e AS (SELECT fold, count(*) AS n_test, sqrt(avg((target - mt - wp * (poss - mp) - wf * (fta - mf)) ** 2)) AS rmse, sqrt(avg((target - mt - one_f * (fta - mf)) ** 2)) AS no_poss, sqrt(avg((target - mt - one_p * (poss - mp)) ** 2)) AS no_fta
+  FROM w JOIN d ON game_dt >= low AND game_dt < high GROUP BY fold)"""
+
+
+def _line(feature: str, weight: str, spread: str, without: str) -> str:
+    return f"SELECT w.fold, '{feature}' AS feature, n_train, n_test, {_r(weight, 4)} AS weight, {_r(f'abs({weight}) * {spread}', 4)} AS importance, {_r('rmse', 4)} AS rmse, {_r(without, 4)} AS rmse_without FROM w JOIN e USING (fold)"
+
+
+@query(f"{_fits()} {_line('poss', 'wp', 'dev_p', 'no_poss')} UNION ALL {_line('fta', 'wf', 'dev_f', 'no_fta')}")
+def walk_forward_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature does in each fold, from one pass over the rows."""
+    df = team_games(spark, sf_dir).withColumn("day", F.date_format("game_dt", "yyyy-MM-dd"))
+    report = M.walk_forward_report(df, "day", ["poss", "fta"], "points", list(_CUTS))
+    return report.select("fold", "feature", "n_train", "n_test", *[R(F.col(c), 4).alias(c) for c in ("weight", "importance", "rmse", "rmse_without")])
+
+
+_MEASURED = ("l_quantity", "l_extendedprice", "l_discount", "part")
+
+
+@query(f"""WITH l AS (SELECT *, CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey AS DOUBLE) END AS part FROM lineitem) {' UNION ALL '.join(f"SELECT '{c}' AS name, round(quantile_cont({c}, 0.5) + 3e-10, 6) + 0e0 AS median FROM l" for c in _MEASURED)}""")
+def agg_exact_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of several columns by refined histograms: no task holds a column's values."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("part", F.expr("CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey AS DOUBLE) END"))
+    found = quantiles(lines, list(_MEASURED))
+    return spark.createDataFrame(list(found.items()), "name string, median double").withColumn("median", R(F.col("median")))

@@ -172,6 +172,18 @@ def win_weighted_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(W.weighted_quantile(team_games(spark, sf_dir), "gaps", "weight", "wp80", KEYS, ORDER, 7, 0.8), "wp80")
 
 
+@query(f"""WITH {TG}, k AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY game_dt, game_id, home_away) AS rn FROM tg),
+p AS (SELECT a.game_id, a.home_away, b.gaps AS v, b.weight AS w, row_number() OVER (PARTITION BY a.game_id, a.home_away ORDER BY b.rn) AS t, count(*) OVER (PARTITION BY a.game_id, a.home_away) AS n
+  FROM k a JOIN k b ON a.team_id = b.team_id AND b.rn BETWEEN a.rn - 7 AND a.rn - 1 WHERE b.gaps IS NOT NULL AND b.weight > 0),
+q AS (SELECT *, CASE WHEN n >= 4 THEN n - 2 ELSE n // 2 END AS cut, CASE WHEN n >= 4 THEN n - 4 ELSE 0 END AS low FROM p),
+r AS (SELECT game_id, home_away, (sum(w * t * v) - sum(w * t) * sum(w * v) / sum(w)) / (sum(w * t * t) - sum(w * t) * sum(w * t) / sum(w)) AS slope,
+  sum(CASE WHEN t > cut THEN w * v END) / sum(CASE WHEN t > cut THEN w END) - sum(CASE WHEN t > low AND t <= cut THEN w * v END) / sum(CASE WHEN t > low AND t <= cut THEN w END) AS shift FROM q WHERE n >= 2 GROUP BY ALL)
+SELECT k.game_id, k.home_away, round(slope + 3e-10, 5) + 0e0 AS gaps_wslope, round(shift + 3e-10, 5) + 0e0 AS gaps_wshift FROM k LEFT JOIN r ON k.game_id = r.game_id AND k.home_away = r.home_away""")
+def win_weighted_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = W.weighted_trend(team_games(spark, sf_dir), "gaps", "weight", KEYS, ORDER, 7, 2, "gaps")
+    return df.select(*ID, R(F.col("gaps_wslope"), 5).alias("gaps_wslope"), R(F.col("gaps_wshift"), 5).alias("gaps_wshift"))
+
+
 @query(f"""WITH {TG} SELECT game_id, home_away, {', '.join(f'{_r(f"CASE WHEN count(ortg) {_over(n)} >= 3 THEN avg(ortg) {_over(n)} END")} AS m{n}, {_r(f"CASE WHEN count(ortg) {_over(n)} >= 3 THEN stddev_samp(ortg) {_over(n)} END")} AS s{n}' for n in (3, 5, 10))} FROM tg""")
 def win_multi_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several windows at once, with at least three values and the sample deviation."""
@@ -205,9 +217,11 @@ def win_time_counts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LAG = "(floor(epoch(game_dt)) - lag(floor(epoch(game_dt))) OVER (PARTITION BY team_id ORDER BY game_dt, game_id, home_away)) / 86400e0"
 
 
-@query(f"WITH {TG}, g AS (SELECT game_id, home_away, {_LAG} AS gap FROM tg) SELECT game_id, home_away, {_r('CASE WHEN gap IS NULL THEN 0 ELSE greatest(0e0, gap - 1) END')} AS days_rest, CAST(COALESCE(gap <= 1.5, false) AS BIGINT) AS back_to_back FROM g")
+@query(f"""WITH {TG}, t AS (SELECT *, CAST(floor(epoch(game_dt)) AS BIGINT) AS s FROM tg), g AS (SELECT game_id, home_away, {_LAG} AS gap FROM tg),
+c AS (SELECT a.game_id, a.home_away, count(CASE WHEN b.s >= a.s - 518400 AND (b.game_dt, b.game_id, b.home_away) < (a.game_dt, a.game_id, a.home_away) THEN 1 END) AS n FROM t a LEFT JOIN t b ON a.team_id = b.team_id AND b.s BETWEEN a.s - 518400 AND a.s GROUP BY ALL)
+SELECT game_id, home_away, {_r('CASE WHEN gap IS NULL THEN 0 ELSE greatest(0e0, gap - 1) END')} AS days_rest, CAST(COALESCE(gap <= 1.5, false) AS BIGINT) AS back_to_back, CAST(n >= 2 AS BIGINT) AS three_in_six FROM g JOIN c USING (game_id, home_away)""")
 def win_rest_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.rest(team_games(spark, sf_dir), "game_dt", KEYS, ORDER).select(*ID, R(F.col("days_rest")).alias("days_rest"), "back_to_back")
+    return W.rest(team_games(spark, sf_dir), "game_dt", KEYS, ORDER).select(*ID, R(F.col("days_rest")).alias("days_rest"), "back_to_back", "three_in_six")
 
 
 @query(f"WITH {TG} SELECT game_id, home_away, {_r('exp(-(row_number() OVER (PARTITION BY team_id ORDER BY game_dt, game_id, home_away) - 1) / 5e0)')} AS recency_weight FROM tg")

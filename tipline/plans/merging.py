@@ -11,6 +11,7 @@ from tipline.operators import quality as Q
 from tipline.plans.adapter import GAMES, ORDER, TG, games, team_games
 from tipline.plans.registry import query
 from tipline.sources import files
+from tipline.sources.manifest import Table
 from tipline.sources.scratch import new_dir
 from tipline.streaming import merge as S
 from tipline.streaming.trailing import trailing_counts
@@ -101,6 +102,17 @@ def merge_upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.upsert(old, new, ["c_custkey"]).withColumn("c_acctbal", R(F.col("c_acctbal")))
 
 
+@query(f"""WITH l AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, {_TIE}) = 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM l""")
+def merge_copy_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines merged year by year into a table of which each merge rewrites only the files that may hold its keys; the latest line of a key stays."""
+    lines = _table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    table = Table(spark, new_dir(spark, "lines"), LINE_KEYS, bucket_rows=20_000)
+    for year in sorted(r.year for r in lines.select("year").distinct().collect()):  # a few, whatever the table's size
+        table.append(lines.where(F.col("year").eqNullSafe(F.lit(year))), F.lit(0), "l_shipdate", LINE_TIE)
+    return table.read().select(*LINE_KEYS, "l_partkey", "l_quantity")
+
+
 @query("""SELECT c.c_custkey, o.o_orderkey AS asof_o_orderkey, o.o_totalprice AS asof_o_totalprice FROM (SELECT c_custkey, TIMESTAMP '1995-01-01' + INTERVAL (c_custkey % 900) DAY AS t FROM customer) c
 LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey AND o_orderdate < c.t ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) o ON true""")
 def asof_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +227,7 @@ def stream_merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's rows merged into a table, batch by batch; the latest row of each user stays."""
     at = _shared(spark)
     S.merge_stream(_stream(spark, sf_dir), f"{at}/table", f"{at}/checkpoint", ["user_id"], F.lit(1), "ts", ["event_id"]).awaitTermination()
-    return files.table(spark, f"{at}/table").select("user_id", "event_id", "value")
+    return Table(spark, f"{at}/table", ["user_id"]).read().select("user_id", "event_id", "value")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -238,15 +250,15 @@ def stream_upsert_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest values of each user; a missing value never replaces one."""
     at = _shared(spark)
     stream = _stream(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
-    S.upsert_stream(stream, f"{at}/table", f"{at}/checkpoint", ["user_id"], ["value", "event_type"], "ts").awaitTermination()
-    return files.table(spark, f"{at}/table")
+    S.upsert_stream(stream, f"{at}/table", f"{at}/checkpoint", ["user_id"], ["value", "event_type"], "ts", "event_id").awaitTermination()
+    return Table(spark, f"{at}/table", ["user_id"]).read()
 
 
 @query("SELECT user_id, arg_min(value, ts) AS opening, arg_max(value, ts) AS latest, round(arg_max(value, ts) - arg_min(value, ts) + 3e-10, 6) + 0e0 AS movement, count(*) AS n FROM events GROUP BY user_id")
 def stream_line_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _shared(spark)
     S.history_stream(_stream(spark, sf_dir), f"{at}/table", f"{at}/checkpoint", ["user_id"], "value", "ts").awaitTermination()
-    return S.movements(files.table(spark, f"{at}/table"), ["user_id"]).withColumn("movement", R(F.col("movement")))
+    return S.movements(Table(spark, f"{at}/table", ["user_id"]).read(), ["user_id"]).withColumn("movement", R(F.col("movement")))
 
 
 @query("""WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 1 DAY, ts) - to_days(CAST(k AS INTEGER)) for k in range(7)]) AS start FROM events) SELECT epoch_us(start) // 1000000 AS start, user_id, count(*) AS n FROM w GROUP BY ALL""")
