@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -122,3 +123,11 @@ def test_improve_keeps_every_piece(sizes):
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
     assert len(bins) <= len(packing.best_fit(sizes, 100))
+
+
+def test_many_equal_pieces_are_searched_quickly():
+    for sizes in ([30] * 12_000, [100] * 3000, [700] * 4000, [random.Random(k).randint(20, 40) for k in range(6000)]):
+        start = packing.best_fit(sizes, 2048)
+        began = time.time()
+        bins = packing.improve([list(b) for b in start], sizes, 2048)
+        assert len(bins) <= len(start) and time.time() - began < 20

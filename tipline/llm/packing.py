@@ -162,57 +162,86 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
 
 
 class _Open:
-    """The underfull bins of a search, with the size of each of their pieces and pairs of pieces in flat arrays, so that the best partner of a bin is
-    found among all others at once. Entries of a bin that changed meanwhile are told by its version."""
+    """The underfull bins of a search, indexed by what an exchange needs to know: the size of a piece or pair, and the fill of its bin. Bins that are alike in
+    this are one line of the index, so that its length does not depend on how many pieces there are of a size."""
 
     def __init__(self, bins: list[list[int]], sizes: list[int], length: int):
         self.bins, self.sizes, self.length = bins, sizes, length
-        self.fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
-        self.version = np.zeros(len(bins), np.int64)
-        self.bound = length
-        self._collect()
-
-    def _entries(self, b: int) -> list[tuple]:
-        """(size, first piece, second piece or -1, bin, version): nothing, each piece, and each pair of a bin."""
-        own, v, sizes = self.bins[b], int(self.version[b]), self.sizes
-        one = [(0, -1, -1, b, v), *((sizes[i], i, -1, b, v) for i in own)]
-        return one + [(sizes[i] + sizes[j], i, j, b, v) for k, i in enumerate(own) for j in own[:k]]
-
-    def _collect(self) -> None:
-        rows = [e for b in np.flatnonzero((self.fill > 0) & (self.fill < self.length)).tolist() for e in self._entries(b)]
-        self.rows = np.array(rows, np.int64).reshape(-1, 5)
-        self.waiting: list[tuple] = []
+        self.fill = [sum(sizes[i] for i in b) for b in bins]
+        self.lines: dict[tuple[int, bool, int], int] = {}  # (size, a pair?, fill) to its place in the arrays
+        self.size, self.pair, self.full, self.count = (np.zeros(64, t) for t in (np.int64, bool, np.int64, np.int64))
+        self.members: list[dict[int, None]] = []  # bins of each line, in the order they came
+        self.parts = [self._parts(b) for b in range(len(bins))]
+        for b in range(len(bins)):
+            self._enter(b)
+
+    def _parts(self, b: int) -> dict[tuple[int, bool], tuple[int, ...]]:
+        """For each size of nothing, a piece, or a pair of a bin: one choice of pieces."""
+        by_size: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            by_size.setdefault(self.sizes[i], []).append(i)
+        found: dict[tuple[int, bool], tuple[int, ...]] = {(0, False): ()} | {(s, False): (own[0],) for s, own in by_size.items()}
+        kinds = sorted(by_size)
+        for k, s in enumerate(kinds):
+            if len(by_size[s]) > 1:
+                found.setdefault((2 * s, True), tuple(by_size[s][:2]))
+            for t in kinds[:k]:
+                found.setdefault((s + t, True), (by_size[s][0], by_size[t][0]))
+        return found
+
+    def _enter(self, b: int) -> None:
+        if not 0 < self.fill[b] < self.length:
+            return
+        for size, pair in self.parts[b]:
+            key = (size, pair, self.fill[b])
+            at = self.lines.get(key)
+            if at is None:
+                at = self.lines[key] = len(self.members)
+                if at == len(self.size):
+                    self.size, self.pair, self.full, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.pair, self.full, self.count))
+                self.size[at], self.pair[at], self.full[at] = key
+                self.members.append({})
+            self.members[at][b] = None
+            self.count[at] += 1
+
+    def _leave(self, b: int) -> None:
+        if 0 < self.fill[b] < self.length:
+            for size, pair in self.parts[b]:
+                at = self.lines[size, pair, self.fill[b]]
+                del self.members[at][b]
+                self.count[at] -= 1
 
     def step(self, low: int) -> int | None:
         """Makes the move or exchange that raises the sum of squared fills most by filling another bin from this one; returns that bin."""
-        if len(self.waiting) > 256:
-            self.rows = np.concatenate([self.rows[self.rows[:, 4] == self.version[self.rows[:, 3]]], np.array(self.waiting, np.int64)])
-            self.waiting = []
-        rows = np.concatenate([self.rows, np.array(self.waiting, np.int64)]) if self.waiting else self.rows
-        size, _, second, bin_, v = rows.T
-        room, ahead = self.length - self.fill[bin_], self.fill[bin_] - self.fill[low]
-        usable = (v == self.version[bin_]) & (bin_ != low) & (ahead >= 0) & (room > 0)
+        self._leave(low)
+        used = len(self.members)
+        live = np.flatnonzero((self.count[:used] > 0) & (self.full[:used] >= self.fill[low]))
         best, found = 0, None
-        for given, i, j, *_ in self._entries(low)[1:]:
-            gain = given - size
-            good = usable & (gain > 0) & (gain <= room)
-            if j >= 0:
-                good &= second < 0  # two for one or none
-            worth = np.where(good, gain * (ahead + gain), 0)
-            k = int(worth.argmax()) if len(worth) else 0
-            if len(worth) and worth[k] > best:
-                best, found = int(worth[k]), (rows[k], (i, j), int(gain[k]))
+        if len(live):
+            size, pair, full = self.size[live], self.pair[live], self.full[live]
+            room, ahead = self.length - full, full - self.fill[low]
+            for (given, given_pair), pieces in self.parts[low].items():
+                gain = given - size
+                good = (gain > 0) & (gain <= room)
+                if given_pair:
+                    good &= ~pair  # two for one or none
+                worth = np.where(good, gain * (ahead + gain), 0)
+                k = int(worth.argmax())
+                if worth[k] > best:
+                    best, found = int(worth[k]), (int(live[k]), pieces, int(gain[k]))
         if found is None:
+            self._enter(low)
             return None
-        (_, x, y, full, _), give, gain = found
-        full, take = int(full), {int(x), int(y)}
-        for b, out, into, change in ((full, take, give, gain), (low, set(give), take, -gain)):
-            self.bins[b] = [i for i in self.bins[b] if i not in out] + [i for i in into if i >= 0]
+        line, give, gain = found
+        full_bin = next(iter(self.members[line]))
+        take = self.parts[full_bin][int(self.size[line]), bool(self.pair[line])]
+        self._leave(full_bin)
+        for b, out, into, change in ((full_bin, take, give, gain), (low, give, take, -gain)):
+            self.bins[b] = [i for i in self.bins[b] if i not in out] + list(into)
             self.fill[b] += change
-            self.version[b] += 1
-            if 0 < self.fill[b] < self.length:
-                self.waiting += self._entries(b)
-        return full
+            self.parts[b] = self._parts(b)
+            self._enter(b)
+        return full_bin
 
 
 def improve(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
