@@ -50,15 +50,20 @@ def _keys(bits: int):
     return keys
 
 
-#: Rows of two kinds. norm is null: a document, its entry (null: its key occurs once) and its rank among the entry's. Else: an entry with its best row.
-ENTRIES = "entry long, rank int, doc_id long, n_chars long, text_sha256 string, key long, norm binary, n long"
+#: Rows of two kinds. n is null: a document, its entry (null: its key occurs once) and its rank among the entry's. Else: an entry with its best row and its
+#: text, or the earlier entry of the same task that has the same text (same).
+ENTRIES = "entry long, rank int, doc_id long, n_chars long, text_sha256 string, key long, norm binary, n long, same long"
+#: Bytes of texts that a task remembers, so that a text that comes in every batch is sent to its owner once a task; texts beyond that are sent again.
+KNOWN_BYTES = 32 << 20
 
 
 def _entries(bits: int, wanted: np.ndarray):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = TaskContext.get().partitionId() << 33
         names = [c.split()[0] for c in ENTRIES.split(", ")]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        known: dict[bytes, int] = {}
+        room = KNOWN_BYTES
         for whole in batches:
             for batch in slices(whole, 1, SLICE_BYTES):
                 norms, digests, keys = _normal(batch, bits)
@@ -70,12 +75,16 @@ def _entries(bits: int, wanted: np.ndarray):
                     if again[i]:
                         equal.setdefault(norm, []).append(i)
                     else:
-                        out.append((None, 0, ids[i], chars[i], digests[i].hex(), None, None, None))
+                        out.append((None, 0, ids[i], chars[i], digests[i].hex(), None, None, None, None))
                 keys = keys.astype(np.int64).tolist()
                 for norm, rows in equal.items():
                     rows.sort(key=lambda i: (-chars[i], ids[i] is None, ids[i] or 0))
-                    out += [(entry, k, ids[i], chars[i], digests[i].hex(), None, None, None) for k, i in enumerate(rows)]
-                    out.append((entry, 0, ids[rows[0]], chars[rows[0]], None, keys[rows[0]], norm, len(rows)))
+                    out += [(entry, k, ids[i], chars[i], digests[i].hex(), None, None, None, None) for k, i in enumerate(rows)]
+                    same = known.get(norm)
+                    out.append((entry, 0, ids[rows[0]], chars[rows[0]], None, keys[rows[0]], norm if same is None else None, len(rows), same))
+                    if same is None and len(norm) <= room:
+                        known[norm] = entry
+                        room -= len(norm)
                     entry += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
@@ -108,8 +117,8 @@ def directory(entries: DataFrame, bits: int, bucket_keys: int) -> DataFrame:
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entry, keep_entry, keep_id and group_size. Entries come sorted by key; a key's chain has one link for each text that differs."""
-    key, links = None, []
+    """entry, keep_entry, keep_id and group_size. Entries come sorted by key and entry; a key's chain has one link for each text that differs."""
+    key, links, by_entry = None, [], {}
 
     def classes() -> pa.RecordBatch:
         rows = [(e, best[3], best[4], size) for _, best, size, members in links for e in members]
@@ -117,19 +126,18 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["entry", "keep_entry", "keep_id", "group_size"])
 
     for batch in batches:
-        for k, entry, doc_id, n_chars, norm, n in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+        for k, entry, doc_id, n_chars, norm, n, same in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
             if k != key:
                 if links:
                     yield classes()
-                key, links = k, []
+                key, links, by_entry = k, [], {}
             best = (-n_chars, doc_id is None, doc_id or 0, entry, doc_id)
-            for link in links:
-                if link[0] == norm:
-                    link[1], link[2] = min(link[1], best), link[2] + n
-                    link[3].append(entry)
-                    break
-            else:
-                links.append([norm, best, n, [entry]])
+            link = by_entry[same] if norm is None else next((x for x in links if x[0] == norm), None)
+            if link is None:
+                links.append(link := [norm, best, 0, []])
+            link[1], link[2] = min(link[1], best), link[2] + n
+            link[3].append(entry)
+            by_entry[entry] = link
     if links:
         yield classes()
 
@@ -140,16 +148,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = source.mapInArrow(_keys(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     wanted = bitmap(again.select(F.shiftleft("key", 64 - bits).alias("key")), "key")
     rows = staged(source.mapInArrow(_entries(bits, wanted), ENTRIES))
-    entries = rows.where("norm IS NOT NULL").select("key", "entry", "doc_id", "n_chars", "norm", "n")
+    entries = rows.where("n IS NOT NULL").select("key", "entry", "doc_id", "n_chars", "norm", "n", "same")
     index = staged(directory(entries, bits, bucket_keys).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"))
     owned = index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "entry")
-    classes = owned.select("key", "entry", "doc_id", "n_chars", "norm", "n").mapInArrow(_chained, "entry long, keep_entry long, keep_id long, group_size long")
-    own = F.col("entry").isNull()
-    joined = rows.where("norm IS NULL").select("entry", "rank", "doc_id", "text_sha256").join(classes, "entry", "left")
-    return joined.select(
-        "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.when(own, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"),
-        (own | ((F.col("entry") == F.col("keep_entry")) & (F.col("rank") == 0))).alias("kept"),
-        "text_sha256",
-    )
+    classes = owned.select("key", "entry", "doc_id", "n_chars", "norm", "n", "same").mapInArrow(_chained, "entry long, keep_entry long, keep_id long, group_size long")
+    documents = rows.where("n IS NULL").select("entry", "rank", "doc_id", "text_sha256")
+    kept = (F.col("entry") == F.col("keep_entry")) & (F.col("rank") == 0)
+    joined = documents.where("entry IS NOT NULL").join(classes, "entry").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    # Documents whose key occurs once need no owner, and take no part in the join.
+    alone = documents.where("entry IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return joined.unionByName(alone)
