@@ -1,8 +1,10 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
+import pytest
 
 from tipline.llm import html_extraction as hx
 from tipline.llm.labelled_pages import labelled_pages
@@ -87,3 +89,24 @@ def test_layouts_without_an_article_element():
             found += len(b.text) * got
             main += len(b.text) * want
     assert main > 100_000 and right > 0.95 * main and right > 0.94 * found
+
+
+def test_unclosed_unseen_elements_hide_nothing():
+    texts = lambda page: [b.text for b in hx.blocks(page)]
+    assert texts("<article><p>A</p><svg><p>B</p></article><footer><svg>x</svg>foot</footer>") == ["A", "B", "foot"]
+    assert texts("<p>A<svg>b<svg>c</svg>d</p><p>E</p>") == ["Abd", "E"]
+    assert texts("<p>A<svg><g><svg>x</svg></g>y</svg>B</p>") == ["AB"]
+    assert texts("<iframe><p>old browser</p></iframe><p>A</p><iframe><p>B</p>") == ["A", "B"]
+    assert texts("<template><div>t</div><template>u</template>v</template><p>A</p>") == ["A"]
+    assert texts("<title>Of <script> and <b>x</title><p>A</p>") == ["A"]
+    assert texts("<title>open<p>A</p><svg><title>x</title></svg>B") == ["open", "A", "B"]
+    assert texts("<svg viewBox='0'/><p>A</p><!-- <svg> --><p>B</p></svg>") == ["A", "B"]
+    assert texts("<svg><style>.a{}</style><text>x</text></svg>A") == ["A"]
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<svg>x", "<title>", "<title>x<p>", "<template>", "<iframe><p>y", "<div>z", "<b>", "<a '>", '<a ">', "<!--", "<script", "<", "</svg>", "<li>x<b>", "<td>"])
+def test_time_grows_with_the_length(piece):
+    page = piece * (100_000 // len(piece)) + "</svg>"
+    began = time.time()
+    hx.blocks(page)
+    assert time.time() - began < 3

@@ -6,8 +6,9 @@ and label and for each pair of neighbouring labels (apart for neighbours under o
 on labelled pages, on the driver, over a bounded set drawn from a seed, and decoded by Viterbi in Spark tasks, page by page.
 
 Defined results: null html is empty; a page without blocks, or none of them main, gives an empty text; white space is what
-str.split() splits at; a closed-at-once or unclosed svg, iframe, title or template hides nothing after it; a tag whose quotes do not
-balance ends at its first ">"; repeated rows give equal results; other columns are ignored.
+str.split() splits at; a closed-at-once or unclosed svg, iframe, title or template hides nothing after it, and a block element ends an
+open svg or title; a tag whose quotes do not balance ends at its first ">"; elements deeper than DEEPEST are read as if at that depth;
+repeated rows give equal results; other columns are ignored. Time grows with a page's length, broken pages included.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tipline.llm.labelled_pages import labelled_pages
 #: Labelled pages to train on, their seed, passes, step and penalty.
 PAGES, SEED, PASSES, STEP, PENALTY = 700, 11, 14, 0.25, 1e-4
 SLICE_BYTES = 4 << 20
+#: Open elements that a page can have at once.
+DEEPEST = 256
 
 # Elements whose content is never text of the page (code runs on to the page's end if it isn't closed, the others don't), elements
 # within a line, and elements without content.
@@ -37,11 +40,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BOXES = frozenset("ul ol dl table tbody thead tfoot div section article aside main nav header footer form body td".split())
 
-#: Comments; unseen elements with their content; tags, with quoted values where the quotes are balanced, else up to the first ">"; declarations.
+BLOCK = "p|div|article|section|main|header|footer|nav|aside|body|form|ul|ol|dl|table|blockquote|pre|h[1-6]"
+
+#: Comments and code with content; tags, with quoted values where the quotes are balanced, else up to the first ">"; declarations.
 _VALUES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({CODE})\b[^>]*>.*?(?:</\1\s*>|\Z)|<({UNSEEN})\b{_VALUES}(?<!/)>.*?</\2\s*>|<(/?)([a-zA-Z][^\s/>]*)({_VALUES})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I
-)
+_SKIPPED = rf"<!--.*?(?:-->|\Z)|<({CODE})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+_TOKEN = re.compile(rf"{_SKIPPED}|<(/?)([a-zA-Z][^\s/>]*)({_VALUES})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+#: A title as far as it is text without blocks; else what opens and closes unseen elements, and the blocks that end some of them.
+_UNSEEN = re.compile(rf"<title\b[^>]*>(?:[^<]|<(?!/?title\b|/?(?:{BLOCK})\b)){{0,2000}}?</title\s*>|{_SKIPPED}|<(/?)({UNSEEN}|{BLOCK})\b({_VALUES})>", re.S | re.I)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -61,10 +67,41 @@ def _attribute_words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+def unseen(page: str) -> dict[int, int]:
+    """Where unseen elements begin and, after their closing tags, end. An element without a closing tag of its own is none of them."""
+    names, found = frozenset(UNSEEN.split("|")), {}
+    open_: dict[str, list[int]] = {n: [] for n in names}
+    for m in _UNSEEN.finditer(page):
+        if not m[3]:
+            if m[0][:6].lower() == "<title":
+                found[m.start()] = m.end()
+            continue
+        tag = m[3].lower()
+        if tag not in names:
+            if not m[2]:
+                open_["svg"].clear()
+                open_["title"].clear()
+        elif m[2]:
+            if open_[tag]:
+                found[open_[tag].pop()] = m.end()
+        elif not m[4].endswith("/"):
+            open_[tag].append(m.start())
+    return found
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """The page's tokens outside of unseen elements."""
+    hidden, at = unseen(page) if "<" in page else {}, 0
+    while m := _TOKEN.search(page, at):
+        at = hidden.get(m.start(), m.end())
+        yield m, at
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: their text with single spaces, characters of it in links, and (tag, attribute words) of their ancestors."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int]] = []
+    unclosed = frozenset(UNSEEN.split("|"))
     parts: list[str] = []
     linked, links, serial, at = 0, 0, 0, 0
 
@@ -76,17 +113,19 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    for m, end in _tokens(page):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if links:
                 linked += len(text)
-        at = m.end()
-        closing, name, attrs = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
-        if not name:
+        at = end
+        closing, name, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        if not name or end > m.end():
             continue
         tag = name.lower()
+        if tag in unclosed:
+            continue
         if tag not in INLINE:
             flush()
         elif tag == "br":
@@ -109,14 +148,14 @@ def blocks(page: str) -> list[Block]:
             links = 0
             while stack and stack[-1][0] in INLINE:
                 stack.pop()
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
+        for k in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
+            if stack[k][0] in CLOSES[tag]:
                 del stack[k:]
                 break
-            if stack[k][0] in BOXES and stack[k][0] not in CLOSES.get(tag, ()):
+            if stack[k][0] in BOXES:
                 break
         serial += 1
-        if tag != "a":
+        if tag != "a" and len(stack) < DEEPEST:
             stack.append((tag, _attribute_words(attrs), serial))
     if at < len(page):
         parts.append(page[at:])
