@@ -113,13 +113,13 @@ def test_curves_of_decay():
 
 def test_an_underdog_without_figures(spark):
     df = spark.createDataFrame([(7.0, "NCAA_R64")], "spread double, round string").withColumns({c: F.lit(None).cast("double") for c in _inputs()})
-    r = df.select(*[c.alias(n) for n, c in U.upset(F.col("spread"), F.col("round")).items()]).first()
+    r = df.select(*[c.alias(n) for n, c in U.upset(df, F.col("spread"), F.col("round")).items()]).first()
     # Only the rebounding part has a value: 0.05 / 0.15, weighted 0.9 of 9.9 in all.
     score = 0.9 / 3 / 9.9
-    assert math.isclose(r.dog_dna_score, score) and math.isclose(r.upset_probability, (0.15 + 0.105) * (0.75 + score)) and r.upset_label == "LONGSHOT_DOG" and r.upset_drivers == "" and not r.capped
+    assert math.isclose(r.dog_dna_score, score) and math.isclose(r.upset_probability, (0.15 + 0.105) * (0.75 + score)) and r.upset_archetype_label == "LONGSHOT_DOG" and r.key_upset_drivers == [] and not r.upset_probability_cap_triggered
 
 
 def _inputs():
-    dog = "off_eff_rank def_eff_rank pace_rank ft_rate three_pt_def_rank off_reb_rate steal_rate_rank forced_to_rate_rank tested_players long_range_shooters coach_dog_ats_score seed rated_seed auto_bid"
+    dog = "off_eff_rank def_eff_rank pace_rank ft_rate three_pt_def_rank off_reb_rate steal_rate_rank forced_to_rate_rank players_10plus_tourney_minutes_positive_pm high_volume_38pct_3pt_shooters coach_dog_ats_score seed kenpom_equivalent_seed auto_bid"
     fav = "pace_rank opp_ft_rate_allowed three_pt_off_rank def_reb_rate seed power_program_flag"
     return [f"dog_{n}" for n in dog.split()] + [f"fav_{n}" for n in fav.split()]

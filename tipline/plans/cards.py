@@ -18,9 +18,9 @@ _SIDES = {
     "dog_off_eff_rank": "CAST(game_id * 7 % 340 AS DOUBLE)", "dog_def_eff_rank": "CAST(game_id * 13 % 300 AS DOUBLE)", "fav_pace_rank": "CAST(game_id * 11 % 350 AS DOUBLE)",
     "dog_pace_rank": "CASE WHEN game_id % 5 = 0 THEN NULL ELSE CAST(game_id * 3 % 350 AS DOUBLE) END", "dog_ft_rate": "game_id % 40 / 100e0", "fav_opp_ft_rate_allowed": "game_id % 25 / 100e0",
     "dog_three_pt_def_rank": "CAST(game_id % 60 AS DOUBLE)", "fav_three_pt_off_rank": "CAST(game_id % 45 AS DOUBLE)", "dog_off_reb_rate": "game_id % 37 / 100e0", "fav_def_reb_rate": "game_id % 31 / 100e0",
-    "dog_steal_rate_rank": "CAST(game_id % 90 AS DOUBLE)", "dog_forced_to_rate_rank": "CAST(game_id % 77 AS DOUBLE)", "dog_tested_players": "CAST(game_id % 6 AS DOUBLE)", "dog_long_range_shooters": "CAST(game_id % 4 AS DOUBLE)",
-    "dog_coach_dog_ats_score": "game_id % 83 / 100e0", "dog_seed": "CAST(9 + game_id % 8 AS DOUBLE)", "dog_rated_seed": "CAST(6 + game_id % 9 AS DOUBLE)", "fav_seed": "CAST(1 + game_id % 7 AS DOUBLE)",
-    "dog_auto_bid": "CAST(game_id % 2 AS DOUBLE)", "fav_power_program_flag": "CAST(game_id % 3 % 2 AS DOUBLE)", "fav_point_diff_rank": "CAST(game_id * 5 % 200 AS DOUBLE)", "fav_rated_eff_rank": "CAST(game_id * 3 % 120 AS DOUBLE)",
+    "dog_steal_rate_rank": "CAST(game_id % 90 AS DOUBLE)", "dog_forced_to_rate_rank": "CAST(game_id % 77 AS DOUBLE)", "dog_players_10plus_tourney_minutes_positive_pm": "CAST(game_id % 6 AS DOUBLE)", "dog_high_volume_38pct_3pt_shooters": "CAST(game_id % 4 AS DOUBLE)",
+    "dog_coach_dog_ats_score": "game_id % 83 / 100e0", "dog_seed": "CAST(9 + game_id % 8 AS DOUBLE)", "dog_kenpom_equivalent_seed": "CAST(6 + game_id % 9 AS DOUBLE)", "fav_seed": "CAST(1 + game_id % 7 AS DOUBLE)",
+    "dog_auto_bid": "CAST(game_id % 2 AS DOUBLE)", "fav_power_program_flag": "CAST(game_id % 3 % 2 AS DOUBLE)", "fav_point_diff_rank": "CAST(game_id * 5 % 200 AS DOUBLE)", "fav_kenpom_eff_rank": "CAST(game_id * 3 % 120 AS DOUBLE)",
     "fav_turnover_rate_rank": "CAST(game_id % 220 AS DOUBLE)", "fav_three_pt_def_rank": "CAST(game_id % 170 AS DOUBLE)", "dog_three_pt_attempt_rate": "game_id % 53 / 100e0", "fav_minutes_share_top6": "0.8e0 + game_id % 20 / 100e0",
     "fav_second_half_net_rating": "CAST(game_id % 23 AS DOUBLE)", "fav_first_half_net_rating": "CAST(game_id % 7 AS DOUBLE)", "fav_road_eff": "1e0 + game_id % 30 / 100e0", "fav_neutral_eff": "1e0 + game_id % 11 / 100e0",
     "fav_last8_actual_wins": "CAST(game_id % 9 AS DOUBLE)", "fav_last8_pythag_wins": "CAST(game_id % 5 AS DOUBLE)", "fav_two_pt_pct_rank": "CAST(game_id % 50 AS DOUBLE)", "dog_zone_rate": "game_id % 47 / 100e0",
@@ -29,13 +29,13 @@ _SIDES = {
 }
 _TEAM = {
     "adj_def_rank": "CASE WHEN game_id % 6 = 0 THEN NULL ELSE CAST(game_id % 40 AS DOUBLE) END", "players_with_tourney_game": "CAST(game_id % 8 AS DOUBLE)", "ft_pct": "0.6e0 + game_id % 25 / 100e0", "ft_rate_rank": "CAST(game_id % 90 AS DOUBLE)",
-    "three_pa_rate": "0.2e0 + game_id % 31 / 100e0", "two_pt_pct": "0.4e0 + game_id % 19 / 100e0", "guard_scoring_assist_share": "game_id % 101 / 100e0", "sos_rank": "CAST(game_id % 61 AS DOUBLE)", "road_games_vs_top50": "CAST(game_id % 14 AS DOUBLE)",
+    "three_pa_rate": "0.2e0 + game_id % 31 / 100e0", "three_pt_possession_rate": "CASE WHEN game_id % 4 <> 0 THEN 0.15e0 + game_id % 43 / 100e0 END", "two_pt_pct": "0.4e0 + game_id % 19 / 100e0", "guard_scoring_assist_share": "game_id % 101 / 100e0", "sos_rank": "CAST(game_id % 61 AS DOUBLE)", "road_games_vs_top50": "CAST(game_id % 14 AS DOUBLE)",
     "win_streak_entering": "CAST(game_id % 13 AS DOUBLE)", "center_minutes_in_foul_trouble": "CAST(game_id % 37 AS DOUBLE)", "seed_inflation_score": "CAST(game_id % 11 AS DOUBLE)", "first_year_transfers": "CAST(game_id % 9 AS DOUBLE)",
     "tempo_rank": "CAST(game_id * 3 % 364 AS DOUBLE)", "faced_top40_pace_games": "CAST(game_id % 3 AS DOUBLE)", "coach_tourney_appearances": "CAST(game_id % 7 AS DOUBLE)", "conference_tournament_games": "CAST(game_id % 6 AS DOUBLE)",
 }
 _SITUATION = {
     "game_is_nit": "CAST(game_id % 3 % 2 AS DOUBLE)", "team_program_tier": "CASE game_id % 4 WHEN 0 THEN 'Power' WHEN 1 THEN NULL ELSE 'mid' END", "team_auto_bid": "CAST(game_id % 2 AS DOUBLE)", "team_conference_tourney_margin": "CAST(game_id % 30 - 12 AS DOUBLE)",
-    "team_projected_in_days": "CAST(game_id % 90 AS DOUBLE)", "game_crowd_support_pct": "game_id % 101 / 100e0", "team_travel_miles": "CAST(game_id * 17 % 2900 AS DOUBLE)", "team_timezone_changes": "CAST(game_id % 4 AS DOUBLE)",
+    "team_projected_in_ncaa_days": "CAST(game_id % 90 AS DOUBLE)", "game_crowd_support_pct": "game_id % 101 / 100e0", "team_travel_miles": "CAST(game_id * 17 % 2900 AS DOUBLE)", "team_timezone_changes": "CAST(game_id % 4 AS DOUBLE)",
     "game_site_altitude_ft": "CAST(game_id * 31 % 7000 AS DOUBLE)", "team_campus_altitude_ft": "CAST(game_id * 7 % 4000 AS DOUBLE)", "team_games_in_72h": "CAST(1 + game_id % 4 AS DOUBLE)", "team_avg_tipoff_local_hour": "CAST(12 + game_id % 10 AS DOUBLE)",
     "game_tipoff_local_hour": "CAST(11 + game_id % 12 AS DOUBLE)", "team_physicality_index": "game_id % 100 / 100e0", "game_crew_whistle_rate": "game_id * 3 % 100 / 100e0", "team_media_obligations_per_day": "CAST(game_id % 21 AS DOUBLE)",
     "game_is_first_four_followup": "CAST(game_id % 5 % 2 AS DOUBLE)", "team_hours_since_first_four": "CAST(game_id % 72 AS DOUBLE)", "game_campus_site_flag": "CAST(game_id % 7 % 2 AS DOUBLE)", "game_campus_site_home_edge": "game_id % 40 / 10e0",
@@ -52,8 +52,11 @@ def _made(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFram
 
 
 def _finished(df: DataFrame, card: dict) -> DataFrame:
+    """The card's columns; names in an array are joined for comparison."""
     df = df.withColumns(card)
-    return df.select("game_id", *[R(F.col(c)).alias(c) if dict(df.dtypes)[c] == "double" else c for c in card])
+    kinds = dict(df.dtypes)
+    shown = {"double": lambda c: R(F.col(c)), "array<string>": lambda c: F.array_join(c, "|")}
+    return df.select("game_id", *[shown.get(kinds[c], F.col)(c).alias(c) for c in card])
 
 
 def _r(sql: str) -> str:
@@ -74,8 +77,8 @@ def _tags(tests: dict[str, str]) -> str:
 
 _DOG = [
     _s("(dog_off_eff_rank - dog_def_eff_rank - 30) / 80"), _s("(fav_pace_rank - coalesce(dog_pace_rank, 175) - 30) / 140"), _s("(dog_ft_rate - fav_opp_ft_rate_allowed) / 0.15e0"), _b("dog_three_pt_def_rank <= 30 AND fav_three_pt_off_rank <= 30"),
-    _s("(dog_off_reb_rate - fav_def_reb_rate + 0.05e0) / 0.15e0"), _b("dog_steal_rate_rank <= 40 AND dog_forced_to_rate_rank <= 40"), _b("dog_tested_players >= 3"), _b("dog_long_range_shooters >= 2"), _s("(dog_coach_dog_ats_score - 0.5e0) / 0.25e0"),
-    _s("(dog_seed - dog_rated_seed - 1) / 10"),
+    _s("(dog_off_reb_rate - fav_def_reb_rate + 0.05e0) / 0.15e0"), _b("dog_steal_rate_rank <= 40 AND dog_forced_to_rate_rank <= 40"), _b("dog_players_10plus_tourney_minutes_positive_pm >= 3"), _b("dog_high_volume_38pct_3pt_shooters >= 2"), _s("(dog_coach_dog_ats_score - 0.5e0) / 0.25e0"),
+    _s("(dog_seed - dog_kenpom_equivalent_seed - 1) / 10"),
 ]
 
 
@@ -83,14 +86,15 @@ _DOG = [
 s AS (SELECT *, (1.1e0 * p0 + 1.35e0 * p1 + 1.15e0 * p2 + 0.8e0 * p3 + 0.9e0 * p4 + p5 + 0.85e0 * p6 + 0.75e0 * p7 + 0.8e0 * p8 + 1.2e0 * p9) / 9.9e0 AS score, 0.15e0 + least(abs(spread), 14) * 0.015e0 AS base,
   CASE round WHEN 'NCAA_R32' THEN 0.94e0 WHEN 'CONF_QF' THEN 1.03e0 WHEN 'NIT_R1' THEN 1.04e0 ELSE 1e0 END AS adj, dog_auto_bid = 1 AND fav_power_program_flag = 1 AND dog_seed >= 13 AND fav_seed <= 4 AND dog_seed - fav_seed >= 12 AS capped FROM p),
 c AS (SELECT *, CASE WHEN capped THEN least({_s('base * (0.75e0 + score) * adj')}, 0.3e0) ELSE {_s('base * (0.75e0 + score) * adj')} END AS chance FROM s)
-SELECT game_id, {_r('score')} AS dog_dna_score, {_r('chance')} AS upset_probability, CASE WHEN chance >= 0.5 THEN 'LIVE_DOG' WHEN chance >= 0.38 THEN 'VOLATILE_DOG' ELSE 'LONGSHOT_DOG' END AS upset_label,
-{_tags({n: f'p{k} >= 0.6' for k, n in enumerate(U.DOG_WEIGHTS)})} AS upset_drivers, {_r('(chance - base) * abs(spread)')} AS market_edge, capped FROM c""")
+SELECT game_id, {_r('score')} AS dog_dna_score, {_r('chance')} AS upset_probability, CASE WHEN chance >= 0.5 THEN 'LIVE_DOG' WHEN chance >= 0.38 THEN 'VOLATILE_DOG' ELSE 'LONGSHOT_DOG' END AS upset_archetype_label,
+{_tags({n: f'p{k} >= 0.6' for k, n in enumerate(p.name for p in U.UNDERDOG)})} AS key_upset_drivers, {_r('(chance - base) * abs(spread)')} AS market_edge_vs_spread, capped AS upset_probability_cap_triggered FROM c""")
 def rules_upset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(_made(spark, sf_dir, _SIDES), U.upset(F.col("spread"), F.col("round")))
+    df = _made(spark, sf_dir, _SIDES)
+    return _finished(df, U.upset(df, F.col("spread"), F.col("round")))
 
 
 _FRAGILE = {
-    "EFFICIENCY_CLIFF": _s("(fav_point_diff_rank - fav_rated_eff_rank - 30) / 90"), "TURNOVER_TIMEBOMB": _b("fav_turnover_rate_rank > 100 AND dog_forced_to_rate_rank <= 40"), "PERIMETER_EXPOSURE": _b("fav_three_pt_def_rank > 80 AND dog_three_pt_attempt_rate >= 0.4e0"),
+    "EFFICIENCY_CLIFF": _s("(fav_point_diff_rank - fav_kenpom_eff_rank - 30) / 90"), "TURNOVER_TIMEBOMB": _b("fav_turnover_rate_rank > 100 AND dog_forced_to_rate_rank <= 40"), "PERIMETER_EXPOSURE": _b("fav_three_pt_def_rank > 80 AND dog_three_pt_attempt_rate >= 0.4e0"),
     "DEPTH_ILLUSION": _s("(fav_minutes_share_top6 - 0.85e0) / 0.1e0"), "SLOW_START_TENDENCY": _s("(fav_second_half_net_rating - fav_first_half_net_rating - 5) / 12"), "ROAD_WARRIOR_FALSE": _s("(fav_road_eff - fav_neutral_eff - 0.05e0) / 0.2e0"),
     "RECENCY_TRAP": _s("(fav_last8_actual_wins - fav_last8_pythag_wins - 1) / 5"), "INTERIOR_DOMINANCE_FALLACY": _b("fav_two_pt_pct_rank <= 20 AND dog_zone_rate >= 0.25e0"),
 }
@@ -98,10 +102,11 @@ _FRAGILE = {
 
 @query(f"""WITH {GAMES}, {_inputs(_SIDES)}, p AS (SELECT *, {', '.join(f'{v} AS p{k}' for k, v in enumerate(_FRAGILE.values()))}, {_b('fav_games_last_9_days >= 5 AND dog_games_last_9_days <= 3')} AS tired, {_b('fav_lost_conf_tourney_final = 1')} AS lost FROM i),
 x AS (SELECT *, (p0 + p1 + p2 + p3 + p4 + p5 + p6 + p7) / 8 AS idx FROM p), e AS (SELECT *, {_s('0.08e0 + idx * 0.55e0 + tired * 0.08e0 + lost * 0.04e0')} AS one, {_s('0.14e0 + idx * 0.45e0 + tired * 0.05e0')} AS two FROM x)
-SELECT game_id, {_r('idx')} AS fragility_index, {_r('greatest(one, two)')} AS early_exit, {_r('one')} AS first_round_exit, {_r('two')} AS second_round_exit, {_tags({n: f'p{k} >= 0.55' for k, n in enumerate(_FRAGILE)})} AS fragility_drivers,
-{_r("CASE WHEN lower(trim(fav_team)) IN ('duke', 'kentucky', 'kansas', 'north carolina', 'gonzaga') THEN 1.25e0 ELSE 0e0 END")} AS brand_tax, CASE WHEN idx >= 0.55 THEN 'fade' WHEN idx >= 0.35 THEN 'monitor' ELSE 'avoid' END AS action FROM e""")
+SELECT game_id, {_r('idx')} AS fragility_index, {_r('greatest(one, two)')} AS early_exit_probability, {_r('one')} AS first_round_exit_probability, {_r('two')} AS second_round_exit_probability, {_tags({n: f'p{k} >= 0.55' for k, n in enumerate(_FRAGILE)})} AS fragility_drivers,
+{_r("CASE WHEN lower(trim(fav_team)) IN ('duke', 'kentucky', 'kansas', 'north carolina', 'gonzaga') THEN 1.25e0 ELSE 0e0 END")} AS brand_tax_points, CASE WHEN idx >= 0.55 THEN 'fade' WHEN idx >= 0.35 THEN 'monitor' ELSE 'avoid' END AS recommended_action FROM e""")
 def rules_fragility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(_made(spark, sf_dir, _SIDES), U.fragility())
+    df = _made(spark, sf_dir, _SIDES)
+    return _finished(df, U.fragility(df))
 
 
 _WINS = {
@@ -111,15 +116,26 @@ _WINS = {
     "HOT_HAND_ENTRY": ("win_streak_entering >= 7", "win_streak_entering / 12"),
 }
 _FAILS = {
-    "THREE_POINT_DEPENDENT": ("three_pa_rate >= 0.4e0", "three_pa_rate"), "ONE_BIG_DEPENDENT": ("center_minutes_in_foul_trouble < 25", "(25 - center_minutes_in_foul_trouble) / 25"), "SOFT_SCHEDULE_FRAUD": ("seed_inflation_score > 3", "greatest(0e0, seed_inflation_score - 3) / 6"),
+    "THREE_POINT_DEPENDENT": ("coalesce(three_pt_possession_rate, three_pa_rate) >= 0.4e0", "coalesce(three_pt_possession_rate, three_pa_rate)"), "ONE_BIG_DEPENDENT": ("center_minutes_in_foul_trouble < 25", "(25 - center_minutes_in_foul_trouble) / 25"), "SOFT_SCHEDULE_FRAUD": ("seed_inflation_score > 3", "greatest(0e0, seed_inflation_score - 3) / 6"),
     "TRANSFER_PORTAL_CHAOS": ("first_year_transfers >= 4", "first_year_transfers / 8"), "STYLE_MISMATCH_VULNERABLE": ("tempo_rank > 250 AND faced_top40_pace_games = 0", "(tempo_rank - 250) / 113"), "COACH_FIRST_RODEO": ("coach_tourney_appearances <= 2", "(3 - coach_tourney_appearances) / 3"),
     "CONFERENCE_TOURNEY_EXHAUSTED": ("conference_tournament_games >= 4", "conference_tournament_games / 6"),
 }
 
 
-@query(f"""WITH {GAMES}, {_inputs(_TEAM)} SELECT game_id, {', '.join(f'''{_tags({n: t for n, (t, _) in g.items()})} AS {k}_archetypes, {_r(' + '.join(f'CASE WHEN {t} THEN {_s(v)} ELSE 0e0 END' for t, v in g.values()))} AS {k}_confidence''' for k, g in (('winning', _WINS), ('failing', _FAILS)))} FROM i""")
+def _each(group: dict[str, tuple[str, str]]) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {t} THEN '{n}:' || CAST(floor({_s(v)} * 1000 + 1e-6) AS BIGINT) END" for n, (t, v) in group.items()) + ")"
+
+
+@query(f"WITH {GAMES}, {_inputs(_TEAM)} SELECT game_id, {_each(_WINS)} AS winning, {_each(_FAILS)} AS failing FROM i")
 def rules_archetype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(_made(spark, sf_dir, _TEAM), U.archetypes())
+    """The archetypes that a team shows, each with its confidence in thousandths."""
+    df = _made(spark, sf_dir, _TEAM)
+    df = df.withColumns(U.archetypes(df))
+
+    def shown(c: str):
+        return F.array_join(F.transform(F.filter(c, lambda x: x["label"]), lambda x: F.concat(x["name"], F.lit(":"), F.floor(x["confidence"] * 1000 + 1e-6).cast("string"))), "|")
+
+    return df.select("game_id", shown("winning_archetypes").alias("winning"), shown("failure_archetypes").alias("failing"))
 
 
 _WEAR = {
@@ -129,13 +145,14 @@ _WEAR = {
 }
 
 
-@query(f"""WITH {GAMES}, {_inputs(_SITUATION)}, p AS (SELECT *, {', '.join(f'{v} AS w{k}' for k, (v, _) in enumerate(_WEAR.values()))}, CASE WHEN game_is_nit = 1 THEN {_s(_s('(team_projected_in_days - 20) / 35') + " * CASE WHEN lower(team_program_tier) IN ('blue_blood', 'power') THEN 1.2e0 ELSE 0.8e0 END")} ELSE 0e0 END AS down,
+@query(f"""WITH {GAMES}, {_inputs(_SITUATION)}, p AS (SELECT *, {', '.join(f'{v} AS w{k}' for k, (v, _) in enumerate(_WEAR.values()))}, CASE WHEN game_is_nit = 1 THEN {_s(_s('(team_projected_in_ncaa_days - 20) / 35') + " * CASE WHEN lower(team_program_tier) IN ('blue_blood', 'power') THEN 1.2e0 ELSE 0.8e0 END")} ELSE 0e0 END AS down,
   least(greatest((game_crowd_support_pct - 0.5e0) / 0.2e0, -1), 1) AS crowd, CASE WHEN team_auto_bid = 1 THEN {_s('(team_conference_tourney_margin + 8) / 16')} ELSE 0e0 END AS relief FROM i),
 q AS (SELECT *, ({_b('team_selection_criticized_flag = 1')} + {_b('team_seniors_rotation_count >= 3')} + relief + {_b('game_rematch_controversial_flag = 1 AND team_lost_prior_meeting_flag = 1')} + greatest(crowd, 0)) / 5 AS lift, (down + {' + '.join(f'w{k}' for k in range(8))} + greatest(-crowd, 0)) / 10 AS drag FROM p)
-SELECT game_id, {_r('least(greatest(lift - drag, -1), 1)')} AS situational_score, {_r('least(greatest(lift - drag, -1), 1) * 2.5e0')} AS situational_points, CASE WHEN lift >= 0.6 THEN 'HIGH_DOG' WHEN down > 0.55 THEN 'LOW_MOTIVATION' ELSE 'NEUTRAL' END AS motivation,
-{_r(_s('1 - (w0 + w1 + w2 + w3) / 4'))} AS physical_state, {_tags({n: f'w{k} > {x}' for k, (n, (_, x)) in enumerate(_WEAR.items())})} AS risk_flags FROM q""")
+SELECT game_id, {_r('least(greatest(lift - drag, -1), 1)')} AS situational_edge_score, round(least(greatest(lift - drag, -1), 1) * 2.5e0, 2) + 0e0 AS situational_adjustment_points, CASE WHEN lift >= 0.6 THEN 'HIGH_DOG' WHEN down > 0.55 THEN 'LOW_MOTIVATION' ELSE 'NEUTRAL' END AS motivation_flag,
+{_r(_s('1 - (w0 + w1 + w2 + w3) / 4'))} AS physical_state_rating, {_tags({n: f'w{k} > {x}' for k, (n, (_, x)) in enumerate(_WEAR.items())})} AS contextual_risk_flags FROM q""")
 def rules_situational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(_made(spark, sf_dir, _SITUATION), U.situational())
+    df = _made(spark, sf_dir, _SITUATION)
+    return _finished(df, U.situational(df))
 
 
 @query(f"""WITH {GAMES}, k AS (SELECT game_id, pred / 20 AS composite, game_id % 9 / 10e0 AS shop, CASE WHEN odds > 0 THEN odds / 100 ELSE -100 / odds END AS b, conf AS p FROM games WHERE odds IS NOT NULL),
