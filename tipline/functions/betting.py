@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipline.functions.columns import clip, safe_div
@@ -13,6 +13,22 @@ def implied(odds: Column) -> Column:
     return F.when(odds > 0, 100 / (odds + 100.0)).when(odds < 0, -odds / (-odds + 100.0))
 
 
+def implied_or(odds: Column, otherwise: str) -> Column:
+    """implied(), with 0 for a missing or impossible price (otherwise="zero"), null ("null"), or an error ("raise")."""
+    p = implied(odds)
+    if otherwise == "raise":
+        return F.coalesce(p, F.raise_error(F.concat(F.lit("no American odds: "), F.coalesce(odds.cast("string"), F.lit("null")))).cast("double"))
+    if otherwise not in ("zero", "null"):
+        raise ValueError(otherwise)
+    return F.coalesce(p, F.lit(0.0)) if otherwise == "zero" else p
+
+
+def sharpe(df: DataFrame, profit: str) -> DataFrame:
+    """One row: mean profit of a bet over its deviation (population), times the root of the number of bets; 0 without spread."""
+    n, mean, spread = F.count(profit), F.avg(profit), F.stddev_pop(profit)
+    return df.agg(F.when(spread > 0, mean / spread * F.sqrt(n)).otherwise(0.0).alias("sharpe"), n.alias("n"))
+
+
 def american(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), None).when(p >= 0.5, -100 * p / (1 - p)).otherwise(100 * (1 - p) / p)
 

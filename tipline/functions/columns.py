@@ -50,6 +50,17 @@ def truthy(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "1.0"), F.lit(False))
 
 
+def flag(df: DataFrame, name: str) -> Column:
+    """A flag column as true or false; true where the table has no such column."""
+    return truthy(F.col(name)) if name in df.columns else F.lit(True)
+
+
+def beside(df: DataFrame, nested: str, prefix: str = "") -> DataFrame:
+    """The fields of a struct beside the table's columns; fields whose names are taken are left out, as the table's own columns come first."""
+    fields = [f.name for f in df.schema[nested].dataType if prefix + f.name not in df.columns]
+    return df.select(*[c for c in df.columns if c != nested], *[F.col(nested)[f].alias(prefix + f) for f in fields])
+
+
 def int_in_range(c: Column, most: int) -> Column:
     """The integer part of a plain non-negative number up to most."""
     x = F.when(c.rlike(r"^\d+(\.\d+)?$"), F.floor(c.try_cast("double")))

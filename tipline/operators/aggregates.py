@@ -87,6 +87,27 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
 
 
+def profile_parts(df: DataFrame, columns: list[str], parts: list[str]) -> DataFrame:
+    """For each part of a table and each column: rows, missing values, bytes, and sketches of distinct values (hll) and of text lengths (kll). They can be kept and
+    merged later; a part that changes is sketched again alone."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns])
+    rows = df.select(*parts, F.inline(cells))
+    length = F.length("text").cast("long")
+    return rows.groupBy(*parts, "column").agg(
+        F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("n_missing"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(length).alias("chars"), F.max(length).alias("longest"),
+        F.hll_sketch_agg("text", F.lit(14)).alias("distinct"), F.kll_sketch_agg_bigint(length).alias("lengths"),
+    )
+
+
+def merged_profile(parts: DataFrame) -> DataFrame:
+    """One row per column from its parts' sketches: share missing, about how many distinct values, mean, about the 95th percentile and largest length, bytes."""
+    all_ = parts.groupBy("column").agg(*[F.sum(c).alias(c) for c in ("n", "n_missing", "bytes", "chars")], F.max("longest").alias("longest"), F.hll_union_agg("distinct").alias("d"), F.kll_merge_agg_bigint("lengths").alias("l"))
+    return all_.select(
+        "column", (F.col("n_missing") / F.col("n")).alias("missing"), F.hll_sketch_estimate("d").alias("n_distinct"), safe_div(F.col("chars"), F.col("n") - F.col("n_missing")).alias("mean_length"),
+        F.when(F.col("n") > F.col("n_missing"), F.kll_sketch_get_quantile_bigint("l", F.lit(0.95))).alias("p95_length"), F.col("longest").alias("max_length"), "bytes",
+    )
+
+
 def z_scores(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
     """Distance from the mean in population deviations; 0 where there is no spread. Means come from one small aggregate, not from a window over all rows."""
     stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])

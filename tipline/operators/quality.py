@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,17 @@ LEAKS = ("actual", "final", "score_home", "score_away", "result", "target")
 def leaking(names: list[str], words: tuple[str, ...] = LEAKS) -> list[str]:
     """Feature names that hint at what is to be predicted."""
     return [n for n in names if any(w in n.lower() for w in words) and not n.lower().endswith("_pre")]
+
+
+def row_counts(spark: SparkSession, tables: dict[str, DataFrame | None], sources: dict[str, str]) -> DataFrame:
+    """One row per table: name, present, n_rows and status. sources: the table that another one is made from; a table is told if it is empty and its source is
+    not. The counts are one job; one row for each table is shuffled."""
+    counted = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), F.lit(True).alias("present"), "n_rows") for name, df in tables.items() if df is not None]
+    absent = spark.createDataFrame([(n, False, None) for n, df in tables.items() if df is None], "name string, present boolean, n_rows long")
+    for c in counted:
+        absent = absent.unionByName(c)
+    pairs = spark.createDataFrame(list(sources.items()), "name string, source string")
+    origin = absent.select(F.col("name").alias("source"), F.col("n_rows").alias("_from"))
+    rows = absent.join(F.broadcast(pairs), "name", "left").join(F.broadcast(origin), "source", "left")
+    status = F.when(~F.col("present"), "missing").when((F.col("n_rows") == 0) & (F.col("_from") > 0), F.concat(F.lit("empty, but "), F.col("source"), F.lit(" has rows"))).when(F.col("n_rows") == 0, "empty").otherwise("ok")
+    return rows.select("name", "present", "n_rows", status.alias("status"))

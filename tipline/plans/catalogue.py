@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tipline.plans import audits, cards, evaluation, features, matchups, merging
+from tipline.plans import audits, cards, evaluation, features, feeds, matchups, merging, projections
 from tipline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["audits", "cards", "evaluation", "features", "matchups", "merging"]
+__all__ = ["audits", "cards", "evaluation", "features", "feeds", "matchups", "merging", "projections"]
 
 
 def queries() -> dict:

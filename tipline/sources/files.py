@@ -30,6 +30,22 @@ def read_json_folder(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in an order; it must decide every tie for the result to be the same each time."""
+    return df.orderBy(*order).limit(n)
+
+
+def report(df: DataFrame, path: str, kind: str) -> None:
+    """A small result as one file of JSON lines or of CSV with a header; null is an empty field."""
+    writer = df.coalesce(1).write.mode("overwrite")
+    writer.json(path) if kind == "json" else writer.csv(path, header=True)
+
+
+def read_report(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
+    reader = spark.read.schema(schema)
+    return reader.json(path) if kind == "json" else reader.csv(path, header=True)
+
+
 def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Rows of the pages' tables: key, row (from 0) and the cells' text."""
     rows = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), 1)
