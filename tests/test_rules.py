@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tipline.operators import rules
+from tipline.operators import conference, rules
 
 
 def one(df, card):
@@ -51,3 +51,20 @@ def test_base_rates_of_past_teams(spark):
     got = rules.defence_base_rates(spark.createDataFrame(rows, "adj_def_rank int, made_final_four int, won_championship int")).first()
     assert (got.final_four_rate, got.championship_rate) == (pytest.approx(2 / 3), pytest.approx(1 / 3))
     assert tuple(rules.defence_base_rates(spark.createDataFrame([], "adj_def_rank int")).first()) == (0.0, 0.0)
+
+
+def test_conference_card_without_figures(spark):
+    df = spark.createDataFrame([("Big East", "Championship Final"), (None, None)], "conference string, tournament_round string")
+    big, none = df.select(*[c.alias(n) for n, c in conference.card(df).items()]).collect()
+    assert (big.conference_tier_adjustment, big.max_bet_units, big.timing, big.recommended_bet) == ("power6", 1.0, "bet now — open_to_4hrs_before", "pass")
+    assert (none.conference_tier_adjustment, none.max_bet_units, none.archetype_a, none.failing_a) == ("low_major", 0.5, "NONE", [])
+    # Half the dog's score and half a motivated bracket are the defaults.
+    assert big.upset_prob == pytest.approx(0.25 + 0.175) and big.fragility_index == pytest.approx(0.05) and big.composite_edge == pytest.approx(round(0.13 * 0.5 + 0.16 * 0.05, 3))
+    assert tuple(big.survives_b) == (0.35, 0.4, 0.22, 0.12) and big.bracket_motivation == "high" and big.kelly_recommended == pytest.approx(0.001)
+
+
+def test_conference_bets_name_the_side(spark):
+    rows = [("a", "b", 3.5, 20.0, 6, "mac"), ("a", "b", -3.0, -20.0, 6, "mac"), ("a", "b", 3.5, 20.0, 4, "mac")]
+    df = spark.createDataFrame(rows, "a_team string, b_team string, market_spread double, b_situational_adjustment_points double, clv_validation_years int, conference string")
+    got = [r[0] for r in df.select(conference.card(df)["recommended_bet"]).collect()]
+    assert got == ["b -3.5", "a -3", "pass"]

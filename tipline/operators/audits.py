@@ -78,9 +78,9 @@ def audit_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows, and the new ones, once each, whose key is not there yet."""
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"))
+def insert_absent(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Old rows, and the new ones, once each, whose key is not there yet; of new rows that share a key, the first in the order, which must decide every tie."""
+    return old.unionByName(pick(new, [key], order).join(old.select(key), key, "left_anti"))
 
 
 def delete_audited(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -95,6 +95,53 @@ def merge_sources(rows: DataFrame, keys: list[str], fields: list[str], priority:
     return sources.join(merged, keys, "left").select(*keys, "n_sources", *fields, F.coalesce(conflicts, F.lit(0)).alias("n_conflicts"))
 
 
+def merge_games(rows: DataFrame, game: str, teams: tuple[str, str], priority: str, vote: list[str], fill: list[str]) -> DataFrame:
+    """One row per game from several sources (rows: one per source and game; smaller priority is better).
+
+    Rows that share an id but not the set of teams (any case, either order) with the best source's row are other games: their key is id_home_away. The best source's
+    row is the base. A field of vote on which sources differ takes the value of most sources, the best source's of equals; fields of fill that the base lacks
+    take the next source's value. Returns key, n_sources, the fields, and conflicts (field and the values as text). Each game is one group, as large as there
+    are sources."""
+    pair = F.array_sort(F.array(*[F.lower(F.col(t).cast("string")) for t in teams]))
+    first = F.first("_pair").over(Window.partitionBy(game).orderBy(priority).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    other = F.concat_ws("_", game, *teams)
+    keyed = rows.withColumn("_pair", pair).withColumn("key", F.when(first.eqNullSafe(F.col("_pair")), F.col(game).cast("string")).otherwise(other))
+    fields = list(dict.fromkeys([*teams, *vote, *fill]))
+    grouped = keyed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(priority, *fields))).alias("_all"))
+
+    def values(f: str) -> Column:
+        return F.filter(F.transform("_all", lambda r: r[f]), lambda v: v.isNotNull())
+
+    def texts(f: str) -> Column:
+        return F.transform(values(f), lambda v: v.cast("string"))
+
+    def elected(f: str, kinds: Column) -> Column:
+        # Kinds are in the order of sources, so that the first of equals is the better source's.
+        ranked = F.transform(kinds, lambda v, i: F.struct((-F.size(F.filter(values(f), lambda x: x == v))).alias("votes"), i.alias("i"), v.alias("v")))
+        return F.array_min(ranked)["v"]
+
+    base, out, conflicts = F.col("_all")[0], {}, []
+    for f in fields:
+        own = base[f]
+        if f in vote:
+            kinds = F.array_distinct(values(f))
+            differ = F.size(kinds) > 1
+            own = F.when(differ, elected(f, kinds)).otherwise(own)
+            conflicts.append(F.when(differ, F.struct(F.lit(f).alias("field"), texts(f).alias("values"))))
+        if f in fill:
+            own = F.coalesce(own, F.get(values(f), F.lit(0)))
+        out[f] = own
+    return grouped.select("key", F.size("_all").cast("long").alias("n_sources"), *[c.alias(f) for f, c in out.items()], F.array_compact(F.array(*conflicts)).alias("conflicts"))
+
+
+def merge_report(merged: DataFrame) -> DataFrame:
+    """One row: games, those from one and from more sources, conflicts in all and by field."""
+    whole = merged.agg(F.count("*").alias("total_games"), F.count_if(F.col("n_sources") == 1).alias("games_from_single_source"), F.count_if(F.col("n_sources") > 1).alias("games_from_multiple_sources"), F.coalesce(F.sum(F.size("conflicts")), F.lit(0)).alias("total_conflicts"))
+    fields = merged.select(F.explode("conflicts.field").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    by_field = fields.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "n")))).alias("conflicts_by_field"))
+    return whole.crossJoin(F.broadcast(by_field))  # one row each
+
+
 def closest_names(left: DataFrame, right: DataFrame, name: str, cutoff: float = 0.92) -> DataFrame:
     """Each left name with the closest right one: equal, or at least cutoff alike by edit distance; among equals the smallest name wins.
 

@@ -140,18 +140,16 @@ def weighted_trend(df: DataFrame, metric: str, weight: str, keys: list[str], ord
 def games_within(df: DataFrame, ts: str, keys: list[str], order: list[str], days: tuple[int, ...], strict: bool, prefix: str = "games_last_") -> DataFrame:
     """Rows of the last so many days before each. strict: earlier whole seconds only; else earlier rows, those at the same time included."""
     seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+    span = Window.partitionBy(*keys).orderBy("_s")
+    rows = df.withColumn("_s", seconds)
+    if not strict:
+        # The frames take in all rows of the same time; those in order from the current one on go.
+        rows = rows.withColumn("_after", F.count("_s").over(Window.partitionBy(*keys, "_s").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)))
     out = {}
     for n in days:
-        span = Window.partitionBy(*keys).orderBy("_s")
-        if strict:
-            count = F.count("_s").over(span.rangeBetween(-n * DAY, -1))
-        else:
-            # The frame takes in all rows of the same time; those in order from the current one on go.
-            same = Window.partitionBy(*keys, "_s").orderBy(*order)
-            after = F.count("_s").over(same.rowsBetween(0, Window.unboundedFollowing))
-            count = F.count("_s").over(span.rangeBetween(-n * DAY, 0)) - after
+        count = F.count("_s").over(span.rangeBetween(-n * DAY, -1)) if strict else F.count("_s").over(span.rangeBetween(-n * DAY, 0)) - F.col("_after")
         out[f"{prefix}{n}_days"] = F.when(F.col("_s").isNull(), 0).otherwise(count).cast("long")
-    return df.withColumn("_s", seconds).withColumns(out).drop("_s")
+    return rows.withColumns(out).drop("_s", "_after")
 
 
 def rest(df: DataFrame, ts: str, keys: list[str], order: list[str]) -> DataFrame:

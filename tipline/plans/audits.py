@@ -85,7 +85,8 @@ def dq_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(D.audit_id(F.col("o_orderkey"), F.lit("late")).alias("id"), "o_orderkey")
     old = found.where("o_orderkey % 3 = 0").withColumn("batch", F.lit("old"))
     new = found.withColumn("batch", F.lit("new"))
-    return D.insert_absent(D.insert_absent(old, new.unionByName(new), "id"), new, "id")
+    order = [F.col("o_orderkey"), F.col("batch")]
+    return D.insert_absent(D.insert_absent(old, new.unionByName(new), "id", order), new, "id", order)
 
 
 _ORPHANS = """WITH s AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS copy, l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45) AS orphan FROM lineitem l),
@@ -103,13 +104,15 @@ def delete_with_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("reason").agg(F.count("*").alias("n"), R(F.sum("l_quantity")).alias("quantity"))
 
 
-@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey, l_suppkey) AS rn FROM lineitem WHERE l_orderkey % 2 = 0),
-o AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0)
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey, l_suppkey) AS rn FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01'),
+o AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01')
 SELECT l_orderkey, l_linenumber, 'staged' AS origin FROM s WHERE rn = 1 UNION ALL SELECT l_orderkey, l_linenumber, 'old' FROM o WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM s)""")
 def merge_distinct_on_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines shipped from 1995 on, staged over the lines before."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
-    old = lines.where("l_orderkey % 3 = 0").select("l_orderkey", "l_linenumber").distinct().withColumn("origin", F.lit("old"))
-    staged = lines.where("l_orderkey % 2 = 0").withColumn("origin", F.lit("staged"))
+    late = F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")
+    old = lines.where(~late).select("l_orderkey", "l_linenumber").distinct().withColumn("origin", F.lit("old"))
+    staged = lines.where(late).withColumn("origin", F.lit("staged"))
     return D.upsert_latest(old, staged, ["l_orderkey", "l_linenumber"], "l_shipdate", ["l_partkey", "l_suppkey"])
 
 

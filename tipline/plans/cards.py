@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tipline.functions import betting as O
 from tipline.functions import columns as C
+from tipline.operators import conference as CF
 from tipline.operators import rules as U
 from tipline.plans.adapter import GAMES, games
 from tipline.plans.registry import query
@@ -173,3 +174,30 @@ def rules_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     round_ = F.when(F.col("game_id") % 3 == 0, "Opening").when(F.col("game_id") % 3 == 1, "final_4").otherwise("unknown")
     tier = F.when(F.col("game_id") % 2 == 0, "mid_major").otherwise("unknown")
     return _finished(g, U.totals(F.col("h_poss"), F.col("a_poss"), F.col("h_ortg") / 100, F.lit(0.95), F.col("a_ortg") / 100, F.lit(1.05), round_, tier))
+
+
+_CONFERENCE = {
+    "dog_dna_score_conf": "CASE WHEN game_id % 6 = 0 THEN NULL ELSE game_id % 120 / 100e0 END", "third_meeting_adjustment": "CAST(game_id % 5 - 2 AS DOUBLE)", "fatigue_differential": "CAST(game_id % 4 - 1 AS DOUBLE)", "press_break_mismatch": "CAST(game_id % 2 AS DOUBLE)",
+    "a_load_management_risk": "CASE WHEN game_id % 3 = 0 THEN NULL ELSE game_id % 90 / 80e0 END", "a_load_management_probability": "game_id % 70 / 100e0", "a_game_3_fatigue_wall_score": "game_id % 83 / 80e0", "a_key_player_dependency_score": "game_id % 77 / 80e0",
+    "a_bracket_motivation_score": "game_id % 50 / 50e0", "b_situational_adjustment_points": "CAST(game_id % 31 - 12 AS DOUBLE)", "archetype_alignment_conf": "game_id % 9 / 2e0", "clv_validation_years": "CAST(3 + game_id % 6 AS DOUBLE)", "market_implied_edge": "game_id % 13 / 10e0",
+    "market_spread": "line / 2", "conference": "CASE game_id % 4 WHEN 0 THEN ' ACC' WHEN 1 THEN 'wcc' WHEN 2 THEN 'mac' END", "tournament_round": "CASE game_id % 3 WHEN 0 THEN 'Semifinal' WHEN 1 THEN 'Final' END", "b_team": "CASE WHEN game_id % 2 = 0 THEN 'Dogs' END",
+    "a_revenge_score": "game_id % 100 / 100e0", "a_conf_tourney_coach_alpha": "CAST(game_id % 3 - 1 AS DOUBLE)", "a_motivation_clarity_score": "CASE WHEN game_id % 7 <> 0 THEN CAST(game_id % 11 AS DOUBLE) END", "a_depth_vs_field_advantage": "game_id % 30 / 10e0 - 1", "a_first_year_transfers": "CAST(game_id % 6 AS DOUBLE)",
+}
+_LOAD = _s("coalesce(a_load_management_risk, a_load_management_probability)")
+_SIGNED = "CASE WHEN {v} < 0 THEN '-' ELSE '+' END || regexp_replace(CAST(abs({v}) AS VARCHAR), '\\.0$', '')"
+
+
+@query(f"""WITH {GAMES}, {_inputs(_CONFERENCE)}, p AS (SELECT *, {_s('coalesce(dog_dna_score_conf, 0.5e0)')} AS dog, {_LOAD} AS ld, {_s('a_game_3_fatigue_wall_score')} AS wall, {_s('a_key_player_dependency_score')} AS kp, a_bracket_motivation_score AS br FROM i),
+f AS (SELECT *, {_s('0.45e0 * ld + 0.25e0 * wall + 0.2e0 * kp + 0.1e0 * (1 - br)')} AS fr, CASE game_id % 4 WHEN 0 THEN 'power6' WHEN 1 THEN 'high_major_mid_major' WHEN 2 THEN 'true_mid_major' ELSE 'low_major' END AS tier, CASE game_id % 4 WHEN 0 THEN 2e0 WHEN 3 THEN 1e0 ELSE 1.5e0 END AS least_edge FROM p),
+e AS (SELECT *, CASE WHEN clv_validation_years >= 5 THEN 0.15e0 * archetype_alignment_conf + 0.13e0 * dog + 0.16e0 * fr + 0.2e0 * b_situational_adjustment_points + 0.12e0 * third_meeting_adjustment + 0.24e0 * ld - market_implied_edge ELSE 0 END AS edge FROM f)
+SELECT game_id, CASE WHEN a_revenge_score >= 0.65 THEN 'REVENGE_MACHINE' WHEN a_conf_tourney_coach_alpha > 0 THEN 'CONF_TOURNEY_SPECIALIST' WHEN coalesce(a_motivation_clarity_score, 5) >= 8 THEN 'MOTIVATION_CLARITY' WHEN a_depth_vs_field_advantage >= 1 THEN 'DEPTH_ADVANTAGE_FORMAT' ELSE 'NONE' END AS archetype_a,
+CASE WHEN a_first_year_transfers >= 4 THEN 'TRANSFER_PORTAL_CHAOS' ELSE '' END AS failing_a, {_r(_s('0.25e0 + 0.35e0 * dog + 0.08e0 * third_meeting_adjustment + 0.04e0 * fatigue_differential'))} AS upset_prob, CASE WHEN fatigue_differential > third_meeting_adjustment THEN 'FATIGUE_BASED_UPSET' ELSE 'THIRD_MEETING_EDGE' END AS upset_archetype,
+{_tags({'third_meeting_motivation_asymmetry': 'third_meeting_adjustment > 0', 'fatigue_differential': 'fatigue_differential > 0', 'PRESS_BREAK_OR_DIE': 'press_break_mismatch <> 0'})} AS key_upset_drivers, {_r('fr')} AS fragility_index, CASE WHEN br < 0.5 THEN 'low' ELSE 'high' END AS bracket_motivation,
+{_tags({'LOAD_MANAGEMENT_EXPOSURE': 'ld >= 0.5', 'THIRD_GAME_IN_FOUR_DAYS_WALL': 'wall >= 0.5', 'KEY_PLAYER_DEPENDENCY': 'kp >= 0.5', 'BRACKET_KNOWLEDGE_TRAP': 'br <= 0.4'})} AS fragility_drivers, {_r('edge')} AS edge,
+CASE WHEN edge >= least_edge THEN coalesce(b_team, 'Team B') || ' ' || {_SIGNED.format(v='(-market_spread)')} WHEN edge <= -least_edge THEN 'Team A ' || {_SIGNED.format(v='market_spread')} ELSE 'pass' END AS recommended_bet,
+CASE WHEN edge >= least_edge + 1 THEN 'A' WHEN edge >= least_edge THEN 'B' ELSE 'C' END AS confidence_tier, CASE game_id % 3 WHEN 0 THEN 0.75e0 WHEN 1 THEN 1e0 ELSE 0.5e0 END AS max_bet_units, CASE WHEN fr >= 0.45 OR kp >= 0.55 THEN 'star foul trouble trigger active' ELSE 'none' END AS live_bet_watch, tier FROM e""")
+def conference_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _made(spark, sf_dir, _CONFERENCE)
+    c = CF.card(df)
+    out = {k: c[k] for k in ("archetype_a", "failing_a", "upset_prob", "upset_archetype", "key_upset_drivers", "fragility_index", "bracket_motivation", "fragility_drivers", "recommended_bet", "confidence_tier", "max_bet_units", "live_bet_watch", "edge")}
+    return _finished(df, out | {"tier": c["conference_tier_adjustment"]})

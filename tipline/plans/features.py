@@ -56,8 +56,7 @@ CASE l_linenumber WHEN 1 THEN '5-10' WHEN 2 THEN '3/7' WHEN 3 THEN 'x' WHEN 4 TH
 
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("_tipline_lineitem")
-    return spark.sql(_MESSY.format(n=20, t="_tipline_lineitem"))
+    return spark.sql(_MESSY.format(n=20, t="{lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 @query(f"""WITH m AS ({_MESSY.format(n=20, t='lineitem')}) SELECT l_orderkey, l_linenumber,

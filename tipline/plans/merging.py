@@ -11,6 +11,7 @@ from tipline.operators import quality as Q
 from tipline.plans.adapter import GAMES, ORDER, TG, games, team_games
 from tipline.plans.registry import query
 from tipline.sources import files
+from tipline.sources.ledger import Ledger
 from tipline.sources.manifest import Table
 from tipline.sources.scratch import new_dir
 from tipline.streaming import merge as S
@@ -150,8 +151,26 @@ w AS (SELECT game_id, f, x, count(*) OVER (PARTITION BY game_id, f) AS kinds, ro
 c AS (SELECT game_id, count(*) AS n_sources FROM s GROUP BY game_id)
 SELECT c.game_id, n_sources, max(CASE WHEN f = 'status' THEN x END) AS status, max(CASE WHEN f = 'score' THEN x END) AS score, count(CASE WHEN kinds > 1 THEN 1 END) AS n_conflicts FROM c LEFT JOIN w ON c.game_id = w.game_id AND rn = 1 GROUP BY ALL""")
 def multi_source_conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _table(spark, sf_dir, "orders").createOrReplaceTempView("_tipline_orders")
-    return J.merge_sources(spark.sql(_SOURCES.format(n="(20)", t="_tipline_orders")), ["game_id"], ["status", "score"], "priority")
+    rows = spark.sql(_SOURCES.format(n="(20)", t="{orders}"), orders=_table(spark, sf_dir, "orders"))
+    return J.merge_sources(rows, ["game_id"], ["status", "score"], "priority")
+
+
+#: Games of three sources: the second gives other scores and now and then other teams under the same id, the third turns the sides and leaves fields out.
+_GAMES3 = """SELECT o_orderkey AS game_id, 1 AS priority, concat('T', o_custkey) AS home, 'Away' AS away, o_orderkey % 90 AS home_score, CASE WHEN o_orderkey % 4 <> 0 THEN 'hall' END AS venue, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 9 AS DOUBLE) END AS spread FROM {t} UNION ALL
+SELECT o_orderkey, 2, CASE WHEN o_orderkey % 10 = 0 THEN 'Other' ELSE concat('t', o_custkey) END, 'AWAY', o_orderkey % 90 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END, CASE WHEN o_orderkey % 8 = 0 THEN 'arena' END, CASE WHEN o_orderkey % 2 = 0 THEN 2.5e0 END FROM {t} UNION ALL
+SELECT o_orderkey, 3, 'away', concat('T', o_custkey), CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 90 + CASE WHEN o_orderkey % 15 = 0 THEN 1 ELSE 0 END END, 'dome', 7e0 FROM {t} WHERE o_orderkey % 6 <> 1"""
+
+
+@query(f"""WITH s AS ({_GAMES3.format(t='orders')}), k AS (SELECT *, CASE WHEN priority = 2 AND game_id % 10 = 0 THEN concat_ws('_', game_id, home, away) ELSE CAST(game_id AS VARCHAR) END AS key FROM s),
+a AS (SELECT key, count(*) AS n_sources, min_by(venue, priority) FILTER (venue IS NOT NULL) AS venue_any, min_by(spread, priority) FILTER (spread IS NOT NULL) AS spread, count(DISTINCT home_score) AS kinds, count(DISTINCT venue) AS venues, min(priority) AS best FROM k GROUP BY key),
+v AS (SELECT key, home_score, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(priority)) AS rn FROM k WHERE home_score IS NOT NULL GROUP BY key, home_score),
+w AS (SELECT key, venue, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(priority)) AS rn FROM k WHERE venue IS NOT NULL GROUP BY key, venue)
+SELECT a.key, n_sources, CASE WHEN kinds > 1 THEN v.home_score ELSE b.home_score END AS home_score, CASE WHEN venues > 1 THEN w.venue ELSE coalesce(b.venue, venue_any) END AS venue, a.spread,
+concat_ws('|', CASE WHEN kinds > 1 THEN 'home_score' END, CASE WHEN venues > 1 THEN 'venue' END) AS conflicts FROM a JOIN k b ON a.key = b.key AND a.best = b.priority LEFT JOIN v ON a.key = v.key AND v.rn = 1 LEFT JOIN w ON a.key = w.key AND w.rn = 1""")
+def multi_source_game_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_GAMES3.format(t="{orders}"), orders=_table(spark, sf_dir, "orders"))
+    merged = J.merge_games(rows, "game_id", ("home", "away"), "priority", ["home_score", "venue"], ["spread", "venue"])
+    return merged.select("key", "n_sources", "home_score", "venue", "spread", F.array_join("conflicts.field", "|").alias("conflicts"))
 
 
 @query("SELECT a.n_nationkey AS nation_a, b.n_nationkey AS nation_b, CASE WHEN a.n_nationkey = b.n_nationkey THEN 1e0 WHEN a.n_regionkey = b.n_regionkey THEN 0.6e0 ELSE 0.05e0 END AS correlation FROM nation a, nation b")
@@ -286,3 +305,18 @@ def stream_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with S.rocksdb(spark):
         counts.writeStream.format("parquet").option("path", f"{at}/counts").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/counts").drop("ts")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 35 = 0 THEN 'failed' ELSE 'done' END AS status, CAST(CASE WHEN o_orderkey % 35 = 0 THEN 3 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts, CASE WHEN o_orderkey % 35 <> 0 THEN o_orderkey * 2 END AS doubled FROM orders""")
+def resume_with_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work on all orders, of which some fail once and some always: a ledger says what is done and what is tried again, three times at most."""
+    ledger = Ledger(spark, new_dir(spark, "ledger"), "o_orderkey", most=3)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+
+    def work(todo: DataFrame) -> DataFrame:
+        ok = (F.col("o_orderkey") % 35 != 0) & ((F.col("o_orderkey") % 7 != 0) | (F.col("attempts") > 0))
+        return todo.select("o_orderkey", F.when(~ok, "no answer").alias("error"), F.when(ok, F.col("o_orderkey") * 2).alias("doubled"))
+
+    while ledger.run(orders, work):
+        pass
+    return ledger.entries().select("o_orderkey", "status", "attempts").join(ledger.data(), "o_orderkey", "left")

@@ -74,21 +74,32 @@ def _current(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The current version of a table that replace() wrote; an empty table, or None without a schema, where there is none yet."""
+def table(spark: SparkSession, path: str, schema: T.StructType | None = None, part: str = "") -> DataFrame | None:
+    """The current version of a table that replace() wrote, or of a part that replace_all() wrote; an empty table, or None without a schema, where there is none yet."""
     path = path.rstrip("/")
     name = _current(spark, path)
     if name is None:
         return None if schema is None else spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/{name}/{part}".rstrip("/"))
 
 
 def replace(df: DataFrame, path: str, **options) -> None:
     """Writes a new version of the table, then names it in one rename of the pointer: at any moment readers find the old or the new table, a failure leaves
     the old one, and a table may be rewritten from itself. The version before stays for readers that have begun; older ones go."""
-    spark, path = df.sparkSession, path.rstrip("/")
+    replace_all({"": df}, path, **options)
+
+
+def replace_all(tables: dict[str, DataFrame], path: str, **options) -> None:
+    """replace() for several tables that change together, each in a folder of the version named after it: readers find all of them old or all new."""
+    spark, path = next(iter(tables.values())).sparkSession, path.rstrip("/")
     name = f"v-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(f"{path}/{name}")
+    for part, df in tables.items():
+        df.write.options(**options).parquet(f"{path}/{name}/{part}".rstrip("/"))
+    _point(spark, path, name)
+
+
+def _point(spark: SparkSession, path: str, name: str) -> None:
+    """Makes a version the current one and deletes all but this and the one before."""
     at, fs = _hadoop(spark, path)
     before = _current(spark, path)
     hadoop = spark._jvm.org.apache.hadoop.fs
