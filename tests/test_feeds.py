@@ -87,3 +87,16 @@ def test_profiles_of_parts_add_up(spark, sf_dir):
             assert (got.max_length, got.bytes) == (exact.longest, exact.bytes) and [got.mean_length, got.missing] == pytest.approx([exact.mean, exact.missing])
     empty = aggregates.merged_profile(aggregates.profile_parts(lines.limit(0), names, []))
     assert empty.count() == 0
+
+
+def test_validation_of_odd_tables(spark):
+    S = quality.Spec
+    found = lambda df, *a, **k: {(r.code, r.column): (r.value, r.severity) for r in quality.validate(df, *a, **k).collect()}
+    assert found(spark.createDataFrame([], "a int"), [S("b", "text", True)]) == {("empty_df", ""): (0.0, "error")}
+    df = spark.createDataFrame([("x", "{", "yes", "5", None, 1.0), ("y", '{"a":1}', "0", "z", None, float("nan"))], "n string, j string, f string, t string, e string, final_score double")
+    got = found(df, [S("n", "number", True), S("j", "json"), S("f", "flag"), S("t", "time"), S("e", "json"), S("final_score", "number", low=2.0)], ["n", "j"])
+    assert got == {
+        ("min_rows", ""): (2.0, "warning"), ("dtype_coerce_failed", "n"): (0.0, "warning"), ("dtype_coerce_failed", "j"): (0.5, "warning"), ("high_null_rate", "e"): (1.0, "warning"),
+        ("range_violation", "final_score"): (1.0, "warning"), ("leakage_token_hits", "final_score"): (1.0, "warning"),
+    }
+    assert found(df, [], ["n"], {"n": ["x"], "absent": [1]}, least_rows=1) == {("invalid_values", "n"): (1.0, "error"), ("leakage_token_hits", "final_score"): (1.0, "warning")}

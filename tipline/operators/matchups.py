@@ -129,6 +129,17 @@ def volatility_composites(three: Column, three_std: Column, efg_std: Column, net
     return {"shoot_vol": three * three_std, "three_vol_risk": three * (three_std + 0.5 * efg_std), "consistency": 1 / (1 + net_std)}
 
 
+def differentials(own: dict[str, Column], opp: dict[str, Column]) -> dict[str, Column]:
+    """A game's figures less the opponent's, positive where they favour the team. own and opp: orb_pct, drb_pct, ftr, efg, ts_pct, tov_pct."""
+    names = {"oreb_diff": "orb_pct", "dreb_diff": "drb_pct", "ftr_diff": "ftr", "efg_diff": "efg", "ts_diff": "ts_pct"}
+    return {k: own[c] - opp[c] for k, c in names.items()} | {"to_diff": opp["tov_pct"] - own["tov_pct"]}
+
+
+def edges(recent: dict[str, Column], allowed: dict[str, Column]) -> dict[str, Column]:
+    """A team's recent figures above what the next opponent allows; for turnovers, what the opponent forces above what the team commits."""
+    return {f"{k}_edge_pre": allowed[k] - c if k == "tov" else c - allowed[k] for k, c in recent.items()}
+
+
 def recency_by_days(age: Column, scale: float = 14.0) -> Column:
     return F.exp(-age / scale)
 

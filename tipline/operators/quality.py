@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,66 @@ def row_counts(spark: SparkSession, tables: dict[str, DataFrame | None], sources
     rows = absent.join(F.broadcast(pairs), "name", "left").join(F.broadcast(origin), "source", "left")
     status = F.when(~F.col("present"), "missing").when((F.col("n_rows") == 0) & (F.col("_from") > 0), F.concat(F.lit("empty, but "), F.col("source"), F.lit(" has rows"))).when(F.col("n_rows") == 0, "empty").otherwise("ok")
     return rows.select("name", "present", "n_rows", status.alias("status"))
+
+
+class Spec(NamedTuple):
+    """What a column should hold: kind is number, text, time, flag or json; low and high bound a number."""
+
+    name: str
+    kind: str
+    required: bool = False
+    low: float | None = None
+    high: float | None = None
+
+
+# Words that say yes or no, and words in column names that hint at a result.
+FLAG_WORDS = ("true", "false", "1", "0", "yes", "no", "y", "n", "t", "f")
+HINTS = ("actual_", "final_", "result", "winner", "score_", "_score", "closing", "closing_line", "vegas_", "spread", "total")
+
+
+def validate(df: DataFrame, specs: list[Spec], keys: list[str] = (), allowed: dict[str, list] | None = None, most_null: float = 0.5, least_rows: int = 10) -> DataFrame:
+    """Findings as rows: code, column, value, severity. All columns are looked at in one aggregate over all rows, keys in a second.
+
+    A column of flags should have 95 of 100 values that say yes or no, one of JSON 70 of 100 that parse as an object or a list or are blank; a column without
+    values passes. Columns that the table lacks are found only if they are required; an empty table gives the one finding empty_df."""
+    there, allowed = [s for s in specs if s.name in df.columns], allowed or {}
+    cells = [F.count("*").alias("n")]
+    for i, s in enumerate(there):
+        c, t = F.col(s.name), F.trim(F.col(s.name).cast("string"))
+        number = c.try_cast("double")
+        looks = {
+            "number": [F.count_if(number.isNotNull() & ~F.isnan(number)), F.min(F.when(~F.isnan(number), number)), F.max(F.when(~F.isnan(number), number))],
+            "text": [F.count_if(t == "")], "time": [F.count(c.try_cast("timestamp"))], "flag": [F.count_if(F.lower(t).isin(*FLAG_WORDS))],
+            "json": [F.count_if((t == "") | t.rlike(r"^[\{\[]") & F.try_parse_json(t).isNotNull())],
+        }[s.kind]
+        cells += [F.count(c).alias(f"c{i}"), *[x.alias(f"v{i}_{k}") for k, x in enumerate(looks)]]
+    outside = {c: {str(v).strip() for v in values} for c, values in allowed.items() if c in df.columns}
+    cells += [F.count_if(~F.trim(F.col(c).cast("string")).isin(*values)).alias(f"a{k}") for k, (c, values) in enumerate(outside.items())]
+    row = df.agg(*cells).first()
+    n, found = row.n, []
+    if n and n < least_rows:
+        found.append(("min_rows", "", float(n), "warning"))
+    found += [("missing_column", s.name, 1.0, "error") for s in specs if s.required and s.name not in df.columns]
+    for i, s in enumerate(there) if n else ():
+        filled, first = row[f"c{i}"], row[f"v{i}_0"]
+        if 1 - filled / n > most_null:
+            found.append(("high_null_rate", s.name, 1 - filled / n, "warning"))
+        if s.kind in ("number", "time") and not first:
+            if s.required:
+                found.append(("dtype_coerce_failed", s.name, 0.0, "warning"))
+        elif s.kind == "number":
+            low, high = row[f"v{i}_1"], row[f"v{i}_2"]
+            found += [("range_violation", s.name, x, "warning") for x, bad in ((low, s.low is not None and low < s.low), (high, s.high is not None and high > s.high)) if bad]
+        elif s.kind == "text" and filled and first / filled > most_null:
+            found.append(("high_empty_string_rate", s.name, first / filled, "warning"))
+        elif s.kind in ("flag", "json") and filled and first / filled < (0.95 if s.kind == "flag" else 0.7):
+            found.append(("dtype_coerce_failed", s.name, first / filled, "warning"))
+    found += [("invalid_values", c, float(row[f"a{k}"]), "error") for k, c in enumerate(outside) if row[f"a{k}"]]
+    if n and keys and set(keys) <= set(df.columns):
+        again = df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+        found += [("duplicate_keys", "|".join(keys), float(again), "error")] if again else []
+    late, hints = [c for c in df.columns if c.endswith(("_post", "_final"))], [c for c in df.columns if any(w in c.lower() for w in HINTS)]
+    found += [(code, "|".join(sorted(names)), float(len(names)), "warning") for code, names in (("leakage_columns", late), ("leakage_token_hits", hints)) if names]
+    if not n:
+        found = [("empty_df", "", 0.0, "error")]
+    return df.sparkSession.createDataFrame(found, "code string, column string, value double, severity string")

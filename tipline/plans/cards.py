@@ -166,14 +166,16 @@ def rules_bet_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(g, card | {"confidence": U.decayed_confidence(F.col("conf"), F.col("game_id") % 60)})
 
 
-@query(f"""WITH {GAMES}, i AS (SELECT *, CASE game_id % 3 WHEN 0 THEN -0.015e0 WHEN 1 THEN -0.035e0 ELSE -0.02e0 END + CASE game_id % 2 WHEN 0 THEN -0.015e0 ELSE -0.01e0 END AS d, greatest(55, (h_poss + a_poss) / 2 - 2) AS n FROM games),
-p AS (SELECT *, greatest(0.75e0, (h_ortg / 100 + 1.05e0) / 2 + d) AS a, greatest(0.75e0, (a_ortg / 100 + 0.95e0) / 2 + d) AS b FROM i), t AS (SELECT *, (a + b) * n AS total FROM p)
-SELECT game_id, {_r('n')} AS possessions, {_r('d')} AS deflator, {_r('a')} AS ppp_a, {_r('b')} AS ppp_b, {_r('total')} AS total, {_r('total * 0.485e0 - 1')} AS first_half, {_r('total * 0.515e0 + 1')} AS second_half FROM t""")
+@query(f"""WITH {GAMES}, i AS (SELECT *, CASE game_id % 3 WHEN 0 THEN -0.015e0 WHEN 1 THEN -0.035e0 ELSE -0.02e0 END + CASE game_id % 2 WHEN 0 THEN -0.015e0 ELSE -0.01e0 END AS d, greatest(55, (h_poss + a_poss) / 2 - 2 - game_id % 3) AS n FROM games),
+p AS (SELECT *, greatest(0.75e0, (h_ortg / 100 + 1.05e0) / 2 + d + game_id % 5 / 100e0) AS a, greatest(0.75e0, (a_ortg / 100 + 0.95e0) / 2 + d) AS b FROM i), t AS (SELECT *, (a + b) * n + 1.5e0 AS total FROM p)
+SELECT game_id, {_r('n')} AS possessions, CAST(round_even(n - CASE WHEN n < 68 THEN 4 ELSE 5 END, 0) AS BIGINT) AS possessions_low, CAST(round_even(n + CASE WHEN n < 68 THEN 4 ELSE 5 END, 0) AS BIGINT) AS possessions_high, {_r('d')} AS deflator, {_r('a')} AS ppp_a, {_r('b')} AS ppp_b, {_r('total')} AS total,
+CAST(round_even(total - 6, 0) AS BIGINT) AS total_low, CAST(round_even(total + 6, 0) AS BIGINT) AS total_high, {_r('total * 0.485e0 - 1')} AS first_half, {_r('total * 0.515e0 + 1.25e0')} AS second_half, {_r('2400 / greatest(30e0, 2400 / n)')} AS shot_clock FROM t""")
 def rules_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = games(spark, sf_dir)
     round_ = F.when(F.col("game_id") % 3 == 0, "Opening").when(F.col("game_id") % 3 == 1, "final_4").otherwise("unknown")
     tier = F.when(F.col("game_id") % 2 == 0, "mid_major").otherwise("unknown")
-    return _finished(g, U.totals(F.col("h_poss"), F.col("a_poss"), F.col("h_ortg") / 100, F.lit(0.95), F.col("a_ortg") / 100, F.lit(1.05), round_, tier))
+    more = {"fatigue": -(F.col("game_id") % 3).cast("double"), "premium_a": (F.col("game_id") % 5).cast("double"), "venue": 1.5, "lead": 0.25}
+    return _finished(g, U.totals(F.col("h_poss"), F.col("a_poss"), F.col("h_ortg") / 100, F.lit(0.95), F.col("a_ortg") / 100, F.lit(1.05), round_, tier, **more))
 
 
 _CONFERENCE = {

@@ -136,3 +136,18 @@ def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column profile from sketches kept by ship year: parts add up without the rows."""
     lines = _table(spark, sf_dir, "lineitem").withColumn("part", F.year("l_shipdate"))
     return A.merged_profile(A.profile_parts(lines, ["l_partkey", "l_extendedprice", "l_returnflag"], ["part"]))
+
+
+@query("""WITH e AS (SELECT event_type, value, props, event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN ' ' ELSE 'x' END AS note, CASE WHEN event_id % 10 = 0 THEN 'maybe' ELSE 'Yes' END AS is_late, CASE WHEN event_id % 5 < 3 THEN NULL ELSE event_id END AS rare FROM events)
+SELECT 'missing_column' AS code, 'venue' AS "column", 1e0 AS value, 'error' AS severity UNION ALL SELECT 'high_null_rate', 'rare', round(avg(CASE WHEN rare IS NULL THEN 1e0 ELSE 0e0 END) + 3e-10, 6), 'warning' FROM e HAVING avg(CASE WHEN rare IS NULL THEN 1e0 ELSE 0e0 END) > 0.5
+UNION ALL SELECT 'range_violation', 'value', round(max(value) + 3e-10, 6), 'warning' FROM e HAVING max(value) > 50 UNION ALL SELECT 'dtype_coerce_failed', 'is_late', round(avg(CASE WHEN is_late = 'Yes' THEN 1e0 ELSE 0e0 END) + 3e-10, 6), 'warning' FROM e HAVING avg(CASE WHEN is_late = 'Yes' THEN 1e0 ELSE 0e0 END) < 0.95
+UNION ALL SELECT 'high_empty_string_rate', 'note', round(avg(CASE WHEN note = ' ' THEN 1e0 ELSE 0e0 END) + 3e-10, 6), 'warning' FROM e WHERE note IS NOT NULL HAVING avg(CASE WHEN note = ' ' THEN 1e0 ELSE 0e0 END) > 0.5
+UNION ALL SELECT 'invalid_values', 'event_type', CAST(count(*) AS DOUBLE), 'error' FROM e WHERE event_type NOT IN ('view', 'click') HAVING count(*) > 0 UNION ALL SELECT 'duplicate_keys', 'event_type', CAST(count(*) - count(DISTINCT event_type) AS DOUBLE), 'error' FROM e""")
+def dq_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table against what its columns should hold."""
+    i = F.col("event_id")
+    df = _table(spark, sf_dir, "events").select(
+        "event_type", "value", "props", "event_id", F.when(i % 3 == 1, " ").when(i % 3 == 2, "x").alias("note"), F.when(i % 10 == 0, "maybe").otherwise("Yes").alias("is_late"), F.when(i % 5 >= 3, i).alias("rare")
+    )
+    specs = [Q.Spec("venue", "text", required=True), Q.Spec("value", "number", low=-1e9, high=50.0), Q.Spec("props", "json"), Q.Spec("note", "text"), Q.Spec("is_late", "flag"), Q.Spec("rare", "number")]
+    return Q.validate(df, specs, ["event_type"], {"event_type": ["view", "click"]}).withColumn("value", C.rounded(F.col("value")))

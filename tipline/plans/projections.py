@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipline.functions import columns as C
+from tipline.operators import matchups as M
 from tipline.operators import projections as P
 from tipline.operators import windows as W
 from tipline.plans.adapter import ORDER, TG, team_games
@@ -143,3 +144,43 @@ def studio_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = P.markets(row, line, total, *ml)
     kinds = {k: R(c, 5) if not k.endswith(("_side", "_units")) else c for k, c in out.items()}
     return row.select("game_id", *[c.alias(k) for k, c in kinds.items()])
+
+
+_DIFF = {"oreb_diff": "orb_pct", "dreb_diff": "drb_pct", "ftr_diff": "ftr", "efg_diff": "efg", "ts_diff": "ts_pct"}
+_EDGE = {"efg": "efg", "ftr": "ftr", "orb": "orb_pct", "tov": "tov_pct"}
+
+
+@query(f"""WITH {_ELEVEN}, op AS (SELECT a.*, {', '.join(f'b."{m}" AS "opp_{m}"' for m in P.ELEVEN)} FROM bx a JOIN bx b ON a.game_id = b.game_id AND a.home_away <> b.home_away),
+al AS (SELECT *, {', '.join(f'avg({m}) {_over(7)} AS {k}_own, avg(opp_{m}) {_over(7)} AS {k}_allowed' for k, m in _EDGE.items())} FROM op)
+SELECT a.game_id, a.home_away, {', '.join(f'{_r(f"a.{m} - a.opp_{m}")} AS {k}' for k, m in _DIFF.items())}, {_r('a.opp_tov_pct - a.tov_pct')} AS to_diff,
+{', '.join(f'{_r(f"b.{k}_allowed - a.{k}_own" if k == "tov" else f"a.{k}_own - b.{k}_allowed")} AS {k}_edge_pre' for k in _EDGE)} FROM al a JOIN al b ON a.game_id = b.game_id AND a.home_away <> b.home_away""")
+def matchup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each game's differences of figures, and the edges that both sides' earlier games let expect."""
+    df = P.facing(P.eleven(team_games(spark, sf_dir), "game_id", "home_away").drop(*[f"opp_{c}" for c in _BOX]), "game_id", "home_away", list(P.ELEVEN))
+    w = W.before(KEYS, ORDER, 7)
+    df = df.withColumns({f"{k}_own": F.avg(m).over(w) for k, m in _EDGE.items()} | {f"{k}_allowed": F.avg(f"opp_{m}").over(w) for k, m in _EDGE.items()})
+    df = P.facing(df, "game_id", "home_away", [f"{k}_allowed" for k in _EDGE])
+    figures = (*_DIFF.values(), "tov_pct")
+    out = M.differentials({m: F.col(m) for m in figures}, {m: F.col(f"opp_{m}") for m in figures}) | M.edges({k: F.col(f"{k}_own") for k in _EDGE}, {k: F.col(f"opp_{k}_allowed") for k in _EDGE})
+    return df.select(*ID, *[R(c).alias(k) for k, c in out.items()])
+
+
+_GRID = (3, 4, 5, 6, 7, 10, 12)
+
+
+def _grid(m: str, n: int) -> str:
+    over = f"OVER (PARTITION BY opp_team_id ORDER BY game_dt, game_id, home_away ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"{_r(f'CASE WHEN count({m}) {over} >= 3 THEN avg({m}) {over} END', 5)} AS {n}_pre_{m}_mean, {_r(f'min({m}) {over}', 5)} AS {n}_pre_{m}_min, {_r(f'max({m}) {over}', 5)} AS {n}_pre_{m}_max".replace(f"AS {n}_pre", f'AS "{n}_pre').replace("_mean,", '_mean",').replace("_min,", '_min",') + '"'
+
+
+@query(f"""WITH {_ELEVEN}, op AS (SELECT a.game_id, a.home_away, a.game_dt, b.team_id AS opp_team_id, b.ortg AS opp_ortg, b.efg AS opp_efg FROM bx a JOIN bx b ON a.game_id = b.game_id AND a.home_away <> b.home_away)
+SELECT game_id, home_away, {', '.join(_grid(m, n) for m in ('opp_ortg', 'opp_efg') for n in _GRID)} FROM op""")
+def win_multi_grid_opponent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of windows over the opponents' figures, by opponent."""
+    df = P.facing(P.eleven(team_games(spark, sf_dir), "game_id", "home_away"), "game_id", "home_away", ["team_id", "ortg", "efg"])
+    out = {}
+    for m in ("opp_ortg", "opp_efg"):
+        for n in _GRID:
+            w = W.before(["opp_team_id"], ORDER, n)
+            out |= {f"{n}_pre_{m}_mean": W.mean(F.col(m), w, 3), f"{n}_pre_{m}_min": F.min(m).over(w), f"{n}_pre_{m}_max": F.max(m).over(w)}
+    return df.select(*ID, *[R(c, 5).alias(k) for k, c in out.items()])
