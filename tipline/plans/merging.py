@@ -161,10 +161,10 @@ SELECT o_orderkey, 2, CASE WHEN o_orderkey % 10 = 0 THEN 'Other' ELSE concat('t'
 SELECT o_orderkey, 3, 'away', concat('T', o_custkey), CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 90 + CASE WHEN o_orderkey % 15 = 0 THEN 1 ELSE 0 END END, 'dome', 7e0 FROM {t} WHERE o_orderkey % 6 <> 1"""
 
 
-@query(f"""WITH s AS ({_GAMES3.format(t='orders')}), k AS (SELECT *, CASE WHEN priority = 2 AND game_id % 10 = 0 THEN concat_ws('_', game_id, home, away) ELSE CAST(game_id AS VARCHAR) END AS key FROM s),
-a AS (SELECT key, count(*) AS n_sources, min_by(venue, priority) FILTER (venue IS NOT NULL) AS venue_any, min_by(spread, priority) FILTER (spread IS NOT NULL) AS spread, count(DISTINCT home_score) AS kinds, count(DISTINCT venue) AS venues, min(priority) AS best FROM k GROUP BY key),
-v AS (SELECT key, home_score, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(priority)) AS rn FROM k WHERE home_score IS NOT NULL GROUP BY key, home_score),
-w AS (SELECT key, venue, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(priority)) AS rn FROM k WHERE venue IS NOT NULL GROUP BY key, venue)
+@query(f"""WITH s AS ({_GAMES3.format(t='orders')}), k AS MATERIALIZED (SELECT *, CASE WHEN priority = 2 AND game_id % 10 = 0 THEN concat_ws('_', game_id, home, away) ELSE CAST(game_id AS VARCHAR) END AS key FROM s),
+a AS MATERIALIZED (SELECT key, count(*) AS n_sources, min_by(venue, priority) FILTER (venue IS NOT NULL) AS venue_any, min_by(spread, priority) FILTER (spread IS NOT NULL) AS spread, count(DISTINCT home_score) AS kinds, count(DISTINCT venue) AS venues, min(priority) AS best FROM k GROUP BY key),
+v AS MATERIALIZED (SELECT key, home_score, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(priority)) AS rn FROM k WHERE home_score IS NOT NULL GROUP BY key, home_score),
+w AS MATERIALIZED (SELECT key, venue, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(priority)) AS rn FROM k WHERE venue IS NOT NULL GROUP BY key, venue)
 SELECT a.key, n_sources, CASE WHEN kinds > 1 THEN v.home_score ELSE b.home_score END AS home_score, CASE WHEN venues > 1 THEN w.venue ELSE coalesce(b.venue, venue_any) END AS venue, a.spread,
 concat_ws('|', CASE WHEN kinds > 1 THEN 'home_score' END, CASE WHEN venues > 1 THEN 'venue' END) AS conflicts FROM a JOIN k b ON a.key = b.key AND a.best = b.priority LEFT JOIN v ON a.key = v.key AND v.rn = 1 LEFT JOIN w ON a.key = w.key AND w.rn = 1""")
 def multi_source_game_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
