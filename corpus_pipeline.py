@@ -6,17 +6,42 @@ Every stage but the last returns the columns of documents. Rows may repeat ids,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipline.llm import language_id, line_dedup, mixing, ngram_join, packing
-from tipline.llm.common import documents, staged
+from tipline.llm.common import documents, dropped, noting, staged, unread
 from tipline.llm.queries import word_tokenizer
 
 #: Share of a document's letter n-grams that its language must have, as a part of what the language's own documents reach; below it, the text is in no learned language.
 LEAST_KNOWN = 0.2
 
 
+#: Tables that the stage before staged.
+_before: list[DataFrame] = []
+
+
+def _begin(docs: DataFrame) -> None:
+    """A stage begins when the result of the one before is written: what that one staged is deleted, unless docs still reads it."""
+    done = unread(_before, docs)
+    dropped(*done)
+    _before[:] = [t for t in _before if not any(t is d for d in done)]
+
+
+def _stage(f: Callable) -> Callable:
+    @wraps(f)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _begin(docs)
+        with noting(_before):
+            return f(spark, docs, sf_dir)
+
+    return begun
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language. Those without a letter, or with n-grams of which their language has too few, go; texts too short to have any stay."""
     model = language_id.learned(docs)
@@ -27,6 +52,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where((F.col("lang_pred") != "und") & ((F.col("n_grams") == 0) | (F.col("known") >= least[F.col("lang_pred")]))).select("keep.*")
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines, of any length, that an earlier document, or an earlier place, has; those of which nothing is left go."""
     cleaned = line_dedup.dedup_lines(docs)
@@ -40,6 +66,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents (null last); documents without links stay, and so do those without words."""
     rows = _numbered(docs)
@@ -49,6 +76,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or two times. Documents without words add nothing to it and go."""
     rows = _numbered(docs)
@@ -58,6 +86,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in a sequence."""
+    _begin(docs)
     return packing.pack(docs, word_tokenizer())
 
 
