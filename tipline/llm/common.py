@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tipline-')}"
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -47,6 +50,20 @@ def _cleaning_up(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+#: Lists that note the tables staged meanwhile, innermost last.
+_notes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noting(made: list[DataFrame]):
+    """Adds all tables staged in here to made, so that the caller can drop them when nothing reads them any more."""
+    _notes.append(made)
+    try:
+        yield
+    finally:
+        _notes.pop()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write as Parquet in the shared folder and read it back. Lineage ends there and survives a lost executor; unlike after checkpoint(),
     the optimiser sees true sizes, so that loops do not compound estimates."""
@@ -55,6 +72,8 @@ def staged(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for made in _notes:
+        made.append(out)
     return out
 
 
@@ -66,6 +85,12 @@ def dropped(*tables: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unread(tables: list[DataFrame], df: DataFrame) -> list[DataFrame]:
+    """Those of the staged tables of which df reads no file."""
+    files = df.inputFiles()
+    return [t for t in tables if not any(t._staged_at.split("://")[-1].lstrip("/") in f for f in files)]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -80,6 +105,20 @@ def crc_bucket(name: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def trimmed(run):
+    """run(batches) of a mapInArrow, after which the worker gives back the memory that it no longer uses: workers wait for other tasks beside the JVM's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts in that column have at most so many bytes, or one row."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

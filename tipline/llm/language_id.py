@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tipline.llm.common import crc_bucket, slices, staged, summed
+from tipline.llm.common import crc_bucket, slices, staged, summed, trimmed
 
 #: Bytes of an n-gram; least share of a language's n-grams; labelled documents learned from per language (about).
 GRAM, MIN_SHARE, SAMPLE_DOCS = 5, 1e-5, 4000
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: Filter | None, text: Column, keep: Column,
     """keep (any one column), lang_pred, score (0 to 1, how far the language stands above the others) known (share of the n-grams it has) and n_grams."""
     source = docs.select(text.cast("string").alias("text"), keep.alias("keep"))
     kind = source.schema["keep"].dataType.simpleString()
-    return source.mapInArrow(_predicted(model, gram), f"keep {kind}, lang_pred string, score double, known double, n_grams long")
+    return source.mapInArrow(trimmed(_predicted(model, gram)), f"keep {kind}, lang_pred string, score double, known double, n_grams long")
 
 
 def learned(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter | None:
