@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipline.llm.common import staged
+from tipline.llm.common import staged, trimmed
 from tipline.llm.words import Slice, Words
 
 #: Tokens of a sequence, and pieces that one task packs at a time.
@@ -135,7 +135,7 @@ def _piece_batch(out: list[tuple]) -> pa.RecordBatch:
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_cutter(tokenizer_path, length, end_id), PIECES)
+    return source.mapInArrow(trimmed(_cutter(tokenizer_path, length, end_id)), PIECES)
 
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:
