@@ -1,3 +1,4 @@
+import pathlib
 import re
 import zlib
 from collections import Counter
@@ -97,3 +98,21 @@ def test_language_keeps_short_texts_and_languages_with_few_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert got == {r[0] for r in rows} - {foreign, digits}
+
+
+def test_what_a_stage_staged_goes_when_the_next_one_begins(spark, sf_dir, tmp_path):
+    exists = lambda t: pathlib.Path("/" + t._staged_at.split(":", 1)[-1].lstrip("/")).exists()
+    docs = documents(spark, sf_dir).limit(80)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.lines(spark, docs, sf_dir)
+    staged_then = list(corpus_pipeline._before)
+    assert staged_then and all(map(exists, staged_then))
+    # Not written yet: the next stage reads what this one staged, which stays.
+    lazily = corpus_pipeline.near_duplicates(spark, out, sf_dir).count()
+    read = [t for t in staged_then if exists(t)]
+    assert read
+    out.write.parquet(f"{tmp_path}/lines")
+    written = spark.read.parquet(f"{tmp_path}/lines")
+    assert corpus_pipeline.near_duplicates(spark, written, sf_dir).count() == lazily
+    assert not any(map(exists, staged_then))

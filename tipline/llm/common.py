@@ -88,7 +88,8 @@ def dropped(*tables: DataFrame | None) -> None:
 def unread(tables: list[DataFrame], df: DataFrame) -> list[DataFrame]:
     """Those of the staged tables of which df reads no file."""
     files = df.inputFiles()
-    return [t for t in tables if not any(t._staged_at.split("://")[-1].lstrip("/") in f for f in files)]
+    names = {t._staged_at: f"/{t._staged_at.rsplit('/', 1)[-1]}/" for t in tables}  # folders' names are unique; stores write the rest in several ways
+    return [t for t in tables if not any(names[t._staged_at] in f for f in files)]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
