@@ -100,3 +100,9 @@ def test_validation_of_odd_tables(spark):
         ("range_violation", "final_score"): (1.0, "warning"), ("leakage_token_hits", "final_score"): (1.0, "warning"),
     }
     assert found(df, [], ["n"], {"n": ["x"], "absent": [1]}, least_rows=1) == {("invalid_values", "n"): (1.0, "error"), ("leakage_token_hits", "final_score"): (1.0, "warning")}
+
+
+def test_statistics_are_read_once(spark):
+    """Spark puts an expression wherever it is used: without care every list is read again for each of its entries."""
+    plan = spark.createDataFrame([], "t string").select(nested.stat_map(nested.items(nested.parsed(F.col("t")), ".")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_variant_get(") < 40

@@ -13,22 +13,23 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with value worked out once for each row: within lambdas Spark works an expression out wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def read(v: Column, paths: str, kind: str = "string") -> Column:
     """The first value found along the paths (separated by blanks, from the node itself); objects and lists are no value of a plain kind."""
-    plain = F.lit(True)
-    found = []
-    for p in paths.split():
-        path = "$" if p == "." else f"$.{p}"
-        if kind == "string":
-            plain = ~F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(True))
-        found.append(F.when(plain, F.try_variant_get(v, path, kind)))
-    return F.coalesce(*found)
+    def plain(node: Column) -> Column:
+        return F.when(~F.coalesce(F.schema_of_variant(node).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(True)), F.try_variant_get(node, "$", kind))
+
+    at = ["$" if p == "." else f"$.{p}" for p in paths.split()]
+    return F.coalesce(*[_bound(F.try_variant_get(v, p, "variant"), plain) if kind == "string" else F.try_variant_get(v, p, kind) for p in at])
 
 
 def some(v: Column, paths: str) -> Column:
     """The first text along the paths that says something: neither empty, 0 nor false."""
-    texts = [read(v, p) for p in paths.split()]
-    return F.coalesce(*[F.when(~t.isin("", "0", "0.0", "false"), t) for t in texts])
+    return F.coalesce(*[_bound(read(v, p), lambda t: F.when(~t.isin("", "0", "0.0", "false"), t)) for p in paths.split()])
 
 
 def items(v: Column, paths: str) -> Column:
@@ -41,18 +42,22 @@ def stat_map(statistics: Column) -> Column:
     under each of its names; of equal names the last one counts."""
     names = "name abbreviation shortDisplayName displayName label"
 
+    def table(z: Column) -> Column:
+        n = F.least(F.size(z["k"]), F.size(z["v"]))
+        pairs = F.arrays_zip(F.slice(z["k"], 1, n).alias("k"), F.slice(z["v"], 1, n).alias("v"))
+        return F.when(n > 0, F.transform(pairs, lambda p: F.struct(p["k"].try_cast("string").alias("k"), p["v"].try_cast("string").alias("v"))))
+
     def entries(item: Column) -> Column:
-        labels, values = items(item, "labels"), items(item, "stats")
-        labels = F.when(F.size(labels) > 0, labels).otherwise(items(item, "keys"))
-        n = F.least(F.size(labels), F.size(values))
-        table = F.transform(F.arrays_zip(F.slice(labels, 1, n).alias("k"), F.slice(values, 1, n).alias("v")), lambda z: F.struct(z["k"].try_cast("string").alias("k"), z["v"].try_cast("string").alias("v")))
-        shown = read(item, "displayValue value")
-        single = F.filter(F.array(*[F.struct(some(item, k).alias("k"), shown.alias("v")) for k in names.split()]), lambda e: e["k"].isNotNull())
-        return F.when(n > 0, table).otherwise(single)
-
-    every = F.flatten(F.transform(statistics, entries))
-    last = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["k"].eqNullSafe(e["k"])))
-    return F.map_from_entries(F.filter(last, lambda e: e["k"].isNotNull()))
+        labels = _bound(items(item, "labels"), lambda found: F.when(F.size(found) > 0, found).otherwise(items(item, "keys")))
+        single = _bound(read(item, "displayValue value"), lambda shown: F.filter(F.array(*[F.struct(some(item, k).alias("k"), shown.alias("v")) for k in names.split()]), lambda e: e["k"].isNotNull()))
+        return F.coalesce(_bound(F.struct(labels.alias("k"), items(item, "stats").alias("v")), table), single)
+
+    def last(every: Column) -> Column:
+        # The first place of a key from behind; a null key has none.
+        behind = F.reverse(F.transform(every, lambda e: e["k"]))
+        return _bound(behind, lambda keys: F.filter(every, lambda e, i: F.array_position(keys, e["k"]) == F.size(every) - i))
+
+    return F.map_from_entries(_bound(F.flatten(F.transform(statistics, entries)), last))
 
 
 def _moneyline(o: Column, side: str) -> Column:
