@@ -77,3 +77,52 @@ def test_setting_is_put_back(spark):
     with rocksdb(spark):
         assert "RocksDB" in spark.conf.get(key)
     assert spark.conf.get(key) == before
+
+
+def test_state_is_written_at_once():
+    """A key's calls to its state, each a message to the JVM, do not grow with its seconds."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from tipline.streaming.trailing import TrailingCounts
+
+    calls = []
+
+    class State:
+        def __init__(self, *_):
+            self.held = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("get", "iterator", "exists"):
+                    kept = self.held if self.held is not None else ()
+                    return self.held if name == "get" and isinstance(self.held, tuple) else bool(kept) if name == "exists" else iter(kept) if isinstance(kept, list) or self.lists else None
+                if name in ("put", "appendList"):
+                    self.held = (self.held or [] if name == "appendList" else []) + args[0]
+                elif name == "update":
+                    self.held = args[0]
+                elif name == "clear":
+                    self.held = None
+
+            return call
+
+    class Lists(State):
+        lists = True
+
+    class Value(State):
+        lists = False
+
+    class Handle:
+        getListState = getMapState = lambda self, *_: Lists()
+        getValueState = lambda self, *_: Value()
+        registerTimer = deleteTimer = lambda self, at: calls.append("timer")
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 1_000_000
+
+    p = TrailingCounts((1, 3), T.LongType())
+    p.init(Handle())
+    list(p.handleInputRows(("a",), iter([pd.DataFrame({"micros": [k * 1_000_000 for k in range(900)], "tie": range(900)})]), None))
+    out = pd.concat(p.handleExpiredTimer(("a",), Now(), None))
+    assert out["last_1_days"].tolist() == list(range(900)) and len(calls) < 20

@@ -27,7 +27,7 @@ class TrailingCounts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", T.StructType().add("micros", T.LongType()).add("tie", self.tie_type))
-        self.seen = handle.getMapState("seen", T.StructType().add("second", T.LongType()), T.StructType().add("n", T.LongType()))
+        self.seen = handle.getListState("seen", T.StructType().add("second", T.LongType()).add("n", T.LongType()))
         self.due = handle.getValueState("due", T.StructType().add("at", T.LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -40,19 +40,17 @@ class TrailingCounts(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
         yield from self._final(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
     def _wake(self, at: int, sooner: bool = False) -> None:
-        """Sets the key's timer, in milliseconds; sooner: only if it would ring later, or not at all."""
-        if self.due.exists():
-            before = self.due.get()[0]
-            if sooner and before <= at:
+        """Sets the key's timer, in milliseconds; sooner: only if it would ring later, or not at all. Otherwise the one before must have rung."""
+        if sooner and (before := self.due.get()) is not None:
+            if before[0] <= at:
                 return
-            self.handle.deleteTimer(before)
+            self.handle.deleteTimer(before[0])
         self.due.update((at,))
         self.handle.registerTimer(at)
 
@@ -60,7 +58,8 @@ class TrailingCounts(StatefulProcessor):
         """Counts the waiting events up to the watermark and forgets what no later event can count."""
         events = [(r[0], r[1]) for r in self.waiting.get()]
         done, left = sorted(e for e in events if e[0] <= until), [e for e in events if e[0] > until]
-        counted = {k[0]: v[0] for k, v in self.seen.iterator()}
+        before_round = {r[0]: r[1] for r in self.seen.get()}
+        counted = dict(before_round)
         if done:
             seconds = np.array([m // 1_000_000 for m, _ in done])
             old = np.array(sorted(counted), np.int64)
@@ -73,19 +72,23 @@ class TrailingCounts(StatefulProcessor):
             yield pd.DataFrame(out)
             for second, n in zip(*np.unique(seconds, return_counts=True), strict=True):
                 counted[int(second)] = counted.get(int(second), 0) + int(n)
-                self.seen.updateValue((int(second),), (counted[int(second)],))
             if left:
                 self.waiting.put(left)
             else:
                 self.waiting.clear()
         span = max(self.days) * DAY
-        for second in [s for s in counted if (s + span) * 1_000_000 < until]:
-            self.seen.removeKey((second,))
-            del counted[second]
+        counted = {s: n for s, n in counted.items() if (s + span) * 1_000_000 >= until}
+        # Every call to the state is a message to the JVM: the seconds are written at once.
+        if counted and counted != before_round:
+            self.seen.put(list(counted.items()))
+        elif before_round and not counted:
+            self.seen.clear()
         if left:
             self._wake(min(left)[0] // 1000)
         elif counted:
             self._wake((min(counted) + span + 1) * 1000)
+        else:
+            self.due.clear()
 
 
 def trailing_counts(events: DataFrame, ts: str, keys: list[str], tie: str, days: tuple[int, ...], late: str = "0 seconds") -> DataFrame:
