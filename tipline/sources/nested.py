@@ -20,6 +20,24 @@ def _bound(value: Column, body) -> Column:
 
 def read(v: Column, paths: str, kind: str = "string") -> Column:
     """The first value found along the paths (separated by blanks, from the node itself); objects and lists are no value of a plain kind."""
+    plain = F.lit(True)
+    found = []
+    for p in paths.split():
+        path = "$" if p == "." else f"$.{p}"
+        if kind == "string":
+            plain = ~F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(True))
+        found.append(F.when(plain, F.try_variant_get(v, path, kind)))
+    return F.coalesce(*found)
+
+
+def some(v: Column, paths: str) -> Column:
+    """The first text along the paths that says something: neither empty, 0 nor false."""
+    texts = [read(v, p) for p in paths.split()]
+    return F.coalesce(*[F.when(~t.isin("", "0", "0.0", "false"), t) for t in texts])
+
+
+def _read(v: Column, paths: str, kind: str = "string") -> Column:
+    """read() for use in lambdas. The first value found along the paths (separated by blanks, from the node itself); objects and lists are no value of a plain kind."""
     def plain(node: Column) -> Column:
         return F.when(~F.coalesce(F.schema_of_variant(node).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(True)), F.try_variant_get(node, "$", kind))
 
@@ -27,9 +45,9 @@ def read(v: Column, paths: str, kind: str = "string") -> Column:
     return F.coalesce(*[_bound(F.try_variant_get(v, p, "variant"), plain) if kind == "string" else F.try_variant_get(v, p, kind) for p in at])
 
 
-def some(v: Column, paths: str) -> Column:
-    """The first text along the paths that says something: neither empty, 0 nor false."""
-    return F.coalesce(*[_bound(read(v, p), lambda t: F.when(~t.isin("", "0", "0.0", "false"), t)) for p in paths.split()])
+def _some(v: Column, paths: str) -> Column:
+    """some() for use in lambdas. The first text along the paths that says something: neither empty, 0 nor false."""
+    return F.coalesce(*[_bound(_read(v, p), lambda t: F.when(~t.isin("", "0", "0.0", "false"), t)) for p in paths.split()])
 
 
 def items(v: Column, paths: str) -> Column:
@@ -49,7 +67,7 @@ def stat_map(statistics: Column) -> Column:
 
     def entries(item: Column) -> Column:
         labels = _bound(items(item, "labels"), lambda found: F.when(F.size(found) > 0, found).otherwise(items(item, "keys")))
-        single = _bound(read(item, "displayValue value"), lambda shown: F.filter(F.array(*[F.struct(some(item, k).alias("k"), shown.alias("v")) for k in names.split()]), lambda e: e["k"].isNotNull()))
+        single = _bound(_read(item, "displayValue value"), lambda shown: F.filter(F.array(*[F.struct(_some(item, k).alias("k"), shown.alias("v")) for k in names.split()]), lambda e: e["k"].isNotNull()))
         return F.coalesce(_bound(F.struct(labels.alias("k"), items(item, "stats").alias("v")), table), single)
 
     def last(every: Column) -> Column:
