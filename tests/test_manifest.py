@@ -83,6 +83,25 @@ def test_filters_lose_no_key(spark, tmp_path, monkeypatch):
     assert table.read().count() == 3000 and table.read().where("at = 1").count() == 0
 
 
+def test_small_buckets_end_where_files_get_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "MANY_BUCKETS", 8, raising=False)
+    table = Table(spark, f"{tmp_path}/t", ["k"], buckets=4, bucket_rows=10)
+    for step in range(3):
+        table.append(rows(spark, range(step * 100, step * 100 + 150), step), F.lit(0), *BY)
+    assert len(names(table)) == 8 and table.read().count() == 350  # 40 rows a bucket, where 10 were asked for
+    assert {tuple(r) for r in table.read().groupBy("at").count().collect()} == {(0, 100), (1, 100), (2, 150)}
+
+
+def test_few_keys_first_finds_the_same_files(spark, tmp_path, monkeypatch):
+    table = Table(spark, f"{tmp_path}/t", ["k"], buckets=8)
+    table.append(rows(spark, range(0, 400, 2), 1), F.lit(0), *BY)
+    found = []
+    for first in (1, 3, 1 << 40):  # all keys, some, practically none in the first lookup
+        monkeypatch.setattr(manifest, "FIRST_LOOKUP", first, raising=False)
+        found.append([table.touched(table.manifest, rows(spark, keys, 2), 8, 8) for keys in ([4, 8, 5000], range(0, 400, 2), range(1, 60, 2))])
+    assert found[0] == found[1] == found[2] and 1 <= len(found[0][0]) <= 3 and found[0][1] == sorted(names(table))
+
+
 @pytest.fixture
 def feed(spark, tmp_path):
     def more(rows, schema):

@@ -65,8 +65,12 @@ def completeness(required: list[str], flags: dict[str, float], recent: str) -> C
 
 def append_best(old: DataFrame, new: DataFrame, keys: list[str], score: Column, recent: str, tie: list[str]) -> DataFrame:
     """Old and new rows, one per key: the most complete, then the most recent."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    return pick(both.withColumn("_score", score), keys, [F.desc("_score"), F.desc_nulls_last(recent), *[F.col(c).asc_nulls_last() for c in tie]]).drop("_score")
+    return best(old.unionByName(new, allowMissingColumns=True), keys, score, recent, tie)
+
+
+def best(rows: DataFrame, keys: list[str], score: Column, recent: str, tie: list[str]) -> DataFrame:
+    """One row per key: the most complete, then the most recent."""
+    return pick(rows.withColumn("_score", score), keys, [F.desc("_score"), F.desc_nulls_last(recent), *[F.col(c).asc_nulls_last() for c in tie]]).drop("_score")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ A table is a list of Parquet files, the manifest, beside its data. Rows lie in b
 manifest holds the smallest and largest key and an existence filter (a bitmap of key hashes). A merge looks its keys up in the manifest: files that may hold one of
 them are read, merged and written anew, all others keep their names, and new keys go to new files. The new manifest is put in place by the rename of a pointer
 (files.replace), so readers see the table before or after. Buckets with many small files are written together; buckets double in number when they get too large.
+The number of files stays moderate: a table that asks for small buckets gets MANY_BUCKETS of them, and more only when these hold BUCKET_ROWS rows each.
 
 One writer at a time. Files that neither this manifest nor the one before names are deleted.
 """
@@ -11,20 +12,25 @@ One writer at a time. Files that neither this manifest nor the one before names
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tipline.operators.joins import append_best
+from tipline.operators.joins import best
 from tipline.operators.joins import upsert as upserted
 from tipline.sources import files
 
 #: Rows of a bucket from which the buckets double, files of a bucket from which they are written together, and files whose lines are broadcast.
 BUCKET_ROWS, BUCKET_FILES, BROADCAST_ROWS = 4_000_000, 8, 50_000
+#: Buckets beyond which only BUCKET_ROWS counts, and rows that a task writes (of one bucket or of several).
+MANY_BUCKETS, TASK_ROWS = 512, 500_000
 #: A bitmap has 32,768 bits (what bitmap_construct_agg makes); a file has one for so many rows, at most this many.
 ROWS_PER_BITMAP, MOST_BITMAPS = 4_000, 1_024
+#: One key of so many is looked up first; the others only in files that these did not hit.
+FIRST_LOOKUP = 64
 
 _HASH = "_tipline_hash"
 
@@ -79,66 +85,89 @@ class Table:
     def touched(self, manifest: DataFrame, new: DataFrame, buckets: int, n_files: int) -> list[str]:
         """Files that may hold a key of new: by bucket, range of keys and existence filter."""
         h = F.col(_HASH)
-        asked = new.select(_hashed(self.keys).alias(_HASH), F.struct(*self.keys).alias("_key")).distinct().withColumn("bucket", F.pmod(h, F.lit(buckets)).cast("int"))
-        lines = manifest.select("bucket", "file", "low", "high", "filter")
-        in_range = asked.join(_small(lines.drop("filter"), n_files), "bucket").where((F.col("_key") >= F.col("low")) & (F.col("_key") <= F.col("high")))
+        asked = new.select(_hashed(self.keys).alias(_HASH), F.struct(*self.keys).alias("_key")).withColumn("bucket", F.pmod(h, F.lit(buckets)).cast("int"))
+        lines = manifest.select("bucket", "file", "low", "high", F.size("filter").alias("bitmaps"))
         # Filters stay where they are: (file, bitmap, bit) triples meet single bitmaps, not whole files' filters.
-        wanted = in_range.join(manifest.select("file", F.size("filter").alias("bitmaps")), "file").select("file", _bitmap(h, F.col("bitmaps")).alias("at"), _bit(h).alias("bit")).distinct()
         single = manifest.select("file", F.posexplode("filter").alias("at", "bitmap"))
-        hit = wanted.join(single, ["file", "at"]).where(_is_set(F.col("bitmap"), F.col("bit")))
-        return sorted(r.file for r in hit.select("file").distinct().collect())
-
-    def _written(self, rows: DataFrame, buckets: int) -> DataFrame:
-        """Writes rows, one file for each bucket, and returns the files' lines of the manifest."""
-        name = uuid.uuid4().hex
-        bucketed = rows.withColumn("_bucket", F.pmod(_hashed(self.keys), F.lit(buckets)).cast("int"))
-        bucketed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", *self.keys).write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
-        back = self.spark.read.schema(bucketed.schema).parquet(f"{self.path}/data/{name}")
-        h = _hashed(self.keys)
-        file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/_bucket=[^/]+/[^/]+)$", 1)
-        seen = back.select(file.alias("file"), F.col("_bucket").alias("bucket"), F.struct(*self.keys).alias("_key"), h.alias(_HASH))
-        each = seen.groupBy("file", "bucket").agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
-        each = each.withColumn("bitmaps", F.least(F.ceil(F.col("n") / ROWS_PER_BITMAP), F.lit(MOST_BITMAPS)).cast("int"))
-        bits = seen.join(_small(each.select("file", "bitmaps"), buckets), "file").groupBy("file", "bitmaps", _bitmap(F.col(_HASH), F.col("bitmaps")).alias("at")).agg(F.bitmap_construct_agg(_bit(F.col(_HASH))).alias("bitmap"))
+
+        def hit(asked: DataFrame, lines: DataFrame) -> list[str]:
+            in_range = asked.join(_small(lines, n_files), "bucket").where((F.col("_key") >= F.col("low")) & (F.col("_key") <= F.col("high")))
+            wanted = in_range.select("file", _bitmap(h, F.col("bitmaps")).alias("at"), _bit(h).alias("bit")).alias("w")
+            s = single.alias("s")
+            here = (F.col("s.file") == F.col("w.file")) & (F.col("s.at") == F.col("w.at")) & _is_set(F.col("s.bitmap"), F.col("w.bit"))
+            return [r.file for r in s.join(wanted, here, "left_semi").select("file").distinct().collect()]
+
+        # One hit settles a file, so that most files of a large merge are settled by few keys; where none of these hits, every key is looked up.
+        found = hit(asked.where(F.pmod(F.shiftrightunsigned(h, 8), F.lit(FIRST_LOOKUP)) == 0), lines)
+        if len(found) < n_files:
+            found += hit(asked, lines.join(self._files(found), "file", "left_anti"))
+        return sorted(found)
+
+    def _files(self, names: list[str]) -> DataFrame:
+        return _small(self.spark.createDataFrame([(n,) for n in names], "file string"), len(names))
+
+    def _placed(self, rows: DataFrame, buckets: int, n: int) -> DataFrame:
+        """About n rows with their bucket, each bucket in one partition; there are as many partitions as the rows need."""
+        tasks = min(buckets, max(self.spark.sparkContext.defaultParallelism, n // TASK_ROWS))
+        return rows.withColumn("_bucket", F.pmod(_hashed(self.keys), F.lit(buckets)).cast("int")).repartition(tasks, "_bucket")
+
+    def _written(self, placed: DataFrame, buckets: int) -> tuple[list[str], DataFrame]:
+        """Writes rows that lie in their buckets, one file for each bucket, and returns the files' names and their lines of the manifest."""
+        path = f"{self.path}/data/{uuid.uuid4().hex}"
+        placed.sortWithinPartitions("_bucket", *self.keys).write.option("maxRecordsPerFile", 0).partitionBy("_bucket").parquet(path)
+        back = self.spark.read.schema(placed.schema).parquet(path)
+        names = {int(f.split("/")[-2].removeprefix("_bucket=")): "/".join(f.split("/")[-3:]) for f in back.inputFiles()}
+        sizes = [(r["_bucket"], names[r["_bucket"]], max(1, min(-(-r["count"] // ROWS_PER_BITMAP), MOST_BITMAPS))) for r in back.groupBy("_bucket").count().collect()]
+        known = self.spark.createDataFrame(sizes, "_bucket int, file string, bitmaps int")
+        # One number for file and bitmap, as rows are sorted by what they are grouped by.
+        h = F.col(_HASH)
+        seen = back.select("_bucket", F.struct(*self.keys).alias("_key"), _hashed(self.keys).alias(_HASH)).join(_small(known.drop("file"), len(sizes)), "_bucket")
+        seen = seen.select((F.col("_bucket").cast("long") * MOST_BITMAPS + _bitmap(h, F.col("bitmaps"))).alias("_at"), "_key", _bit(h).alias("bit"))
+        each = seen.groupBy("_at").agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"), F.bitmap_construct_agg("bit").alias("bitmap"))
+        each = each.withColumn("_bucket", F.expr(f"CAST(_at DIV {MOST_BITMAPS} AS INT)")).withColumn("at", F.expr(f"CAST(_at % {MOST_BITMAPS} AS INT)"))
+        made = each.groupBy("_bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.map_from_entries(F.collect_list(F.struct("at", "bitmap"))).alias("m"))
         # A bitmap that no key fell into is all zeros.
-        made = bits.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("at", "bitmap"))).alias("m"), F.first("bitmaps").alias("k"))
         zeros = F.unhex(F.repeat(F.lit("00"), 4096))
-        filters = made.select("file", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.coalesce(F.try_element_at("m", i), zeros)).alias("filter"))
-        return each.drop("bitmaps").join(filters, "file").withColumn("buckets", F.lit(buckets))
+        filters = F.transform(F.sequence(F.lit(0), F.col("bitmaps") - 1), lambda i: F.coalesce(F.try_element_at("m", i), zeros)).alias("filter")
+        lines = made.join(_small(known, len(sizes)), "_bucket").select("file", F.col("_bucket").alias("bucket"), "n", "low", "high", filters, F.lit(buckets).alias("buckets"))
+        return list(names.values()), lines
 
     def merge(self, new: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> dict[str, int]:
         """combine(old, new) for the keys of new; old has all rows of the files that may hold them, and its result takes their place.
 
         combine must keep rows whose keys are not in new as they are, and give the same result again for a batch that was merged already if batches may be
         repeated. Returns the number of files kept, rewritten and written."""
+        return self._merge(new, lambda old, rows, placed: placed(combine(old, rows)))
+
+    def _merge(self, new: DataFrame, combine: Callable[[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> dict[str, int]:
+        """merge() for a combine that puts rows into their buckets itself, by the function that it gets."""
         manifest = self.manifest
-        state = None if manifest is None else manifest.agg(F.max("buckets").alias("buckets"), F.sum("n").alias("n")).first()
-        names = self._names(manifest)
-        buckets, redo = (self.first_buckets, []) if not names else (state.buckets, [])
+        known = {} if manifest is None else {r.file: r for r in manifest.select("file", "bucket", "buckets", "n").collect()}
+        names, redo = sorted(known), []
+        buckets = max((r.buckets for r in known.values()), default=self.first_buckets)
         new = new.persist()
         try:
-            if names:
-                redo = self.touched(manifest, new, buckets, len(names))
-                grown = buckets
-                while state.n > grown * self.bucket_rows:
-                    grown *= 2
-                if grown > buckets:
-                    buckets, redo = grown, names
-                else:
-                    full = manifest.groupBy("bucket").agg(F.count("*").alias("k"), F.collect_list("file").alias("files")).where(F.col("k") >= self.bucket_files)
-                    redo = sorted({*redo, *(f for r in full.collect() for f in r.files)})
-            lines = self._written(combine(self._of(redo, self._schema(names, new)), new), buckets)
+            n_new = new.count()
+            grown = buckets
+            while max(n_new, sum(r.n for r in known.values())) > grown * (self.bucket_rows if grown < MANY_BUCKETS else max(self.bucket_rows, BUCKET_ROWS)):
+                grown *= 2
+            if names and grown == buckets:
+                full = Counter(r.bucket for r in known.values())
+                redo = sorted({*self.touched(manifest, new, buckets, len(names)), *(n for n in names if full[known[n].bucket] >= self.bucket_files)})
+            else:
+                buckets, redo = grown, names
+            n = n_new + sum(known[f].n for f in redo)
+            written, lines = self._written(combine(self._of(redo, self._schema(names, new)), new, lambda rows: self._placed(rows, buckets, n)), buckets)
             gone = set(redo)
             kept = [n for n in names if n not in gone]
-            if names:
-                left = manifest.join(_small(self.spark.createDataFrame([(n,) for n in redo], "file string"), len(redo)), "file", "left_anti")
+            if kept:
+                left = manifest.join(self._files(redo), "file", "left_anti")
                 lines = left.select(*lines.columns).unionByName(lines)
-            files.replace(lines.coalesce(max(1, len(kept) // 1000)), f"{self.path}/manifest")
+            files.replace(lines.coalesce(max(1, (len(kept) + len(written)) // 1000)), f"{self.path}/manifest")
         finally:
             new.unpersist()
-        now = self._names(self.manifest)
-        self._vacuum({*now, *names})
-        return {"kept": len(kept), "rewritten": len(redo), "written": len(now) - len(kept)}
+        self._vacuum({*kept, *written, *names})
+        return {"kept": len(kept), "rewritten": len(redo), "written": len(written)}
 
     def _schema(self, names: list[str], new: DataFrame) -> T.StructType:
         return self._of(names[:1], None).schema if names else new.schema
@@ -153,7 +182,12 @@ class Table:
 
     def append(self, new: DataFrame, score: Column, recent: str, tie: list[str]) -> dict[str, int]:
         """Of one key, the most complete and then most recent row stays."""
-        return self.merge(new, lambda old, rows: append_best(old, rows, self.keys, score, recent, tie))
+
+        def combine(old: DataFrame, rows: DataFrame, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            # By bucket first: the order in which the window takes rows is the one in which they are written.
+            return best(placed(old.unionByName(rows, allowMissingColumns=True)), ["_bucket", *self.keys], score, recent, tie)
+
+        return self._merge(new, combine)
 
     def upsert(self, new: DataFrame) -> dict[str, int]:
         """New values over old ones; a null never replaces a value. Keys of new are distinct."""
