@@ -110,7 +110,7 @@ def merge_copy_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
     table = Table(spark, new_dir(spark, "lines"), LINE_KEYS, bucket_rows=20_000)
     for year in sorted(r.year for r in lines.select("year").distinct().collect()):  # a few, whatever the table's size
-        table.append(lines.where(F.col("year").eqNullSafe(F.lit(year))), F.lit(0), "l_shipdate", LINE_TIE)
+        table.append(lines.where(F.col("year").eqNullSafe(F.lit(year))).drop("year"), F.lit(0), "l_shipdate", LINE_TIE)
     return table.read().select(*LINE_KEYS, "l_partkey", "l_quantity")
 
 

@@ -26,7 +26,7 @@ from tipline.sources import files
 #: Rows of a bucket from which the buckets double, files of a bucket from which they are written together, and files whose lines are broadcast.
 BUCKET_ROWS, BUCKET_FILES, BROADCAST_ROWS = 4_000_000, 8, 50_000
 #: Buckets beyond which only BUCKET_ROWS counts, and rows that a task writes (of one bucket or of several).
-MANY_BUCKETS, TASK_ROWS = 512, 500_000
+MANY_BUCKETS, TASK_ROWS = 256, 250_000
 #: A bitmap has 32,768 bits (what bitmap_construct_agg makes); a file has one for so many rows, at most this many.
 ROWS_PER_BITMAP, MOST_BITMAPS = 4_000, 1_024
 #: One key of so many is looked up first; the others only in files that these did not hit.
@@ -112,9 +112,9 @@ class Table:
         return rows.withColumn("_bucket", F.pmod(_hashed(self.keys), F.lit(buckets)).cast("int")).repartition(tasks, "_bucket")
 
     def _written(self, placed: DataFrame, buckets: int) -> tuple[list[str], DataFrame]:
-        """Writes rows that lie in their buckets, one file for each bucket, and returns the files' names and their lines of the manifest."""
+        """Writes rows that lie in their buckets, one file for each bucket (the writer sorts by this number), and returns the files' names and their lines of the manifest."""
         path = f"{self.path}/data/{uuid.uuid4().hex}"
-        placed.sortWithinPartitions("_bucket", *self.keys).write.option("maxRecordsPerFile", 0).partitionBy("_bucket").parquet(path)
+        placed.write.option("maxRecordsPerFile", 0).partitionBy("_bucket").parquet(path)
         back = self.spark.read.schema(placed.schema).parquet(path)
         names = {int(f.split("/")[-2].removeprefix("_bucket=")): "/".join(f.split("/")[-3:]) for f in back.inputFiles()}
         sizes = [(r["_bucket"], names[r["_bucket"]], max(1, min(-(-r["count"] // ROWS_PER_BITMAP), MOST_BITMAPS))) for r in back.groupBy("_bucket").count().collect()]
@@ -137,7 +137,7 @@ class Table:
 
         combine must keep rows whose keys are not in new as they are, and give the same result again for a batch that was merged already if batches may be
         repeated. Returns the number of files kept, rewritten and written."""
-        return self._merge(new, lambda old, rows, placed: placed(combine(old, rows)))
+        return self._merge(new, lambda old, rows, placed: placed(combine(old, rows)).sortWithinPartitions("_bucket", *self.keys))
 
     def _merge(self, new: DataFrame, combine: Callable[[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> dict[str, int]:
         """merge() for a combine that puts rows into their buckets itself, by the function that it gets."""
@@ -184,8 +184,8 @@ class Table:
         """Of one key, the most complete and then most recent row stays."""
 
         def combine(old: DataFrame, rows: DataFrame, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-            # By bucket first: the order in which the window takes rows is the one in which they are written.
-            return best(placed(old.unionByName(rows, allowMissingColumns=True)), ["_bucket", *self.keys], score, recent, tie)
+            # The bucket, which the keys decide, is named so that the window needs no other shuffle; last, as the sort is quick if its first column tells most rows apart.
+            return best(placed(old.unionByName(rows, allowMissingColumns=True)), [*self.keys, "_bucket"], score, recent, tie)
 
         return self._merge(new, combine)
 
